@@ -25,19 +25,16 @@ from pyspark.sql import functions as F
 
 from ..functions.changes import (auto_resolve, change_objects, conflict_class,
                                  conflict_details, create_columns)
+from .numbering import collect_hot
+from .scan import pieced_scan, plain_scan
 
 NEEDS_TABLE = ("add_column", "drop_column", "rename_column", "alter_type", "drop_table",
                "create_index", "truncate", "insert", "update", "delete")
 NEEDS_COLUMN = ("drop_column", "rename_column", "alter_type")
 
 
-def _last_before(value, *partition):
-    w = (Window.partitionBy(*partition).orderBy("sequence")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    return F.last(value, ignorenulls=True).over(w)
-
-
-def check(changes: DataFrame, catalog: DataFrame, indexes: DataFrame) -> DataFrame:
+def check(changes: DataFrame, catalog: DataFrame, indexes: DataFrame,
+          hot_rows: int | None = None, max_hot: int | None = None) -> DataFrame:
     """changes: (branch_id, sequence, sql_text, ...); catalog: (table_name,
     column_name); indexes: (index_name, table_name).
 
@@ -54,27 +51,44 @@ def check(changes: DataFrame, catalog: DataFrame, indexes: DataFrame) -> DataFra
     cat_idx = indexes.select(F.lower("index_name").alias("detail")).distinct() \
                      .withColumn("cat_idx", F.lit(True))
 
+    # Branches with very many changes take the pieced (parallel) scan path;
+    # the keys are found once, on the input, and the input is split once.
+    hot = collect_hot(objs, ["branch_id"], hot_rows, max_hot)
+    if hot is None:
+        t = _replay(objs, cat_tables, cat_cols, cat_idx, _plain_step)
+    else:
+        cold = _replay(objs.join(hot, "branch_id", "left_anti"), cat_tables, cat_cols, cat_idx, _plain_step)
+        warm = _replay(objs.join(hot, "branch_id", "left_semi"), cat_tables, cat_cols, cat_idx, _pieced_step)
+        t = cold.unionByName(warm)
+    return _classify(t)
+
+
+def _plain_step(df, parts, lasts=None, sums=None):
+    return plain_scan(df, parts, "sequence", lasts, sums)
+
+
+def _pieced_step(df, parts, lasts=None, sums=None):
+    return pieced_scan(df, parts, "sequence", lasts, sums, piece_cols=["branch_id"])
+
+
+def _replay(objs: DataFrame, cat_tables: DataFrame, cat_cols: DataFrame, cat_idx: DataFrame, scan) -> DataFrame:
     # 1-2: table state and epochs per (branch, table)
     op = F.col("op")
     t_event = F.when(op == "create_table", F.lit(True)).when(op == "drop_table", F.lit(False))
-    t = (objs.join(F.broadcast(cat_tables), "table_name", "left")
-             .withColumn("table_before",
-                         F.coalesce(_last_before(t_event, "branch_id", "table_name"),
-                                    F.col("cat_table"), F.lit(False))))
-    accepted = (((op == "create_table") & ~F.col("table_before"))
-                | ((op == "drop_table") & F.col("table_before"))).cast("int")
-    t = t.withColumn("_acc", accepted)
-    ew = (Window.partitionBy("branch_id", "table_name").orderBy("sequence")
-          .rowsBetween(Window.unboundedPreceding, -1))
-    t = t.withColumn("epoch", F.coalesce(F.sum("_acc").over(ew), F.lit(0)))
-
-    # columns listed by the CREATE TABLE that opened each epoch
-    openers = (t.filter((op == "create_table") & (F.col("_acc") == 1))
-                .select("branch_id", "table_name", (F.col("epoch") + 1).alias("epoch"),
-                        F.col("create_cols").alias("epoch_cols")))
-    t = t.join(openers, ["branch_id", "table_name", "epoch"], "left")
-
-    # 3: column touches; a rename touches its old name (gone) and new name (present)
+    t = scan(objs.join(F.broadcast(cat_tables), "table_name", "left"), ["branch_id", "table_name"],
+             lasts={"_tb": t_event})
+    t = t.withColumn("table_before", F.coalesce("_tb", "cat_table", F.lit(False)))
+    accepted_create = (op == "create_table") & ~F.col("table_before")
+    accepted = (accepted_create | ((op == "drop_table") & F.col("table_before"))).cast("int")
+    # epoch_cols: columns of the CREATE TABLE that opened the current epoch
+    # (if a DROP opened it the table is absent and no column is checked)
+    t = scan(t, ["branch_id", "table_name"],
+             lasts={"epoch_cols": F.when(accepted_create, F.col("create_cols"))}, sums={"_ep": accepted})
+    t = t.withColumn("epoch", F.coalesce("_ep", F.lit(0)))
+
+    # 3: column touches; a rename touches its old name (gone) and new name
+    # (present).  The extra rename row rides along in the same frame and is
+    # dropped after the scan, so no join back is needed.
     touches = F.array(
         F.struct(F.col("column_name").alias("col"),
                  F.when(op == "add_column", F.lit(True))
@@ -82,29 +96,29 @@ def check(changes: DataFrame, catalog: DataFrame, indexes: DataFrame) -> DataFra
                  F.lit(True).alias("main")),
         F.struct(F.when(op == "rename_column", F.col("detail")).alias("col"),
                  F.lit(True).alias("effect"), F.lit(False).alias("main")))
-    touched = (t.filter(F.col("column_name").isNotNull())
-                .select("branch_id", "sequence", "table_name", "epoch", "epoch_cols",
-                        F.explode(touches).alias("tc"))
-                .select("branch_id", "sequence", "table_name", "epoch", "epoch_cols", "tc.*")
-                .filter(F.col("col").isNotNull()))
-    touched = (touched.join(F.broadcast(cat_cols.withColumnRenamed("column_name", "col")),
-                            ["table_name", "col"], "left")
-               .withColumn("col_before", F.coalesce(
-                   _last_before(F.col("effect"), "branch_id", "table_name", "epoch", "col"),
-                   F.when(F.col("epoch") == 0, F.coalesce("cat_col", F.lit(False)))
-                    .otherwise(F.coalesce(F.array_contains("epoch_cols", F.col("col")), F.lit(False)))))
-               .filter("main")
-               .select("branch_id", "sequence", "col_before"))
-    t = t.join(touched, ["branch_id", "sequence"], "left")
+    t = (t.select("*", F.explode(touches).alias("tc"))
+          .filter(F.col("tc.main") | F.col("tc.col").isNotNull())
+          .withColumn("col", F.col("tc.col")).withColumn("_effect", F.col("tc.effect"))
+          .withColumn("_main", F.col("tc.main")).drop("tc"))
+    t = t.join(F.broadcast(cat_cols.withColumnRenamed("column_name", "col")), ["table_name", "col"], "left")
+    t = scan(t, ["branch_id", "table_name", "epoch", "col"], lasts={"_cb": F.col("_effect")})
+    t = (t.withColumn("col_before", F.when(F.col("col").isNotNull(), F.coalesce(
+              F.col("_cb"),
+              F.when(F.col("epoch") == 0, F.coalesce("cat_col", F.lit(False)))
+               .otherwise(F.coalesce(F.array_contains("epoch_cols", F.col("col")), F.lit(False))))))
+          .filter(F.col("_main")))
 
     # 4: index state per (branch, index name)
     i_event = F.when(op == "create_index", F.lit(True)).when(op == "drop_index", F.lit(False))
-    t = (t.join(F.broadcast(cat_idx), "detail", "left")
-          .withColumn("index_before",
-                      F.when(op.isin("create_index", "drop_index"),
-                             F.coalesce(_last_before(i_event, "branch_id", "detail"),
-                                        F.col("cat_idx"), F.lit(False)))))
+    t = scan(t.join(F.broadcast(cat_idx), "detail", "left"), ["branch_id", "detail"], lasts={"_ib": i_event})
+    t = t.withColumn("index_before", F.when(op.isin("create_index", "drop_index"),
+                                            F.coalesce("_ib", "cat_idx", F.lit(False))))
+
+    return t
 
+
+def _classify(t: DataFrame) -> DataFrame:
+    op = F.col("op")
     tb, cb, ib = F.col("table_before"), F.col("col_before"), F.col("index_before")
     tbl, col, det = F.col("table_name"), F.col("column_name"), F.col("detail")
     q = F.lit('"')

@@ -114,10 +114,26 @@ def hot_groups(df: DataFrame, group_cols: Sequence[str], hot_rows: int | None =
               .select(*group_cols))
 
 
+def collect_hot(df: DataFrame, group_cols: Sequence[str], hot_rows: int | None = None,
+                max_hot: int | None = None) -> DataFrame | None:
+    """Hot keys as a small broadcast frame, or None when there are none.
+    At most ``max_hot`` keys reach the driver (a proven bound)."""
+    keys = hot_groups(df, group_cols, hot_rows, max_hot).collect()
+    if not keys:
+        return None
+    schema = df.select(*group_cols).schema
+    return F.broadcast(df.sparkSession.createDataFrame([tuple(k) for k in keys], schema))
+
+
 def number_rows(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
                 out: str = "rn", hot_rows: int | None = None,
                 max_hot: int | None = None) -> DataFrame:
-    """Exact ``row_number()`` per group (1-based, int), balanced for hot groups."""
+    """Exact ``row_number()`` per group (1-based, int), balanced for hot groups.
+
+    The hot keys are found first (one aggregate over the group columns; at
+    most ``max_hot`` keys come back to the driver, a proven bound).  Without
+    hot groups the plan is the plain window.
+    """
     group_cols = list(group_cols)
     if not group_cols:
         return ranged_numbers(df, [], order_cols, out)
@@ -125,7 +141,9 @@ def number_rows(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
     plain = df.select(*df.columns, F.row_number().over(window).cast("int").alias(out))
     if _rangeable(df, order_cols) is None:
         return plain
-    hot = F.broadcast(hot_groups(df, group_cols, hot_rows, max_hot))
+    hot = collect_hot(df, group_cols, hot_rows, max_hot)
+    if hot is None:
+        return plain
     cold = (df.join(hot, group_cols, "left_anti")
               .select(*df.columns, F.row_number().over(window).cast("int").alias(out)))
     warm = ranged_numbers(df.join(hot, group_cols, "left_semi"), group_cols, order_cols, out)
