@@ -176,3 +176,28 @@ def merge_refused(branches: DataFrame, conflicts: DataFrame) -> DataFrame:
     n = (conflicts.filter(F.col("conflict_type").isNotNull())
          .groupBy("branch_id").agg(F.count(F.lit(1)).alias("conflicts")))
     return branches.select("branch_id", "name").join(n, "branch_id")
+
+
+def seed_rows(recorded: DataFrame) -> DataFrame:
+    """Rows that seed changes insert: (branch_id, plan_id) from
+    ``INSERT INTO plans VALUES (n)``."""
+    body = F.regexp_extract(F.col("sql_text"), r"(?i)VALUES\s*\(\s*(\d+)\s*\)", 1)
+    return (recorded.filter(F.col("type") == "seed")
+            .select("branch_id", F.when(body != "", body).cast("bigint").alias("plan_id")))
+
+
+def merge_seed_rows(branches: DataFrame, recorded: DataFrame) -> DataFrame:
+    """The parents' seeded table after every open branch merges its seed
+    rows: the parent's own rows, plus each child's rows whose key the parent
+    lacks (anti-join on key, then a union by name; the parent's rows have no
+    ``from_branch``).  (parent_id, plan_id, from_branch)."""
+    seeds = seed_rows(recorded)
+    open_ = branches.filter((F.col("status") == "active") & (F.col("branch_id") != 0))
+    parents = branches.select(F.col("name").alias("parent_branch"), F.col("branch_id").alias("parent_id"))
+    links = open_.select("branch_id", "name", "parent_branch").join(parents, "parent_branch")
+    incoming = (seeds.join(links, "branch_id")
+                .select("parent_id", "plan_id", F.col("name").alias("from_branch")))
+    existing = seeds.select(F.col("branch_id").alias("parent_id"), "plan_id")
+    new = incoming.join(existing, ["parent_id", "plan_id"], "left_anti")
+    target = existing.join(links.select("parent_id").distinct(), "parent_id", "left_semi")
+    return target.unionByName(new, allowMissingColumns=True)

@@ -171,3 +171,16 @@ def insert_ignore(existing: DataFrame, incoming: DataFrame, keys: list[str]) ->
 
 def with_merge_label(changes: DataFrame) -> DataFrame:
     return changes.withColumn("on_merge", merge_label("type"))
+
+
+def diff_vs_parent(changes: DataFrame, branches: DataFrame) -> DataFrame:
+    """Changes of each branch whose trimmed text its parent does not have
+    (anti-join; duplicates on the branch side are kept, as a difference of
+    lists).  ``main`` is its own parent, so its difference is empty."""
+    parent = (branches.select("branch_id", "parent_branch")
+              .join(branches.select(F.col("name").alias("parent_branch"), F.col("branch_id").alias("parent_id")),
+                    "parent_branch"))
+    mine = (changes.join(parent.select("branch_id", "parent_id"), "branch_id")
+            .withColumn("_t", trim_ws("sql_text")))
+    theirs = changes.select(F.col("branch_id").alias("parent_id"), trim_ws("sql_text").alias("_t")).distinct()
+    return mine.join(theirs, ["parent_id", "_t"], "left_anti").drop("_t", "parent_id")

@@ -58,8 +58,10 @@ def audit_union(branches: DataFrame, changes: DataFrame, snapshots: DataFrame) -
     return created.unionByName(merged).unionByName(applied).unionByName(loaded)
 
 
-AUDIT_ORDER = (F.desc("timestamp"), F.asc("event_type"), F.asc("branch"), F.asc("detail"),
-               F.asc_nulls_first("migration_type"), F.asc("rows_loaded"))
+def audit_order() -> list:
+    """Newest first; ties broken on every column (a total order)."""
+    return [F.desc("timestamp"), F.asc("event_type"), F.asc("branch"), F.asc("detail"),
+            F.asc_nulls_first("migration_type"), F.asc("rows_loaded")]
 
 
 def audit_trail(branches: DataFrame, changes: DataFrame, snapshots: DataFrame,
@@ -71,7 +73,7 @@ def audit_trail(branches: DataFrame, changes: DataFrame, snapshots: DataFrame,
         u = u.filter(F.col("branch") == branch)
     if limit is None:
         return u
-    return u.orderBy(*AUDIT_ORDER).limit(limit)
+    return u.orderBy(*audit_order()).limit(limit)
 
 
 def branch_list(branches: DataFrame, changes: DataFrame, snapshots: DataFrame,
@@ -205,7 +207,7 @@ def purge(branches: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
     gone = branches.filter(F.col("status") == "deleted").select("branch_id").withColumn("_gone", F.lit(True))
     out = None
     for name, df in tables.items():
-        part = (df.select("branch_id").join(F.broadcast(gone) if False else gone, "branch_id", "left")
+        part = (df.select("branch_id").join(gone, "branch_id", "left")
                 .agg(F.count(F.lit(1)).alias("rows_before"), F.count_if(F.col("_gone").isNotNull()).alias("rows_purged"))
                 .select(F.lit(name).alias("table_name"), "rows_before", "rows_purged"))
         out = part if out is None else out.unionByName(part)

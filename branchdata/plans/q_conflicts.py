@@ -231,3 +231,19 @@ def change_risk(c: Ctx):
         F.when(op == "other", F.lit("unrecognised"))))
     return j.select("branch_id", "sequence", "op", "table_name", F.array_join(flags, ",").alias("risk_flags"),
                     F.size(flags).cast("int").alias("risk_count"))
+
+
+@query("merge_seed_rows", hist("""
+SELECT parent_id, plan_id, CAST(NULL AS VARCHAR) AS from_branch FROM seeds
+WHERE parent_id IN (SELECT parent_id FROM links)
+UNION ALL
+SELECT l.parent_id, s.plan_id, l.name FROM seeds0 s JOIN links l ON l.branch_id = s.branch_id
+WHERE NOT EXISTS (SELECT 1 FROM seeds e WHERE e.parent_id = l.parent_id AND e.plan_id = s.plan_id)""",
+    """seeds0 AS (SELECT branch_id, CAST(nullif(regexp_extract(sql_text, '(?i)VALUES\\s*\\(\\s*(\\d+)\\s*\\)', 1), '') AS BIGINT)
+  AS plan_id FROM v_changes WHERE type = 'seed')""",
+    "seeds AS (SELECT branch_id AS parent_id, plan_id FROM seeds0)",
+    """links AS (SELECT b.branch_id, b.name, p.branch_id AS parent_id FROM v_branches b
+  JOIN v_branches p ON p.name = b.parent_branch WHERE b.status = 'active' AND b.branch_id != 0)"""))
+def merge_seed_rows(c: Ctx):
+    """Seed rows of every open branch merged into its parent's table."""
+    return CF.merge_seed_rows(c.branches, c.recorded)

@@ -270,3 +270,13 @@ def sequence_name(c: Ctx):
     ns = FT.namespace("name")
     return c.branches.select("branch_id", ns.alias("namespace"), FT.sequence_name(d).alias("seq_name"),
                              FT.requalify_sequence(d, ns).alias("branch_default"))
+
+
+@query("change_diff", hist(f"""
+SELECT c.branch_id, c.sequence, c.type, c.description FROM v_changes c
+JOIN v_branches b ON b.branch_id = c.branch_id JOIN v_branches p ON p.name = b.parent_branch
+WHERE NOT EXISTS (SELECT 1 FROM v_migrations pm WHERE pm.branch_id = p.branch_id
+                  AND {trim('pm.sql_text')} = {trim('c.sql_text')})"""))
+def change_diff(c: Ctx):
+    """Changes a branch has and its parent lacks, compared on trimmed text."""
+    return HI.diff_vs_parent(c.recorded, c.branches).select("branch_id", "sequence", "type", "description")
