@@ -112,20 +112,33 @@ def with_parent(branches: DataFrame) -> DataFrame:
 
 def parent_ahead(branches: DataFrame, changes: DataFrame) -> DataFrame:
     """Changes of each branch's (active) parent: all of them, and those
-    after the branch was created."""
+    applied after the branch was created.
+
+    "After creation" is a running count, not a join of every child with
+    every parent change: parent changes and child creation probes are put on
+    one time line per parent, and a running sum (balanced for hot parents)
+    gives, at each probe, the parent changes up to that time.
+    """
+    from .scan import balanced_scan
     p = (branches.filter(F.col("status") == "active")
          .select(F.col("name").alias("parent_branch"), F.col("branch_id").alias("parent_id")))
     b = branches.select("branch_id", "name", "parent_branch", "created_at").join(p, "parent_branch", "left")
     per_parent = changes.groupBy(F.col("branch_id").alias("parent_id")).agg(F.count(F.lit(1)).alias("pc"))
-    # changes of the parent after the child's creation: join child -> parent changes
-    pch = changes.select(F.col("branch_id").alias("parent_id"), F.col("applied_at"))
-    since = (b.select("branch_id", "parent_id", "created_at").join(pch, "parent_id")
-              .filter(F.col("applied_at") > F.col("created_at"))
-              .groupBy("branch_id").agg(F.count(F.lit(1)).alias("since")))
-    return (b.join(per_parent, "parent_id", "left").join(since, "branch_id", "left")
+    none = F.lit(None).cast("bigint")
+    line = (changes.select(F.col("branch_id").alias("parent_id"), F.col("applied_at").alias("t"),
+                           F.lit(1).alias("w"), F.lit(0).alias("kind"), none.alias("child"))
+            .unionByName(b.filter(F.col("parent_id").isNotNull())
+                          .select("parent_id", F.col("created_at").alias("t"), F.lit(0).alias("w"),
+                                  F.lit(1).alias("kind"), F.col("branch_id").alias("child"))))
+    # changes sort before a probe at the same time, so "up to" includes ties
+    line = line.withColumn("_o", F.unix_micros(F.col("t").cast("timestamp")) * 2 + F.col("kind"))
+    upto = (balanced_scan(line, ["parent_id"], "_o", sums={"_le": F.col("w")})
+            .filter(F.col("kind") == 1)
+            .select(F.col("child").alias("branch_id"), F.coalesce("_le", F.lit(0)).alias("_le")))
+    return (b.join(per_parent, "parent_id", "left").join(upto, "branch_id", "left")
              .select("branch_id", "name", "parent_branch",
                      F.coalesce("pc", F.lit(0)).alias("parent_changes"),
-                     F.coalesce("since", F.lit(0)).alias("parent_changes_since")))
+                     (F.coalesce("pc", F.lit(0)) - F.coalesce("_le", F.lit(0))).alias("parent_changes_since")))
 
 
 def divergence(branches: DataFrame, changes: DataFrame) -> DataFrame:

@@ -93,3 +93,19 @@ def pieced_scan(df: DataFrame, parts: Sequence[str], order: str,
             F.coalesce(m, F.lit(0)) + F.coalesce(cs, F.lit(0)))
     result = joined.withColumns(out).select(*df.columns, *out.keys())
     return result.checkpoint(eager=True) if checkpoint else result
+
+
+def balanced_scan(df: DataFrame, parts: Sequence[str], order: str,
+                  lasts: Mapping[str, Column] | None = None,
+                  sums: Mapping[str, Column] | None = None,
+                  hot_cols: Sequence[str] | None = None) -> DataFrame:
+    """One scan step, split once into hot keys (pieced) and the rest (plain)."""
+    from .numbering import collect_hot
+    hot_cols = list(hot_cols or parts[:1])
+    hot = collect_hot(df, hot_cols)
+    if hot is None:
+        return plain_scan(df, parts, order, lasts, sums)
+    cold = plain_scan(df.join(hot, hot_cols, "left_anti"), parts, order, lasts, sums)
+    warm = pieced_scan(df.join(hot, hot_cols, "left_semi"), parts, order, lasts, sums,
+                       piece_cols=hot_cols, checkpoint=False)
+    return cold.unionByName(warm)

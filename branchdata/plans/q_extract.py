@@ -35,7 +35,7 @@ def table_stats(c: Ctx):
     return X.table_stats(c.src, DRIVER_TABLES)
 
 
-@query("schema_catalog")
+@query("schema_catalog", f"WITH {catalog(list(DRIVER_TABLES))} SELECT * FROM cat")
 def schema_catalog(c: Ctx):
     return catalog_of(c.spark, {t: c.t(t) for t in DRIVER_TABLES})
 

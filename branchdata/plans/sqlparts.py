@@ -114,10 +114,13 @@ def spark_type(x: str) -> str:
 
 
 def catalog(tables: list[str]) -> str:
-    names = ", ".join(f"'{t}'" for t in tables)
-    return (f"cat AS (SELECT table_name, column_name, {spark_type('data_type')} AS data_type, "
-            f"CAST(ordinal_position AS INT) AS position FROM information_schema.columns "
-            f"WHERE table_name IN ({names}))")
+    """Catalog CTE ``cat`` (table_name, column_name, data_type, nullable,
+    position) from DESCRIBE of each table (works for views, tables and
+    registered frames alike)."""
+    parts = [f"SELECT '{t}' AS table_name, column_name, {spark_type('column_type')} AS data_type, "
+             f"\"null\" = 'YES' AS nullable, CAST(row_number() OVER () AS INT) AS position FROM (DESCRIBE {t})"
+             for t in tables]
+    return "cat AS (" + " UNION ALL ".join(parts) + ")"
 
 
 def body_expr(x: str) -> str:
