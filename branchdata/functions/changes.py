@@ -84,12 +84,43 @@ def strip_comments(sql) -> Column:
 
 
 def _name(c: Column) -> Column:
-    return F.lower(F.regexp_replace(c, '"', ""))
+    return F.lower(F.translate(c, '"', ""))
+
+
+def with_objects(df, sql_col: str = "sql_text", keep_body: bool = False):
+    """Add op, table_name, column_name, detail (op 'other' if no shape
+    matches; ``detail`` is the new column name, new type, or index name).
+
+    Three small projections instead of one huge one: the comment-free body,
+    then the op (each shape's regex guarded by the statement's first word),
+    then one ``regexp_extract`` per output chosen by op.  Spark keeps the
+    stages apart (regular expressions are not cheap to repeat), and each
+    stays small enough for compiled code."""
+    body = strip_comments(F.col(sql_col))
+    out = df.withColumn("_body", body).withColumn(
+        "_first", F.upper(F.regexp_extract(F.col("_body"), r"^(\w+)", 1)))
+    b, first = F.col("_body"), F.col("_first")
+    op = F.lit("other")
+    for name, rx, *_ in reversed(OBJECT_SHAPES):
+        keyword = rx.split("^", 1)[1].split("\\", 1)[0]
+        op = F.when((first == keyword) & b.rlike(rx), F.lit(name)).otherwise(op)
+    out = out.withColumn("op", op)
+
+    def pick(group_index: int) -> Column:
+        expr = F.lit(None).cast("string")
+        for name, rx, *groups in OBJECT_SHAPES:
+            g = groups[group_index]
+            if g:
+                expr = F.when(F.col("op") == name, _name(F.regexp_extract(b, rx, g))).otherwise(expr)
+        return expr
+    out = out.withColumns({"table_name": pick(0), "column_name": pick(1), "detail": pick(2)})
+    out = out.drop("_first")
+    return out if keep_body else out.drop("_body")
 
 
 def change_objects(sql) -> list[Column]:
-    """[op, table_name, column_name, detail] columns (op 'other' if no shape
-    matches).  ``detail`` is the new column name, new type, or index name."""
+    """Column form of ``with_objects`` (one projection; prefer
+    ``with_objects`` on large inputs)."""
     body = strip_comments(sql)
     op = F.lit("other")
     table = column = detail = F.lit(None).cast("string")

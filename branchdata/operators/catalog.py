@@ -105,7 +105,7 @@ def type_mapping(spark: SparkSession, catalog: DataFrame) -> DataFrame:
 
 def empty_like(spark: SparkSession, df: DataFrame) -> DataFrame:
     """A table's shape without its rows (rebuild in another namespace)."""
-    return spark.createDataFrame([], df.schema)
+    return df.limit(0)
 
 
 def load_order(catalog: DataFrame, constraints: DataFrame) -> DataFrame:

@@ -23,8 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.changes import (auto_resolve, change_objects, conflict_class,
-                                 conflict_details, create_columns)
+from ..functions.changes import (auto_resolve, conflict_class, conflict_details,
+                                 create_columns, with_objects)
 from .numbering import collect_hot
 from .scan import pieced_scan, plain_scan
 
@@ -41,8 +41,8 @@ def check(changes: DataFrame, catalog: DataFrame, indexes: DataFrame,
     Returns every change with op, table_name, column_name, conflict_type
     (NULL = safe) and a database-style message.
     """
-    objs = changes.select("branch_id", "sequence", "sql_text", *change_objects(F.col("sql_text")),
-                          create_columns(F.col("sql_text")).alias("create_cols"))
+    objs = with_objects(changes.select("branch_id", "sequence", "sql_text"), "sql_text", keep_body=True)
+    objs = objs.withColumn("create_cols", create_columns(F.col("_body"))).drop("_body")
     cat_tables = catalog.select(F.lower("table_name").alias("table_name")).distinct() \
                         .withColumn("cat_table", F.lit(True))
     cat_cols = catalog.select(F.lower("table_name").alias("table_name"),

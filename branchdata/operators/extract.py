@@ -161,6 +161,31 @@ def snapshot_all(src: Source, store: BranchStore, branch: str, specs: Sequence[E
     return results
 
 
+def copy_branch(store: BranchStore, source: str, target: str, parallel_tables: int = 3) -> list[str]:
+    """Copy every ready table of ``source`` into a new version of ``target``
+    (read -> write per table, a bounded pool of concurrent jobs)."""
+    paths = store.ready_versions(source)
+
+    def copy(table: str) -> str:
+        store.write(store.spark.read.parquet(paths[table]), target, table)
+        return table
+
+    with ThreadPoolExecutor(max_workers=max(1, parallel_tables)) as pool:
+        return sorted(pool.map(copy, sorted(paths)))
+
+
+def write_shapes(store: BranchStore, branch: str, frames: dict, parallel_tables: int = 3) -> None:
+    """Rebuild each table's shape (no rows) in the branch; ``limit(0)`` is
+    planned as an empty relation, so no source data is read."""
+
+    def one(item):
+        name, df = item
+        store.write(df.limit(0), branch, name)
+
+    with ThreadPoolExecutor(max_workers=max(1, parallel_tables)) as pool:
+        list(pool.map(one, sorted(frames.items())))
+
+
 def load_results_frame(spark: SparkSession, store: BranchStore, branch: str) -> DataFrame:
     """Rows per table as stored (read back from the published versions)."""
     latest = store.latest().filter(F.col("branch") == branch)

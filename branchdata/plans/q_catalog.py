@@ -146,11 +146,10 @@ def create_branch(c: Ctx):
     store = BranchStore(c.spark, c.scratch())
     branch = "branch_feature_new"
     configured = {s.table for s in S.LOAD_SPECS}
-    for t in DRIVER_TABLES:
-        if t not in configured:
-            store.write(CT.empty_like(c.spark, c.t(t)), branch, t)
+    X.write_shapes(store, branch, {t: c.t(t) for t in DRIVER_TABLES if t not in configured}, parallel_tables=3)
     X.snapshot_all(c.src, store, branch, S.LOAD_SPECS, S.MASK_RULES, parallel_tables=3)
-    cat = CT.catalog_of(c.spark, {t: store.read(branch, t) for t in DRIVER_TABLES})
+    paths = store.ready_versions(branch)
+    cat = CT.catalog_of(c.spark, {t: c.spark.read.parquet(paths[t]) for t in DRIVER_TABLES})
     ncols = cat.groupBy("table_name").agg(F.count(F.lit(1)).alias("n_columns"))
     state = store.latest().filter(F.col("branch") == branch).select("table_name", "rows_loaded")
     return (ncols.join(state, "table_name", "left")

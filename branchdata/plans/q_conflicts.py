@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.changes import change_objects
 from ..operators import conflicts as CF
 from ..operators.extract import table_stats
 from ..sources.tables import DRIVER_TABLES
@@ -216,9 +215,9 @@ def change_risk(c: Ctx):
     """Fixed risk rules per ddl change, using the size of the touched table."""
     stats = table_stats(c.src, DRIVER_TABLES)
     ddl = c.recorded.filter(F.col("type") == "ddl")
-    from ..functions.changes import strip_comments
-    o = ddl.select("branch_id", "sequence", strip_comments(F.col("sql_text")).alias("body"),
-                   *change_objects(F.col("sql_text")))
+    from ..functions.changes import with_objects
+    o = (with_objects(ddl.select("branch_id", "sequence", "sql_text"), keep_body=True)
+         .withColumnRenamed("_body", "body"))
     j = o.join(F.broadcast(stats), "table_name", "left")
     op = F.col("op")
     rows = F.coalesce("row_count", F.lit(0))

@@ -224,8 +224,7 @@ def clone_branch(c: Ctx):
     per table), then report the new branch's stored tables."""
     store = BranchStore(c.spark, c.scratch())
     X.snapshot_all(c.src, store, "branch_a", S.LOAD_SPECS, S.MASK_RULES, parallel_tables=3)
-    for t in store.ready_tables("branch_a"):
-        store.write(store.read("branch_a", t), "branch_b", t)
+    X.copy_branch(store, "branch_a", "branch_b", parallel_tables=3)
     return (store.latest().filter(F.col("branch") == "branch_b")
             .select("table_name", "status", "rows_loaded"))
 

@@ -63,7 +63,8 @@ FROM (SELECT migration_id, {body_expr('sql_text')} AS body FROM v_migrations)"""
 
 @query("change_objects", _objects_sql())
 def change_objects(c: Ctx):
-    return c.changes.select("migration_id", *FC.change_objects(F.col("sql_text")))
+    return (FC.with_objects(c.changes.select("migration_id", "sql_text"))
+            .select("migration_id", "op", "table_name", "column_name", "detail"))
 
 
 @query("assign_sequence", hist("SELECT migration_id, branch_id, sequence FROM v_migrations"))

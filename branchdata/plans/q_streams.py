@@ -50,6 +50,6 @@ def activity_stream(c: Ctx):
     ev = c.t("events")
     src = SL.split_into_files(ev, join(root, "in"), 8)
     SL.activity_counts(c.spark, src, ev.schema, join(root, "view"), join(root, "ckpt"),
-                       watermark="30 days")
+                       watermark="30 days", files_per_batch=4)
     return c.spark.read.parquet(join(root, "view", "state")).select(
         "branch_id", "event_type", F.col("events").cast("bigint").alias("events"))

@@ -28,3 +28,18 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
 def join(*parts: str) -> str:
     head, *rest = parts
     return "/".join([head.rstrip("/")] + [r.strip("/") for r in rest])
+
+
+def write_text_atomically(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file under a hidden name, then rename it into place, so
+    readers never see a partial file (a commit-log entry)."""
+    jvm = spark.sparkContext._jvm
+    final, fs = _path(spark, path)
+    tmp = jvm.org.apache.hadoop.fs.Path(final.getParent(), "." + final.getName() + ".tmp")
+    out = fs.create(tmp, False)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    if not fs.rename(tmp, final):
+        raise OSError(f"could not publish {path}")

@@ -10,6 +10,7 @@ never overwritten while it may be read.
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from datetime import datetime, timezone
@@ -59,17 +60,20 @@ class BranchStore:
 
     def publish(self, branch: str, table: str, version: str | None, status: str,
                 rows: int = 0) -> None:
-        """Append one event.  Each event is its own small data set (concurrent
-        loads never share a write folder); readers see them all."""
-        row = [(branch, table, version, status, int(rows), datetime.now(timezone.utc), time.time_ns())]
-        path = fs.join(self.events_path(), f"ev={uuid.uuid4().hex}")
-        self.spark.createDataFrame(row, EVENT_SCHEMA).coalesce(1).write.mode("error").parquet(path)
+        """Append one event to the branch's commit log: one small JSON file
+        per event, written by the driver and renamed into place (like a
+        table-format transaction log), so concurrent loads never share a
+        file and readers never see a partial entry."""
+        event = {"branch": branch, "table_name": table, "version": version, "status": status,
+                 "rows_loaded": int(rows), "at": datetime.now(timezone.utc).isoformat(),
+                 "seq": time.time_ns()}
+        name = f"{event['seq']:020d}-{uuid.uuid4().hex[:8]}.json"
+        fs.write_text_atomically(self.spark, fs.join(self.events_path(), name), json.dumps(event) + "\n")
 
     def events(self) -> DataFrame:
         if not fs.exists(self.spark, self.events_path()):
             return self.spark.createDataFrame([], EVENT_SCHEMA)
-        return (self.spark.read.option("recursiveFileLookup", "true").schema(EVENT_SCHEMA)
-                .parquet(self.events_path()))
+        return self.spark.read.schema(EVENT_SCHEMA).json(self.events_path())
 
     def latest(self) -> DataFrame:
         """Latest event per (branch, table): upsert, last wins."""
@@ -78,6 +82,13 @@ class BranchStore:
                   .agg(F.max_by(F.struct("version", "status", "rows_loaded", "at"), F.col("seq")).alias("s"))
                   .select("branch", "table_name", "s.*"))
 
+    def ready_versions(self, branch: str) -> dict[str, str]:
+        """table -> path of its latest ready version (one small job; one row
+        per table of the branch)."""
+        rows = (self.latest().filter((F.col("branch") == branch) & (F.col("status") == "ready"))
+                .select("table_name", "version").collect())
+        return {r.table_name: fs.join(self.table_dir(branch, r.table_name), f"v={r.version}") for r in rows}
+
     def read(self, branch: str, table: str) -> DataFrame:
         st = (self.latest().filter((F.col("branch") == branch) & (F.col("table_name") == table)
                                    & (F.col("status") == "ready")).select("version").collect())
