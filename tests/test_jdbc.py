@@ -17,6 +17,7 @@ def derby_orders(spark):
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     try:
         src.write.format("jdbc").option("url", URL).option("dbtable", "ORDERS").options(**PROPS) \
+            .option("createTableColumnTypes", "o_orderstatus VARCHAR(8)") \
             .mode("overwrite").save()
     except Exception as exc:  # driver not on the class path in this image
         pytest.skip(f"embedded Derby not available: {str(exc).splitlines()[0][:120]}")
