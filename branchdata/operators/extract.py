@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -193,4 +193,5 @@ def load_results_frame(spark: SparkSession, store: BranchStore, branch: str) ->
 
 
 def recent(df: DataFrame, ts_col: str, ref_ts: str, days: int) -> DataFrame:
-    return df.filter(F.col(ts_col) >= F.lit(ref_ts).cast("timestamp_ntz") - F.make_interval(days=F.lit(days)))
+    """Rows of the last ``days`` days before a fixed reference time."""
+    return df.filter(F.col(ts_col) >= F.expr(f"timestamp_ntz'{ref_ts}' - INTERVAL {int(days)} DAYS"))

@@ -143,9 +143,8 @@ SELECT event_id, user_id, event_type, ts FROM events
 WHERE ts >= TIMESTAMP '{S.EVENTS_REF_TS}' - INTERVAL {S.RECENT_DAYS} DAY
 """)
 def extract_recent(c: Ctx):
-    return (c.t("events")
-            .filter(F.col("ts") >= F.expr(f"timestamp_ntz'{S.EVENTS_REF_TS}' - INTERVAL {S.RECENT_DAYS} DAYS"))
-            .select("event_id", "user_id", "event_type", "ts"))
+    return X.recent(c.t("events"), "ts", S.EVENTS_REF_TS, S.RECENT_DAYS) \
+        .select("event_id", "user_id", "event_type", "ts")
 
 
 _LI_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")

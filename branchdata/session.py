@@ -6,7 +6,6 @@ helpers are for tests, the bench and local runs only.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -49,15 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
+    configured = sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured:   # tests / local runs only: a scratch folder
         configured = tempfile.mkdtemp(prefix="branchdata-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
-    return configured
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """Folder for branch stores written by queries: next to the checkpoints,
-    so that on a cluster it is the shared folder as well."""
-    return os.path.join(ensure_checkpoint_dir(spark), "branches")
+    return sc._jsc.sc().getCheckpointDir().get()

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
+from . import fs
+
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
                  "lineitem", "events", "documents", "embeddings", "pages",
                  "benchmark", "labels", "conversations")
@@ -23,7 +23,7 @@ class Source:
         self.root = root.rstrip("/")
 
     def path(self, name: str) -> str:
-        return os.path.join(self.root, f"{name}.parquet")
+        return fs.join(self.root, f"{name}.parquet")
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
@@ -32,11 +32,7 @@ class Source:
 
     def names(self) -> list[str]:
         """Tables present, ordered by name."""
-        found = []
-        for entry in sorted(os.listdir(self.root)):
-            if entry.endswith(".parquet"):
-                found.append(entry[: -len(".parquet")])
-        return found
+        return [e[: -len(".parquet")] for e in fs.list_names(self.spark, self.root) if e.endswith(".parquet")]
 
     def register(self, names=None) -> None:
         for n in names or self.names():
