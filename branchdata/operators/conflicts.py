@@ -14,8 +14,9 @@ never touched; a plan has no side effects).  The replay needs no loop:
    else the column list of the CREATE TABLE that opened the epoch;
 4. index state = the last CREATE/DROP INDEX of that name, else the catalog.
 
-Rename targets are tracked as "now present"; type changes are not checked
-against a cast matrix (no types in the statement shapes we read).
+Rename targets are tracked as "now present"; indexes are not dropped
+together with their table; type changes are not checked against a cast
+matrix (no types in the statement shapes we read).
 """
 
 from __future__ import annotations
@@ -109,7 +110,9 @@ def _replay(objs: DataFrame, cat_tables: DataFrame, cat_cols: DataFrame, cat_idx
           .filter(F.col("_main")))
 
     # 4: index state per (branch, index name)
-    i_event = F.when(op == "create_index", F.lit(True)).when(op == "drop_index", F.lit(False))
+    # a CREATE INDEX on a missing table is rejected and creates nothing
+    i_event = (F.when((op == "create_index") & F.col("table_before"), F.lit(True))
+                .when(op == "drop_index", F.lit(False)))
     t = scan(t.join(F.broadcast(cat_idx), "detail", "left"), ["branch_id", "detail"], lasts={"_ib": i_event})
     t = t.withColumn("index_before", F.when(op.isin("create_index", "drop_index"),
                                             F.coalesce("_ib", "cat_idx", F.lit(False))))

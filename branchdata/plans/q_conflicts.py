@@ -69,7 +69,7 @@ _CHECK_CTES = [
   FROM touch LEFT JOIN base_c bc ON bc.table_name = touch.table_name AND bc.col = touch.col)""",
     "t5 AS (SELECT t4.*, tc.col_before FROM t4 LEFT JOIN (SELECT * FROM tc WHERE main) tc USING (branch_id, sequence))",
     f"""t6 AS (SELECT t5.*, CASE WHEN op IN ('create_index', 'drop_index') THEN
-  coalesce(last_value(CASE WHEN op = 'create_index' THEN true WHEN op = 'drop_index' THEN false END IGNORE NULLS)
+  coalesce(last_value(CASE WHEN op = 'create_index' AND table_before THEN true WHEN op = 'drop_index' THEN false END IGNORE NULLS)
     OVER (PARTITION BY branch_id, detail ORDER BY sequence {_PREV}), bi.idx IS NOT NULL) END AS index_before
   FROM t5 LEFT JOIN base_i bi ON bi.idx = t5.detail)""",
     """checked AS (SELECT branch_id, sequence, sql_text, op, table_name, column_name, detail,
