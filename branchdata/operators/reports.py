@@ -65,12 +65,20 @@ def audit_order() -> list:
 
 
 def audit_trail(branches: DataFrame, changes: DataFrame, snapshots: DataFrame,
-                limit: int | None = 100, branch: str | None = None) -> DataFrame:
+                limit: int | None = 100, branch: str | None = None,
+                per_source_limit: int | None = None) -> DataFrame:
     """One global order (newest first) over all four kinds; the limit is
-    applied after the sort (a top-k, no per-source cut)."""
+    applied after the sort (a top-k, no per-source cut).  ``per_source_limit``
+    instead keeps the newest n of each kind (top-k per kind), then sorts."""
     u = audit_union(branches, changes, snapshots)
     if branch is not None:
         u = u.filter(F.col("branch") == branch)
+    if per_source_limit is not None:
+        parts = [u.filter(F.col("event_type") == kind).orderBy(*audit_order()).limit(per_source_limit)
+                 for kind in ("branch_created", "branch_merged", "migration_applied", "snapshot_completed")]
+        u = parts[0]
+        for p in parts[1:]:
+            u = u.unionByName(p)
     if limit is None:
         return u
     return u.orderBy(*audit_order()).limit(limit)
