@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.changes import (auto_resolve, conflict_class, conflict_details,
                                  create_columns, with_objects)
-from .numbering import collect_hot
+from .numbering import DETECT, collect_hot
 from .scan import pieced_scan, plain_scan
 
 NEEDS_TABLE = ("add_column", "drop_column", "rename_column", "alter_type", "drop_table",
@@ -35,9 +35,11 @@ NEEDS_COLUMN = ("drop_column", "rename_column", "alter_type")
 
 
 def check(changes: DataFrame, catalog: DataFrame, indexes: DataFrame,
-          hot_rows: int | None = None, max_hot: int | None = None) -> DataFrame:
+          hot_rows: int | None = None, max_hot: int | None = None, hot=DETECT) -> DataFrame:
     """changes: (branch_id, sequence, sql_text, ...); catalog: (table_name,
-    column_name); indexes: (index_name, table_name).
+    column_name); indexes: (index_name, table_name).  ``hot``: keys of the
+    branches to scan in pieces (found on ``changes`` when not given; any
+    superset of the hot branches gives the same result).
 
     Returns every change with op, table_name, column_name, conflict_type
     (NULL = safe) and a database-style message.
@@ -54,7 +56,8 @@ def check(changes: DataFrame, catalog: DataFrame, indexes: DataFrame,
 
     # Branches with very many changes take the pieced (parallel) scan path;
     # the keys are found once, on the input, and the input is split once.
-    hot = collect_hot(objs, ["branch_id"], hot_rows, max_hot)
+    if hot is DETECT:      # a superset of the hot branches is fine too
+        hot = collect_hot(objs, ["branch_id"], hot_rows, max_hot)
     if hot is None:
         t = _replay(objs, cat_tables, cat_cols, cat_idx, _plain_step)
     else:

@@ -125,9 +125,12 @@ def collect_hot(df: DataFrame, group_cols: Sequence[str], hot_rows: int | None =
     return F.broadcast(df.sparkSession.createDataFrame([tuple(k) for k in keys], schema))
 
 
+DETECT = object()   # sentinel: find the hot keys here
+
+
 def number_rows(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
                 out: str = "rn", hot_rows: int | None = None,
-                max_hot: int | None = None) -> DataFrame:
+                max_hot: int | None = None, hot=DETECT) -> DataFrame:
     """Exact ``row_number()`` per group (1-based, int), balanced for hot groups.
 
     The hot keys are found first (one aggregate over the group columns; at
@@ -141,7 +144,8 @@ def number_rows(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
     plain = df.select(*df.columns, F.row_number().over(window).cast("int").alias(out))
     if _rangeable(df, order_cols) is None:
         return plain
-    hot = collect_hot(df, group_cols, hot_rows, max_hot)
+    if hot is DETECT:       # caller may pass keys found on a cheaper input
+        hot = collect_hot(df, group_cols, hot_rows, max_hot)
     if hot is None:
         return plain
     cold = (df.join(hot, group_cols, "left_anti")

@@ -28,7 +28,7 @@ def _open_mergeable(c: Ctx):
 
 def _checked(c: Ctx):
     cat, idx = _base_catalog(c.spark)
-    return CF.check(_open_mergeable(c), cat, idx)
+    return c._get("checked", lambda: CF.check(_open_mergeable(c), cat, idx, hot=c.hot_branches))
 
 
 _BASE_T = ", ".join(f"('{t}')" for t, _ in S.BASE_CATALOG)

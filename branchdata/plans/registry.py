@@ -53,9 +53,16 @@ class Ctx:
     def branches(self) -> DataFrame:
         return self._get("branches", lambda: H.branches(self.src))
 
+    @property
+    def hot_branches(self):
+        """Hot branch keys (or None), found once per query on the raw key column."""
+        if "hot" not in self._memo:
+            self._memo["hot"] = H.hot_branches(self.src)
+        return self._memo["hot"]
+
     @property
     def changes(self) -> DataFrame:
-        return self._get("changes", lambda: H.changes(self.src))
+        return self._get("changes", lambda: H.changes(self.src, hot=self.hot_branches))
 
     @property
     def recorded(self) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.numbering import number_rows
+from ..operators.numbering import DETECT, number_rows
 from .tables import Source
 
 
@@ -68,14 +68,22 @@ def change_text(key):
              .otherwise(F.concat(F.lit("DELETE FROM users WHERE id = "), k50)))
 
 
-def changes(src: Source) -> DataFrame:
-    """(migration_id, branch_id, sequence, sql_text, applied_at)."""
+def hot_branches(src: Source):
+    """Keys of branches with very many changes (see ``number_rows``), found
+    on the one column that defines the branch of a change; None if none."""
+    from ..operators.numbering import collect_hot
+    return collect_hot(src.table("orders").select(F.col("o_custkey").alias("branch_id")), ["branch_id"])
+
+
+def changes(src: Source, hot=DETECT) -> DataFrame:
+    """(migration_id, branch_id, sequence, sql_text, applied_at).  ``hot``:
+    hot branch keys if already known (else found here)."""
     o = src.table("orders").select(
         F.col("o_orderkey").alias("migration_id"),
         F.col("o_custkey").alias("branch_id"),
         change_text(F.col("o_orderkey")).alias("sql_text"),
         F.col("o_orderdate").alias("applied_at"))
-    return (number_rows(o, ["branch_id"], ["applied_at", "migration_id"], out="sequence")
+    return (number_rows(o, ["branch_id"], ["applied_at", "migration_id"], out="sequence", hot=hot)
             .select("migration_id", "branch_id", "sequence", "sql_text", "applied_at"))
 
 
