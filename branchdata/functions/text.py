@@ -51,9 +51,20 @@ def short_id(c, n: int = 8) -> Column:
     return F.substring(_c(c), 1, n)
 
 
+def ntz_micros(c) -> Column:
+    """Microseconds since 1970-01-01 00:00 of a timestamp without time zone,
+    from its calendar fields: the same in every session time zone (a cast to
+    an instant is not: local times in a daylight-saving gap move)."""
+    c = _c(c)
+    days = F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    whole = days * 86400 + F.hour(c).cast("bigint") * 3600 + F.minute(c).cast("bigint") * 60
+    return whole * 1_000_000 + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
+
+
 def age_text(ts, ref) -> Column:
-    """'just now' / 'Nm ago' / 'Nh ago' / 'Nd ago' of ``ts`` seen at ``ref``."""
-    secs = F.timestamp_diff("SECOND", _c(ts), _c(ref))
+    """'just now' / 'Nm ago' / 'Nh ago' / 'Nd ago' of ``ts`` seen at ``ref``
+    (both timestamps without time zone, compared by their wall clocks)."""
+    secs = ((ntz_micros(ref) - ntz_micros(ts)) / 1_000_000).cast("bigint")
     return (F.when(secs < 60, F.lit("just now"))
              .when(secs < 3600, F.concat((secs / 60).cast("bigint").cast("string"), F.lit("m ago")))
              .when(secs < 86400, F.concat((secs / 3600).cast("bigint").cast("string"), F.lit("h ago")))

@@ -43,8 +43,12 @@ def _partitions(df: DataFrame) -> int:
 
 
 def _as_number(c: Column, dtype) -> Column:
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
+    """A number that orders like the column, in every session time zone."""
+    if isinstance(dtype, T.TimestampNTZType):
+        from ..functions.text import ntz_micros
+        return ntz_micros(c).cast("double")
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(c).cast("double")
     if isinstance(dtype, T.DateType):
         return F.unix_date(c).cast("double")
     return c.cast("double")

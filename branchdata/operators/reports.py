@@ -139,7 +139,8 @@ def parent_ahead(branches: DataFrame, changes: DataFrame) -> DataFrame:
                           .select("parent_id", F.col("created_at").alias("t"), F.lit(0).alias("w"),
                                   F.lit(1).alias("kind"), F.col("branch_id").alias("child"))))
     # changes sort before a probe at the same time, so "up to" includes ties
-    line = line.withColumn("_o", F.unix_micros(F.col("t").cast("timestamp")) * 2 + F.col("kind"))
+    from ..functions.text import ntz_micros
+    line = line.withColumn("_o", ntz_micros("t") * 2 + F.col("kind"))
     upto = (balanced_scan(line, ["parent_id"], "_o", sums={"_le": F.col("w")})
             .filter(F.col("kind") == 1)
             .select(F.col("child").alias("branch_id"), F.coalesce("_le", F.lit(0)).alias("_le")))

@@ -44,3 +44,22 @@ def test_pieced_scan_equals_plain_scan(spark):
     a = plain_scan(df, ["g"], "seq", lasts, sums)
     b = pieced_scan(df, ["g"], "seq", lasts, sums, piece_cols=["g"], pieces=7, checkpoint=False)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_pieces_follow_wall_clock_in_any_time_zone(spark):
+    """Timestamps without time zone inside a daylight-saving gap keep their
+    order in the pieced path, whatever the session time zone."""
+    from datetime import datetime, timedelta
+    t0 = datetime(2024, 3, 10, 1, 0)
+    rows = [(0, i, t0 + timedelta(minutes=7 * i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "g long, id long, s timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    spark.conf.set("branchdata.hotGroupRows", "10")
+    try:
+        got = number_rows(df, ["g"], ["s", "id"], "rn")
+        want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("s", "id")).cast("int"))
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+        spark.conf.unset("branchdata.hotGroupRows")
