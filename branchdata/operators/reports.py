@@ -240,3 +240,22 @@ def purged(df: DataFrame, branches: DataFrame) -> DataFrame:
     """A history table without the rows of deleted branches."""
     gone = branches.filter(F.col("status") == "deleted").select("branch_id")
     return df.join(gone, "branch_id", "left_anti")
+
+
+def export_audit(trail: DataFrame, path: str, fmt: str = "csv") -> None:
+    """Write an audit trail: ``csv`` with a header and six columns, ``json``
+    with empty fields left out (an empty migration type and a zero row count
+    become NULL, which the JSON writer omits), or ``text`` as fixed-width
+    lines.  Executors write in parallel; nothing passes through the driver."""
+    if fmt == "csv":
+        trail.write.option("header", True).mode("error").csv(path)
+    elif fmt == "json":
+        (trail.withColumn("migration_type", F.when(F.col("migration_type") != "", F.col("migration_type")))
+              .withColumn("rows_loaded", F.when(F.col("rows_loaded") != 0, F.col("rows_loaded")))
+              .write.mode("error").json(path))
+    elif fmt == "text":
+        line = F.format_string("%-20s  %-22s  %-20s  %s", F.col("timestamp"), F.col("event_type"),
+                               F.col("branch"), F.col("detail"))
+        trail.select(line.alias("value")).write.mode("error").text(path)
+    else:
+        raise ValueError(f"unknown audit format {fmt!r}")

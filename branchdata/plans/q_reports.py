@@ -57,7 +57,7 @@ def audit_export(c: Ctx):
     """Write the whole audit trail as CSV with a header, read it back."""
     path = c.scratch() + "/audit_csv"
     trail = R.audit_trail(c.branches, c.recorded, c.snapshots, limit=None)
-    trail.write.option("header", True).mode("error").csv(path)
+    R.export_audit(trail, path, "csv")
     return c.spark.read.schema(trail.schema).option("header", True).csv(path)
 
 

@@ -47,3 +47,20 @@ def test_pages_cover_each_key_once(spark):
         seen += [(r.conv_id, r.turn) for r in page]
         cursor = [page[-1].conv_id, page[-1].turn]
     assert len(seen) == len(set(seen)) == conv.count()
+
+
+def test_audit_json_omits_empty_fields(spark, tmp_path):
+    import json
+    import os
+    from branchdata.operators import reports as R
+    c = Ctx(spark, SF001)
+    trail = R.audit_trail(c.branches, c.recorded, c.snapshots, limit=None)
+    R.export_audit(trail, str(tmp_path / "j"), "json")
+    R.export_audit(trail, str(tmp_path / "t"), "text")
+    docs = [json.loads(line) for f in os.listdir(tmp_path / "j") if f.endswith(".json")
+            for line in open(tmp_path / "j" / f)]
+    assert len(docs) == trail.count()
+    created = [d for d in docs if d["event_type"] == "branch_created"]
+    assert created and all("migration_type" not in d and "rows_loaded" not in d for d in created)
+    assert all("migration_type" in d for d in docs if d["event_type"] == "migration_applied")
+    assert spark.read.text(str(tmp_path / "t")).count() == trail.count()
