@@ -55,10 +55,10 @@ def schema_diff(c: Ctx):
 
 
 @query("schema_diff_summary", f"""WITH {_CAT}, {_NEW_CAT}, {_DIFF}
-SELECT count_if(change_kind IN ('add_table', 'add_column')) AS added,
-  count_if(change_kind IN ('remove_table', 'remove_column')) AS removed,
+SELECT count(*) FILTER (WHERE change_kind IN ('add_table', 'add_column')) AS added,
+  count(*) FILTER (WHERE change_kind IN ('remove_table', 'remove_column')) AS removed,
   CAST(count(DISTINCT CASE WHEN change_kind IN ('add_column', 'remove_column', 'change_type') THEN table_name END)
-       + count_if(change_kind = 'change_type') AS BIGINT) AS changed,
+       + count(*) FILTER (WHERE change_kind = 'change_type') AS BIGINT) AS changed,
   count(DISTINCT CASE WHEN change_kind IN ('add_column', 'remove_column', 'change_type') THEN table_name END) AS tables_changed
 FROM diff""")
 def schema_diff_summary(c: Ctx):

@@ -315,7 +315,7 @@ def pii_detect(c: Ctx):
 @query("mask_leak_check", """
 WITH m AS (SELECT c_custkey, '***-**-' || right(c_name, 4) AS c_name, c_mktsegment FROM customer
            WHERE c_mktsegment = 'BUILDING')
-SELECT 'c_name' AS column_name, count_if(m.c_name = r.c_name) AS leaks FROM m JOIN customer r USING (c_custkey)
+SELECT 'c_name' AS column_name, count(*) FILTER (WHERE m.c_name = r.c_name) AS leaks FROM m JOIN customer r USING (c_custkey)
 """)
 def mask_leak_check(c: Ctx):
     """Load a masked subset into a branch, read the stored rows back and
@@ -340,7 +340,7 @@ _NN_COLS = ("branch_id", "name", "parent_branch", "status", "created_at", "merge
 
 
 @query("check_not_null", hist(" UNION ALL ".join(
-    f"SELECT '{col}' AS column_name, count_if({col} IS NULL) AS nulls FROM v_branches" for col in _NN_COLS)))
+    f"SELECT '{col}' AS column_name, count(*) FILTER (WHERE {col} IS NULL) AS nulls FROM v_branches" for col in _NN_COLS)))
 def check_not_null(c: Ctx):
     return Q.check_not_null(c.branches, list(_NN_COLS))
 

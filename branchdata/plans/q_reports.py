@@ -73,7 +73,7 @@ def branch_list(c: Ctx):
 
 
 @query("branch_totals", hist("""
-SELECT count(*) AS total, count_if(status = 'active') AS active, count_if(status = 'merged') AS merged
+SELECT count(*) AS total, count(*) FILTER (WHERE status = 'active') AS active, count(*) FILTER (WHERE status = 'merged') AS merged
 FROM v_branches WHERE status != 'deleted'"""))
 def branch_totals(c: Ctx):
     return R.totals(c.branches)
@@ -225,11 +225,11 @@ _PURGE = "purge AS (SELECT branch_id FROM v_branches WHERE status = 'deleted')"
 
 
 @query("purge_branches", hist("""
-SELECT 'branches' AS table_name, count(*) AS rows_before, count_if(branch_id IN (SELECT branch_id FROM purge)) AS rows_purged
+SELECT 'branches' AS table_name, count(*) AS rows_before, count(*) FILTER (WHERE branch_id IN (SELECT branch_id FROM purge)) AS rows_purged
 FROM v_branches
-UNION ALL SELECT 'migrations', count(*), count_if(branch_id IN (SELECT branch_id FROM purge)) FROM v_migrations
-UNION ALL SELECT 'snapshots', count(*), count_if(branch_id IN (SELECT branch_id FROM purge)) FROM v_snapshots
-UNION ALL SELECT 'stashes', count(*), count_if(branch_id IN (SELECT branch_id FROM purge)) FROM v_stashes""", _PURGE))
+UNION ALL SELECT 'migrations', count(*), count(*) FILTER (WHERE branch_id IN (SELECT branch_id FROM purge)) FROM v_migrations
+UNION ALL SELECT 'snapshots', count(*), count(*) FILTER (WHERE branch_id IN (SELECT branch_id FROM purge)) FROM v_snapshots
+UNION ALL SELECT 'stashes', count(*), count(*) FILTER (WHERE branch_id IN (SELECT branch_id FROM purge)) FROM v_stashes""", _PURGE))
 def purge_branches(c: Ctx):
     """Cascade delete of deleted branches over every history table:
     anti-join each table with the purge list; rows before / purged."""
