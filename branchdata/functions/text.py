@@ -10,9 +10,15 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# the characters regex \s stands for: blank, tab, newline, vertical tab,
+# form feed, carriage return
+WHITE_SPACE = " \t\n\x0b\f\r"
+
+
 def trim_ws(c) -> Column:
-    """Strip all leading and trailing white space (``trim`` strips blanks only)."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    """Strip all leading and trailing white space (``trim`` strips blanks
+    only); ``btrim`` with the white-space set, no regular expression."""
+    return F.btrim(_c(c), F.lit(WHITE_SPACE))
 
 
 def collapse_ws(c, max_len: int | None = None) -> Column:
