@@ -56,6 +56,17 @@ def extract(df: DataFrame, spec: ExtractSpec, masks: dict | None = None) -> Data
     return out
 
 
+def extract_query(src: Source, table: str, query: str, masks: dict | None = None,
+                  id_col: str | None = None) -> DataFrame:
+    """Run an extraction written as SQL text (``SELECT * FROM t WHERE ...
+    LIMIT n``, as teams keep it in their config) with Spark SQL over a temp
+    view of the table, then mask the result.  Catalyst still pushes the
+    predicate and the column list into the scan."""
+    src.table(table).createOrReplaceTempView(table)
+    out = src.spark.sql(query)
+    return mask_frame(out, table, masks, id_col=id_col) if masks else out
+
+
 def keyset_page(df: DataFrame, key: Sequence[str], after: Sequence | None, n: int) -> DataFrame:
     """Rows after cursor ``after`` (whole composite key compared), ordered by
     key, at most ``n``.  The first key column gets its own ``>=`` term,

@@ -178,3 +178,11 @@ def test_lifecycle_two_ddl_one_test(spark, seed):
     to_apply = [r.sql_text for r in merge.orderBy("sequence").collect()]
     parent = EV.apply_changes(seed["users"], to_apply, "users")
     assert "phone" in parent.columns and parent.count() == 3
+
+
+def test_extraction_from_query_text(spark, seed):
+    src = _Src(spark, seed)
+    src.table = lambda name, _f=seed: _f[name]
+    out = X.extract_query(src, "users", "SELECT * FROM users WHERE plan = 'pro' LIMIT 10",
+                          masks={"users.email": "masked_{{id}}@example.com"}, id_col="id").collect()
+    assert [(r.name, r.email) for r in out] == [("Alice", "masked_1@example.com")]
