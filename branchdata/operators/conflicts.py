@@ -161,20 +161,26 @@ def resolve(conflicts: DataFrame, class_col: str = "message_class") -> DataFrame
     return conflicts.select("*", *auto_resolve(F.col("sql_text"), F.col(class_col)))
 
 
-def merge_ours(mergeable: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """Strategy ours: every mergeable change except the conflicting ones."""
-    bad = conflicts.filter(F.col("conflict_type").isNotNull()).select("branch_id", "sequence")
-    return mergeable.join(bad, ["branch_id", "sequence"], "left_anti")
-
-
-def merge_theirs(mergeable: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Strategy theirs: conflicting changes replaced by their resolved text;
-    an empty resolution means skip.  (branch_id, sequence, sql_to_apply)."""
-    r = resolved.select("branch_id", "sequence", F.col("resolved_sql").alias("_r"))
-    return (mergeable.join(r, ["branch_id", "sequence"], "left")
-                     .select("branch_id", "sequence",
-                             F.coalesce("_r", F.col("sql_text")).alias("sql_to_apply"))
-                     .filter(F.col("sql_to_apply") != ""))
+def merge_ours(checked: DataFrame) -> DataFrame:
+    """Strategy ours: every checked (mergeable) change except the
+    conflicting ones.  One pass over the check result, no join."""
+    return checked.filter(F.col("conflict_type").isNull())
+
+
+def merge_theirs(checked: DataFrame) -> DataFrame:
+    """Strategy theirs: conflicting changes replaced by their resolved text
+    (classified from the error message, as the tool does); an empty
+    resolution means skip.  (branch_id, sequence, sql_to_apply).
+
+    The class is its own projection and the skip test is written on it
+    directly: inlining the class into every comparison would multiply one
+    CASE expression into a tree too large for compiled code."""
+    classed = checked.withColumn("message_class", F.when(F.col("message").isNotNull(),
+                                                        conflict_class(F.col("message"))))
+    kept = classed.filter(F.col("message_class").isNull() | (F.col("message_class") != "column_exists"))
+    resolved = auto_resolve(F.col("sql_text"), F.col("message_class"))[0]
+    to_apply = F.when(F.col("message_class").isNull(), F.col("sql_text")).otherwise(resolved)
+    return kept.select("branch_id", "sequence", to_apply.alias("sql_to_apply"))
 
 
 def merge_refused(branches: DataFrame, conflicts: DataFrame) -> DataFrame:

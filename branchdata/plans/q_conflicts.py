@@ -158,7 +158,7 @@ SELECT m.branch_id, m.sequence, m.sql_text FROM chk m
 WHERE NOT EXISTS (SELECT 1 FROM checked k WHERE k.branch_id = m.branch_id AND k.sequence = m.sequence
                   AND k.conflict_type IS NOT NULL)"""))
 def merge_ours(c: Ctx):
-    return CF.merge_ours(_open_mergeable(c), _checked(c)).select("branch_id", "sequence", "sql_text")
+    return CF.merge_ours(_checked(c)).select("branch_id", "sequence", "sql_text")
 
 
 @query("merge_theirs", chk("""
@@ -166,8 +166,7 @@ SELECT m.branch_id, m.sequence, coalesce(r.resolved_sql, m.sql_text) AS sql_to_a
 FROM chk m LEFT JOIN resolved r ON r.branch_id = m.branch_id AND r.sequence = m.sequence
 WHERE coalesce(r.resolved_sql, m.sql_text) != ''"""))
 def merge_theirs(c: Ctx):
-    res = CF.resolve(CF.classify_messages(_checked(c).filter(F.col("message").isNotNull())))
-    return CF.merge_theirs(_open_mergeable(c), res)
+    return CF.merge_theirs(_checked(c))
 
 
 @query("merge_refused", chk("""
