@@ -12,7 +12,8 @@ never touched; a plan has no side effects).  The replay needs no loop:
 3. column state before a change = the last add/drop/rename touching that
    column earlier in the same epoch, else (epoch 0) the parent catalog,
    else the column list of the CREATE TABLE that opened the epoch;
-4. index state = the last CREATE/DROP INDEX of that name, else the catalog.
+4. index state = the last CREATE INDEX (on an existing table) or DROP INDEX
+   of that name, else the catalog.
 
 Rename targets are tracked as "now present"; indexes are not dropped
 together with their table; type changes are not checked against a cast
