@@ -171,17 +171,17 @@ def merge_ours(checked: DataFrame) -> DataFrame:
 def merge_theirs(checked: DataFrame) -> DataFrame:
     """Strategy theirs: conflicting changes replaced by their resolved text
     (classified from the error message, as the tool does); an empty
-    resolution means skip.  (branch_id, sequence, sql_to_apply).
+    resolution means skip.  (branch_id, sequence, sql_to_apply, skip).
 
-    The class is its own projection and the skip test is written on it
-    directly: inlining the class into every comparison would multiply one
-    CASE expression into a tree too large for compiled code."""
+    Every change stays in the result with a ``skip`` flag rather than being
+    filtered out: a filter would be pushed below the class projection and
+    inline the message expression many times over."""
     classed = checked.withColumn("message_class", F.when(F.col("message").isNotNull(),
                                                         conflict_class(F.col("message"))))
-    kept = classed.filter(F.col("message_class").isNull() | (F.col("message_class") != "column_exists"))
     resolved = auto_resolve(F.col("sql_text"), F.col("message_class"))[0]
     to_apply = F.when(F.col("message_class").isNull(), F.col("sql_text")).otherwise(resolved)
-    return kept.select("branch_id", "sequence", to_apply.alias("sql_to_apply"))
+    return (classed.select("branch_id", "sequence", to_apply.alias("sql_to_apply"))
+                   .withColumn("skip", F.col("sql_to_apply") == ""))
 
 
 def merge_refused(branches: DataFrame, conflicts: DataFrame) -> DataFrame:

@@ -162,9 +162,9 @@ def merge_ours(c: Ctx):
 
 
 @query("merge_theirs", chk("""
-SELECT m.branch_id, m.sequence, coalesce(r.resolved_sql, m.sql_text) AS sql_to_apply
-FROM chk m LEFT JOIN resolved r ON r.branch_id = m.branch_id AND r.sequence = m.sequence
-WHERE coalesce(r.resolved_sql, m.sql_text) != ''"""))
+SELECT m.branch_id, m.sequence, coalesce(r.resolved_sql, m.sql_text) AS sql_to_apply,
+  coalesce(r.resolved_sql, m.sql_text) = '' AS skip
+FROM chk m LEFT JOIN resolved r ON r.branch_id = m.branch_id AND r.sequence = m.sequence"""))
 def merge_theirs(c: Ctx):
     return CF.merge_theirs(_checked(c))
 
