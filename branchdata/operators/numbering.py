@@ -62,33 +62,56 @@ def _rangeable(df: DataFrame, order_cols: Sequence) -> str | None:
     return first if isinstance(dtype, _RANGEABLE) else None
 
 
+def _second_rangeable(df: DataFrame, order_cols: Sequence) -> str | None:
+    if len(order_cols) < 2 or not isinstance(order_cols[1], str):
+        return None
+    dtype = df.schema[order_cols[1]].dataType
+    return order_cols[1] if isinstance(dtype, _RANGEABLE) else None
+
+
+def _cut(x: Column, lo: Column, hi: Column, pieces: int) -> Column:
+    width = (hi - lo) / pieces
+    return (F.when(width <= 0, F.lit(0))
+             .otherwise(F.least(F.floor((x - lo) / width), F.lit(pieces - 1)))
+             .cast("int"))
+
+
 def ranged_numbers(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
                    out: str = "rn", pieces: int | None = None) -> DataFrame:
     """Number rows 1..n per group (or over the whole frame when
     ``group_cols`` is empty) in ``pieces`` balanced tasks per group.
 
     ``order_cols`` must give a total order inside a group and start with a
-    numeric, date or timestamp column (the range column).
+    numeric, date or timestamp column (the range column).  A group whose
+    range column holds a single value is cut on the second order column
+    instead (when that one is numeric, date or timestamp too).
     """
     pieces = pieces or _partitions(df)
     group_cols = list(group_cols)
     first = _rangeable(df, order_cols)
     if first is None:
         raise ValueError("ranged numbering needs a numeric/date/timestamp first order column")
+    second = _second_rangeable(df, order_cols)
     x = _as_number(F.col(first), df.schema[first].dataType)
+    x2 = _as_number(F.col(second), df.schema[second].dataType) if second else None
+    aggs = [F.min(x).alias("_lo"), F.max(x).alias("_hi")]
+    if second:
+        aggs += [F.min(x2).alias("_lo2"), F.max(x2).alias("_hi2")]
     if group_cols:
-        bounds = F.broadcast(df.groupBy(*group_cols).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi")))
+        bounds = F.broadcast(df.groupBy(*group_cols).agg(*aggs))
         base = df.join(bounds, group_cols, "inner")
         lo, hi = F.col("_lo"), F.col("_hi")
+        lo2, hi2 = (F.col("_lo2"), F.col("_hi2")) if second else (None, None)
     else:
         base = df
-        lo = df.select(F.min(x)).scalar()
-        hi = df.select(F.max(x)).scalar()
-    width = (hi - lo) / pieces
-    piece = (F.when(width <= 0, F.lit(0))
-              .otherwise(F.least(F.floor((x - lo) / width), F.lit(pieces - 1)))
-              .cast("int"))
-    piece = F.coalesce(piece, F.lit(-1))  # NULL range values sort first
+        lo, hi = df.select(F.min(x)).scalar(), df.select(F.max(x)).scalar()
+        lo2, hi2 = ((df.select(F.min(x2)).scalar(), df.select(F.max(x2)).scalar()) if second
+                    else (None, None))
+    piece = _cut(x, lo, hi, pieces)
+    if second:
+        # NULLs sort first: they share piece -1 with the NULLs of x
+        piece = F.when(hi > lo, piece).otherwise(F.when(x2.isNotNull(), _cut(x2, lo2, hi2, pieces)))
+    piece = F.when(x.isNull(), F.lit(-1)).otherwise(F.coalesce(piece, F.lit(-1)))
     cut = base.withColumn("_piece", piece)
     local_w = Window.partitionBy(*group_cols, "_piece").orderBy(*_cols(order_cols))
     numbered = cut.withColumn("_local", F.row_number().over(local_w))

@@ -63,3 +63,20 @@ def test_pieces_follow_wall_clock_in_any_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
         spark.conf.unset("branchdata.hotGroupRows")
+
+
+def test_constant_first_order_column_is_cut_on_the_second(spark):
+    """A hot group whose timestamps are all equal is still numbered exactly
+    (pieces then come from the second order column)."""
+    from datetime import datetime
+    rows = [(0, i, datetime(2024, 1, 1)) for i in range(500)] + [(1, i, datetime(2024, 1, 2)) for i in range(20)]
+    df = spark.createDataFrame(rows, "g long, id long, s timestamp_ntz")
+    spark.conf.set("branchdata.hotGroupRows", "100")
+    try:
+        got = number_rows(df, ["g"], ["s", "id"], "rn")
+        plan = got._jdf.queryExecution().analyzed().toString()
+        assert "_lo2" in plan
+        want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("s", "id")).cast("int"))
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    finally:
+        spark.conf.unset("branchdata.hotGroupRows")
