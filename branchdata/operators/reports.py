@@ -259,3 +259,20 @@ def export_audit(trail: DataFrame, path: str, fmt: str = "csv") -> None:
         trail.select(line.alias("value")).write.mode("error").text(path)
     else:
         raise ValueError(f"unknown audit format {fmt!r}")
+
+
+def change_log(recorded: DataFrame, branches: DataFrame, change_type: str | None = None,
+               branch: str | None = None, limit: int = 20) -> DataFrame:
+    """Latest ``limit`` changes (a top-k report), optionally of one type and
+    one branch: sequence, branch, type, description, time, merge label."""
+    from ..functions.changes import merge_label
+    m = recorded
+    if change_type is not None:
+        m = m.filter(F.col("type") == change_type)
+    b = branches.select("branch_id", F.col("name").alias("branch"))
+    if branch is not None:
+        m = m.join(b.filter(F.col("branch") == branch).select("branch_id"), "branch_id", "left_semi")
+    top = m.orderBy(F.desc("applied_at"), F.desc("migration_id")).limit(limit)
+    return (top.join(b, "branch_id")
+            .select("sequence", "branch", "type", F.coalesce("description", F.lit("")).alias("description"),
+                    _fmt("applied_at").alias("applied_at"), merge_label("type").alias("on_merge")))

@@ -136,12 +136,8 @@ FROM v_changes m JOIN v_branches b ON b.branch_id = m.branch_id
 WHERE m.type = 'ddl' ORDER BY m.applied_at DESC, m.migration_id DESC LIMIT 20"""))
 def change_log(c: Ctx):
     """Latest 20 ddl changes over all branches (a top-k report)."""
-    m = HI.with_merge_label(c.recorded).filter(F.col("type") == "ddl")
-    b = c.branches.select("branch_id", F.col("name").alias("branch"))
-    top = m.orderBy(F.desc("applied_at"), F.desc("migration_id")).limit(20)
-    return (top.join(b, "branch_id")
-            .select("sequence", "branch", "type", F.coalesce("description", F.lit("")).alias("description"),
-                    F.date_format("applied_at", "yyyy-MM-dd HH:mm:ss").alias("applied_at"), "on_merge"))
+    from ..operators.reports import change_log as log
+    return log(c.recorded, c.branches, change_type="ddl", limit=20)
 
 
 @query("reset_last_n", hist("""

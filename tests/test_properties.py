@@ -64,3 +64,10 @@ def test_audit_json_omits_empty_fields(spark, tmp_path):
     assert created and all("migration_type" not in d and "rows_loaded" not in d for d in created)
     assert all("migration_type" in d for d in docs if d["event_type"] == "migration_applied")
     assert spark.read.text(str(tmp_path / "t")).count() == trail.count()
+
+
+def test_change_log_filters_branch_and_type(spark):
+    from branchdata.operators import reports as R
+    c = Ctx(spark, SF001)
+    rows = R.change_log(c.recorded, c.branches, change_type="ddl", branch="main", limit=5).collect()
+    assert rows and all(r.branch == "main" and r.type == "ddl" for r in rows) and len(rows) <= 5
