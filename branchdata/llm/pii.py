@@ -55,8 +55,10 @@ CUES = {"email": "e-?mail|mail|contact|write|address", "ip": "ip|host|server|add
         "card": "card|visa|mastercard|amex|credit|debit|payment", "phone": "phone|tel|call|mobile|fax|contact"}
 COUNTER = "id|no|nr|number|order|ref|version|isbn|sku|serial|ticket"
 CONTEXT = 30          # code points before a span that cue words may stand in
+RUN = 64              # matches per block of running sums
 LABELERS = 6
 ROUNDS = 30
+SHRINK = 5.0
 
 
 def _digits(m: Column) -> Column:
@@ -77,25 +79,32 @@ def _sound(kind: str, m: Column) -> Column:
             "phone": n.between(8, 15)}[kind]
 
 
-def _matches(text: Column, pattern: str, when: Column) -> Column:
-    """All matches in order: start, end, m, before (what stands before it,
-    up to CONTEXT code points) and after (the next character)."""
+def _matches(rows: DataFrame, wanted: dict[str, tuple[str, Column]]) -> DataFrame:
+    """For each name -> (pattern, condition): the column of all matches in
+    ``text`` in order: start, end, m, before (what stands before it, up to
+    CONTEXT code points) and after (the next character).
+
+    Each step is a column of its own, so that no text is split once per match.
+    Positions are running sums of lengths, in blocks of ``RUN`` matches."""
     none = F.array().cast("array<string>")
-    found = F.when(when, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
-    between = F.when(F.size(found) > 0, F.split(text, pattern, -1)).otherwise(none)
-    pairs = F.transform(found, lambda m, i: F.struct(
-        m.alias("m"), F.length(F.element_at(between, i + 1)).alias("gap"),
-        F.right(F.element_at(between, i + 1), F.lit(CONTEXT)).alias("before"),
-        F.left(F.element_at(between, i + 2), F.lit(1)).alias("after")))
-    kind = "struct<at:int,out:array<struct<start:int,end:int,m:string,before:string,after:string>>>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(
-        "array<struct<start:int,end:int,m:string,before:string,after:string>>").alias("out")).cast(kind)
-    walked = F.aggregate(pairs, begin, lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct(
-            (acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["m"])).alias("end"),
-            x["m"].alias("m"), x["before"].alias("before"), x["after"].alias("after")))).alias("out")).cast(kind))
-    return walked["out"]
+    keep = [c for c in rows.columns if c != "text"]
+    out = rows.select(*keep, "text", *[
+        F.when(when, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none).alias(f"{k}_m")
+        for k, (pattern, when) in wanted.items()])
+    out = out.select("*", *[
+        F.when(F.size(f"{k}_m") > 0, F.split("text", pattern, -1)).otherwise(none).alias(f"{k}_b")
+        for k, (pattern, _) in wanted.items()]).drop("text")
+    out = out.select("*", *[F.expr(
+        f"transform({k}_m, (m, i) -> length({k}_b[i]) + length(m))").alias(f"{k}_n") for k in wanted])
+    # The one-element arrays bind a block's first sum, which is else made again per match.
+    out = out.select("*", *[F.expr(
+        f"flatten(transform(sequence(0, int(size({k}_n) / {RUN})), j -> flatten(transform("
+        f"array(aggregate(slice({k}_n, 1, j * {RUN}), 0, (s, n) -> s + n)), b -> transform("
+        f"slice({k}_n, j * {RUN} + 1, {RUN}), (x, i) -> "
+        f"b + aggregate(slice({k}_n, j * {RUN} + 1, i + 1), 0, (s, n) -> s + n))))))").alias(f"{k}_e") for k in wanted])
+    return out.select(*keep, *[F.expr(
+        f"transform({k}_m, (m, i) -> named_struct('start', {k}_e[i] - length(m), 'end', {k}_e[i], 'm', m, "
+        f"'before', right({k}_b[i], {CONTEXT}), 'after', left({k}_b[i + 1], 1)))").alias(k) for k in wanted])
 
 
 def _vote(yes: Column, no: Column) -> Column:
@@ -124,7 +133,8 @@ def _judged(kind: str, strict: bool, x: Column) -> Column:
                     F.when(counter, -1).otherwise(0), F.when(glued, -1).otherwise(1))
     features = F.array(F.least(F.floor(F.length(m) / 4), F.lit(12)).cast("int"), side(left), side(after),
                        cue.cast("int"), counter.cast("int"),
-                       F.least(F.floor(10 * F.length(digits) / F.length(m)), F.lit(10)).cast("int"))
+                       F.least(F.floor(10 * F.length(digits) / F.length(m)), F.lit(10)).cast("int"),
+                       F.lit(int(strict)))
     return F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"),
                     F.lit(strict).alias("strict"), votes.alias("votes"), features.alias("features"))
 
@@ -145,8 +155,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     needs = {"email": F.contains(text, F.lit("@")), "ip": number, "card": number, "phone": number & F.contains(text, F.lit("+"))}
     maybe = {"email": F.contains(text, F.lit("at)")) | F.contains(text, F.lit("at]")), "ip": number & F.contains(text, F.lit(":")),
              "card": number, "phone": number}
-    out = out.select("doc_id", *[_matches(text, STRICT[k], needs[k]).alias(f"s_{k}") for k in KINDS],
-                     *[_matches(text, LOOSE[k], maybe[k]).alias(f"l_{k}") for k in KINDS])
+    out = _matches(out, {f"s_{k}": (STRICT[k], needs[k]) for k in KINDS} | {f"l_{k}": (LOOSE[k], maybe[k]) for k in KINDS})
     out = out.select("doc_id", *[f"l_{k}" for k in KINDS],
                      *[F.filter(f"s_{k}", sound(k)).alias(f"s_{k}") for k in KINDS])
     bare = F.concat(*[F.transform(f"s_{k}", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
@@ -159,27 +168,28 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def estimate(patterns: dict[tuple[int, tuple[int, ...]], int], rounds: int = ROUNDS,
-             ) -> tuple[list[dict[int, tuple[float, float]]], dict[tuple[int, tuple[int, ...]], float]]:
-    """Expectation-maximisation over counts of (kind, votes).  Returns each
-    labeler's P(vote | not), P(vote | yes), and each pattern's probability."""
+             ) -> tuple[dict[tuple[int, int], float], dict[tuple[int, tuple[int, ...]], float]]:
+    """Expectation-maximisation over counts of (kind, votes): each labeler's
+    reliability per kind (how often it is right when it votes), and each
+    pattern's probability.  A vote of 0 says nothing.  Labelers are taken to be
+    better than chance, which tells the two classes apart."""
     p = {k: min(0.95, max(0.05, 0.5 + 0.2 * sum(k[1]))) for k in patterns}
-    rates: list[dict[int, tuple[float, float]]] = []
+    rates: dict[tuple[int, int], float] = {}
     for _ in range(rounds):
-        rates = []
-        for j in range(LABELERS):
-            # Prior counts: a labeler is more often right than wrong.
-            no, yes = {-1: 4.0, 0: 4.0, 1: 1.0}, {-1: 1.0, 0: 4.0, 1: 4.0}
-            for k, n in patterns.items():
-                yes[k[1][j]] += n * p[k]
-                no[k[1][j]] += n * (1 - p[k])
-            rates.append({v: (no[v] / sum(no.values()), yes[v] / sum(yes.values())) for v in (-1, 0, 1)})
-        for kind in {k[0] for k in patterns}:
+        for kind in sorted({k[0] for k in patterns}):
             own = [k for k in patterns if k[0] == kind]
             prior = (1 + sum(patterns[k] * p[k] for k in own)) / (2 + sum(patterns[k] for k in own))
+            prior = min(0.95, max(0.05, prior))
+            for j in range(LABELERS):
+                right, votes = 3.0, 4.0
+                for k in own:
+                    if k[1][j]:
+                        right += patterns[k] * (p[k] if k[1][j] > 0 else 1 - p[k])
+                        votes += patterns[k]
+                rates[kind, j] = min(0.99, max(0.55, right / votes))
             for k in own:
-                z = math.log(prior / (1 - prior)) + sum(
-                    math.log(rates[j][v][1] / rates[j][v][0]) for j, v in enumerate(k[1]))
-                p[k] = 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
+                z = _logit(prior) + sum(v * _logit(rates[kind, j]) for j, v in enumerate(k[1]))
+                p[k] = 1 / (1 + math.exp(-z))
     return rates, p
 
 
@@ -196,21 +206,25 @@ def train(found: DataFrame) -> Column | None:
     value = F.posexplode("x.features")
     sums = (each.withColumn("p", soft).select("x.kind", "p", value.alias("feature", "value"))
             .groupBy("kind", "feature", "value").agg(F.sum("p").alias("yes"), F.count(F.lit(1)).alias("n")).collect())
-    weights: dict[str, float] = {}
-    total: dict[tuple[int, int], list[float]] = {}
-    for r in sums:
-        t = total.setdefault((r["kind"], r["feature"]), [0.0, 0.0])
-        t[0] += r["yes"]
-        t[1] += r["n"] - r["yes"]
+    total: dict[int, list[float]] = {}
     for r in sums:
-        yes, no = total[r["kind"], r["feature"]]
+        if r["feature"] == 0:
+            t = total.setdefault(r["kind"], [0.5, 1.0])
+            t[0] += r["yes"]
+            t[1] += r["n"]
+    weights = {f"{k}": _logit(yes / n) for k, (yes, n) in total.items()}
+    for r in sums:      # a value's rate, drawn to the kind's own by SHRINK pseudo-rows
+        own = total[r["kind"]][0] / total[r["kind"]][1]
         weights[f"{r['kind']},{r['feature']},{r['value']}"] = (
-            math.log((r["yes"] + 0.5) / (yes + 6.5)) - math.log((r["n"] - r["yes"] + 0.5) / (no + 6.5)))
-    for kind, (yes, no) in {k: t for (k, f), t in total.items() if f == 0}.items():
-        weights[f"{kind}"] = math.log((yes + 0.5) / (no + 0.5))
+            _logit((r["yes"] + SHRINK * own) / (r["n"] + SHRINK)) - _logit(own))
     return F.create_map(*[F.lit(v) for k, w in sorted(weights.items()) for v in (k, w)])
 
 
+def _logit(p: float) -> float:
+    p = min(1 - 1e-6, max(1e-6, p))
+    return math.log(p / (1 - p))
+
+
 def _name(kind: int, votes: tuple[int, ...]) -> str:
     return ",".join(map(str, (kind, *votes)))
 
