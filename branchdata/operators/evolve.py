@@ -54,22 +54,40 @@ def parse(sql: str) -> Change:
             default = None
             if op == "add_column":
                 d = re.search(r"(?i)\bDEFAULT\s+(.+)$", body)
-                default = d.group(1).strip() if d else None
-            return Change(op, grp(g_t), grp(g_c), grp(g_d), default, sql)
+                default = re.sub(r"(?i)\s+(not\s+)?null\s*$", "", d.group(1).strip()) if d else None
+            # the whole column type: precision, zone and array marks included
+            whole = {"add_column": r"(?i)\bADD\s+(?:COLUMN\s+)?(?:IF\s+NOT\s+EXISTS\s+)?\"?\w+\"?\s+(.+)$",
+                     "alter_type": r"(?i)\bTYPE\s+(.+?)(?:\s+USING\b.*)?$"}.get(op)
+            d = re.search(whole, body.rstrip("; \n")) if whole else None
+            return Change(op, grp(g_t), grp(g_c), d.group(1) if d else grp(g_d), default, sql)
     return Change("other", None, None, None, None, sql)
 
 
 def spark_type(sql_type: str) -> str:
-    t = sql_type.strip().lower().split()[0] if sql_type.strip() else "text"
-    t = re.sub(r"\(.*$", "", t)
-    return SQL_TYPES.get(t, "string")
+    """The Spark type of a column type; precision and scale, time zones and
+    arrays are kept.  An unknown type raises."""
+    t = re.sub(r"\s+", " ", re.sub(r"(?i)\b(not\s+)?null\b.*$", "", sql_type).strip().lower()) or "text"
+    if t.endswith("[]"):
+        return f"array<{spark_type(t[:-2])}>"
+    if m := re.match(r"(?:numeric|decimal) ?\( ?(\d+) ?(?:, ?(\d+) ?)?\)", t):
+        return f"decimal({m[1]},{m[2] or 0})"
+    base = re.match(r"\w+", t)
+    name = base[0] if base else t
+    if name == "timestamp" and "with time zone" in t:
+        return "timestamp"
+    if name == "character":
+        name = "varchar"
+    if name not in SQL_TYPES:
+        raise ValueError(f"unknown column type: {sql_type}")
+    return SQL_TYPES[name]
 
 
 def fold(df: DataFrame, statements: Sequence[str], table: str | None = None,
          strict: bool = False) -> tuple[DataFrame, list[tuple[str, str]]]:
     """Fold the changes into one ``select``.  Returns the new frame and the
     skipped changes as (sql, reason) - a change that conflicts with the
-    current shape is skipped (or raises with ``strict``)."""
+    current shape is skipped (or raises with ``strict``).  Values that don't
+    fit a new type raise when the frame is read (ANSI casts): none is lost."""
     cols: list[tuple[str, object]] = [(c, F.col(c)) for c in df.columns]
     skipped: list[tuple[str, str]] = []
 
@@ -86,7 +104,7 @@ def fold(df: DataFrame, statements: Sequence[str], table: str | None = None,
                 reason = "column_exists"
             else:
                 typ = spark_type(re.sub(r"(?i)\bDEFAULT\b.*$", "", ch.detail or "text"))
-                value = F.expr(ch.default).try_cast(typ) if ch.default else F.lit(None).cast(typ)
+                value = F.expr(ch.default).cast(typ) if ch.default else F.lit(None).cast(typ)
                 cols.append((ch.column, value))
         elif ch.op == "drop_column":
             if ch.column not in names():
@@ -105,7 +123,7 @@ def fold(df: DataFrame, statements: Sequence[str], table: str | None = None,
                 reason = "dropped_reference"
             else:
                 typ = spark_type(ch.detail or "text")
-                cols = [(n, (e.try_cast(typ) if n.lower() == ch.column else e)) for n, e in cols]
+                cols = [(n, (e.cast(typ) if n.lower() == ch.column else e)) for n, e in cols]
         else:
             reason = "not_a_column_change"
         if reason:
@@ -116,15 +134,22 @@ def fold(df: DataFrame, statements: Sequence[str], table: str | None = None,
 
 
 def apply_changes(df: DataFrame, statements: Sequence[str], table: str | None = None) -> DataFrame:
-    return fold(df, statements, table)[0]
+    """The changed frame; a change that conflicts raises (``fold`` reports
+    such changes instead)."""
+    out, skipped = fold(df, statements, table)
+    conflicts = [f"{reason}: {sql}" for sql, reason in skipped if reason != "not_a_column_change"]
+    if conflicts:
+        raise ValueError("; ".join(conflicts))
+    return out
 
 
 def rebase(source: DataFrame, parent_changes: Sequence[str], branch_changes: Sequence[str],
            table: str | None = None) -> tuple[DataFrame, list[tuple[str, str]]]:
     """Rebuild from the source on top of the parent's changes, then replay
-    the branch's changes in order; conflicting ones are skipped and reported."""
-    on_parent, _ = fold(source, parent_changes, table)
-    return fold(on_parent, branch_changes, table)
+    the branch's changes in order; conflicting ones of either are skipped and reported."""
+    on_parent, skipped = fold(source, parent_changes, table)
+    out, more = fold(on_parent, branch_changes, table)
+    return out, skipped + more
 
 
 def reset(source: DataFrame, statements: Sequence[str], n: int, table: str | None = None) -> DataFrame:

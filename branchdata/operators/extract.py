@@ -7,6 +7,7 @@ Catalyst pushes the filter and the column list into the Parquet / JDBC scan.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -22,6 +23,9 @@ from .masking import mask_frame
 from .numbering import ranged_numbers
 
 
+_VIEW = threading.Lock()
+
+
 @dataclass(frozen=True)
 class ExtractSpec:
     table: str
@@ -45,10 +49,10 @@ def extract(df: DataFrame, spec: ExtractSpec, masks: dict | None = None) -> Data
     out = df
     if spec.where:
         out = out.filter(F.expr(spec.where))
+    if masks:      # before the projection: rules and {{id}} may name columns that aren't selected
+        out = mask_frame(out, spec.table, masks, id_col=spec.id_col)
     if spec.columns:
         out = out.select(*spec.columns)
-    if masks:
-        out = mask_frame(out, spec.table, masks, id_col=spec.id_col)
     if spec.limit is not None:
         if spec.key:
             out = out.orderBy(*[F.col(k).asc_nulls_last() for k in spec.key])
@@ -60,11 +64,18 @@ def extract_query(src: Source, table: str, query: str, masks: dict | None = None
                   id_col: str | None = None) -> DataFrame:
     """Run an extraction written as SQL text (``SELECT * FROM t WHERE ...
     LIMIT n``, as teams keep it in their config) with Spark SQL over a temp
-    view of the table, then mask the result.  Catalyst still pushes the
-    predicate and the column list into the scan."""
-    src.table(table).createOrReplaceTempView(table)
-    out = src.spark.sql(query)
-    return mask_frame(out, table, masks, id_col=id_col) if masks else out
+    view of the *masked* table: whatever the query computes or renames, it
+    never sees a raw value (predicates on masked columns compare masked ones).
+    Catalyst still pushes the other predicates and the column list into the scan."""
+    df = src.table(table)
+    if masks:
+        df = mask_frame(df, table, masks, id_col=id_col)
+    with _VIEW:          # the name is session-wide; the plan is resolved before it is dropped
+        df.createOrReplaceTempView(table)
+        try:
+            return src.spark.sql(query)
+        finally:
+            src.spark.catalog.dropTempView(table)
 
 
 def keyset_page(df: DataFrame, key: Sequence[str], after: Sequence | None, n: int) -> DataFrame:
@@ -146,8 +157,8 @@ def snapshot_load(src: Source, store: BranchStore, branch: str, spec: ExtractSpe
         res.path, res.rows = store.write(df, branch, spec.table)
         res.status = "ready"
     except Exception as exc:  # recorded per table, the others go on
-        res.status, res.error = "failed", str(exc).splitlines()[0][:200]
-        store.publish(branch, spec.table, None, "failed")
+        res.status, res.error = "failed", str(exc) or type(exc).__name__
+        store.publish(branch, spec.table, None, "failed", error=res.error)
     return res
 
 

@@ -75,18 +75,19 @@ def heads(branches: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def last_n(changes: DataFrame, n: int) -> DataFrame:
-    """The last ``n`` changes of every branch.  Sequences run 1..k per
-    branch, so this is ``sequence > head - n``: an aggregate and a join, no
-    per-branch sort."""
-    h = changes.groupBy("branch_id").agg(F.max("sequence").alias("_head"))
-    return (changes.join(h, "branch_id")
-                   .filter(F.col("sequence") > F.col("_head") - n).drop("_head"))
+    """The last ``n`` changes of every branch, by rank: sequences may have
+    gaps.  Spark limits each partition to n rows a branch before the shuffle."""
+    return changes.withColumn("_rank", _from_last()).filter(F.col("_rank") <= n).drop("_rank")
+
+
+def _from_last():
+    from pyspark.sql import Window
+    return F.row_number().over(Window.partitionBy("branch_id").orderBy(F.desc("sequence")))
 
 
 def without_last_n(changes: DataFrame, n: int) -> DataFrame:
-    """All changes except each branch's last ``n`` (anti-join)."""
-    drop = last_n(changes, n).select("branch_id", "sequence")
-    return changes.join(drop, ["branch_id", "sequence"], "left_anti")
+    """All changes except each branch's last ``n``."""
+    return changes.withColumn("_rank", _from_last()).filter(F.col("_rank") > n).drop("_rank")
 
 
 def tags(branches: DataFrame, changes: DataFrame) -> DataFrame:
@@ -165,8 +166,12 @@ def numbered_newest_first(stashes: DataFrame) -> DataFrame:
 
 
 def insert_ignore(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Upsert, first wins: incoming rows whose key exists are dropped."""
-    return existing.unionByName(incoming.join(existing.select(*keys), keys, "left_anti"))
+    """Upsert, first wins: incoming rows whose key exists are dropped, and of
+    several incoming rows of one key the least (by all its columns) is kept."""
+    new = incoming.join(existing.select(*keys), keys, "left_anti")
+    rows = F.struct(*[F.col(c) for c in incoming.columns])
+    new = new.groupBy(*keys).agg(F.min(rows).alias("_row")).select("_row.*")
+    return existing.unionByName(new)
 
 
 def with_merge_label(changes: DataFrame) -> DataFrame:

@@ -38,34 +38,34 @@ def audit_union(branches: DataFrame, changes: DataFrame, snapshots: DataFrame) -
     live = branches.filter(F.col("status") != "deleted")
     none = F.lit(None).cast("string")
     zero = F.lit(0).cast("bigint")
-    created = live.select(_fmt("created_at").alias("timestamp"), F.lit("branch_created").alias("event_type"),
+    created = live.select(F.col("created_at").cast("timestamp").alias("at"), _fmt("created_at").alias("timestamp"), F.lit("branch_created").alias("event_type"),
                           F.col("name").alias("branch"),
                           F.concat(F.lit("branched from "), "parent_branch").alias("detail"),
                           none.alias("migration_type"), zero.alias("rows_loaded"))
     merged = live.filter(F.col("merged_at").isNotNull()).select(
-        _fmt("merged_at").alias("timestamp"), F.lit("branch_merged").alias("event_type"),
+        F.col("merged_at").cast("timestamp").alias("at"), _fmt("merged_at").alias("timestamp"), F.lit("branch_merged").alias("event_type"),
         F.col("name").alias("branch"), F.concat(F.lit("merged into "), "parent_branch").alias("detail"),
         none.alias("migration_type"), zero.alias("rows_loaded"))
     b = branches.select("branch_id", F.col("name").alias("branch"))
     applied = changes.join(b, "branch_id").select(
-        _fmt("applied_at").alias("timestamp"), F.lit("migration_applied").alias("event_type"), "branch",
+        F.col("applied_at").cast("timestamp").alias("at"), _fmt("applied_at").alias("timestamp"), F.lit("migration_applied").alias("event_type"), "branch",
         F.coalesce("description", F.lit("")).alias("detail"), F.col("type").alias("migration_type"),
         zero.alias("rows_loaded"))
     loaded = snapshots.filter(F.col("completed_at").isNotNull()).join(b, "branch_id").select(
-        _fmt("completed_at").alias("timestamp"), F.lit("snapshot_completed").alias("event_type"), "branch",
+        F.col("completed_at").cast("timestamp").alias("at"), _fmt("completed_at").alias("timestamp"), F.lit("snapshot_completed").alias("event_type"), "branch",
         F.concat(F.lit("table: "), "table_name").alias("detail"), none.alias("migration_type"),
         F.col("rows_loaded").cast("bigint").alias("rows_loaded"))
     return created.unionByName(merged).unionByName(applied).unionByName(loaded)
 
 
 def audit_order() -> list:
-    """Newest first; ties broken on every column (a total order)."""
-    return [F.desc("timestamp"), F.asc("event_type"), F.asc("branch"), F.asc("detail"),
+    """Newest first by the whole time; ties broken on every column (a total order)."""
+    return [F.desc("at"), F.asc("event_type"), F.asc("branch"), F.asc("detail"),
             F.asc_nulls_first("migration_type"), F.asc("rows_loaded")]
 
 
 def audit_trail(branches: DataFrame, changes: DataFrame, snapshots: DataFrame,
-                limit: int | None = 100, branch: str | None = None,
+                limit: int | None = None, branch: str | None = None,
                 per_source_limit: int | None = None) -> DataFrame:
     """One global order (newest first) over all four kinds; the limit is
     applied after the sort (a top-k, no per-source cut).  ``per_source_limit``
@@ -79,9 +79,8 @@ def audit_trail(branches: DataFrame, changes: DataFrame, snapshots: DataFrame,
         u = parts[0]
         for p in parts[1:]:
             u = u.unionByName(p)
-    if limit is None:
-        return u
-    return u.orderBy(*audit_order()).limit(limit)
+    u = u.orderBy(*audit_order())
+    return (u if limit is None else u.limit(limit)).drop("at")
 
 
 def branch_list(branches: DataFrame, changes: DataFrame, snapshots: DataFrame,
@@ -262,8 +261,8 @@ def export_audit(trail: DataFrame, path: str, fmt: str = "csv") -> None:
 
 
 def change_log(recorded: DataFrame, branches: DataFrame, change_type: str | None = None,
-               branch: str | None = None, limit: int = 20) -> DataFrame:
-    """Latest ``limit`` changes (a top-k report), optionally of one type and
+               branch: str | None = None, limit: int | None = None) -> DataFrame:
+    """Latest ``limit`` changes (all of them without one), optionally of one type and
     one branch: sequence, branch, type, description, time, merge label."""
     from ..functions.changes import merge_label
     m = recorded
@@ -272,7 +271,9 @@ def change_log(recorded: DataFrame, branches: DataFrame, change_type: str | None
     b = branches.select("branch_id", F.col("name").alias("branch"))
     if branch is not None:
         m = m.join(b.filter(F.col("branch") == branch).select("branch_id"), "branch_id", "left_semi")
-    top = m.orderBy(F.desc("applied_at"), F.desc("migration_id")).limit(limit)
+    top = m.orderBy(F.desc("applied_at"), F.desc("migration_id"))
+    if limit is not None:
+        top = top.limit(limit)
     return (top.join(b, "branch_id")
             .select("sequence", "branch", "type", F.coalesce("description", F.lit("")).alias("description"),
                     _fmt("applied_at").alias("applied_at"), merge_label("type").alias("on_merge")))

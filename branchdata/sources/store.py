@@ -29,6 +29,7 @@ EVENT_SCHEMA = T.StructType([
     T.StructField("rows_loaded", T.LongType()),
     T.StructField("at", T.TimestampType()),
     T.StructField("seq", T.LongType()),
+    T.StructField("error", T.StringType()),
 ])
 
 
@@ -59,14 +60,14 @@ class BranchStore:
         return path, rows
 
     def publish(self, branch: str, table: str, version: str | None, status: str,
-                rows: int = 0) -> None:
+                rows: int = 0, error: str | None = None) -> None:
         """Append one event to the branch's commit log: one small JSON file
         per event, written by the driver and renamed into place (like a
         table-format transaction log), so concurrent loads never share a
         file and readers never see a partial entry."""
         event = {"branch": branch, "table_name": table, "version": version, "status": status,
                  "rows_loaded": int(rows), "at": datetime.now(timezone.utc).isoformat(),
-                 "seq": time.time_ns()}
+                 "seq": time.time_ns(), "error": error}
         name = f"{event['seq']:020d}-{uuid.uuid4().hex[:8]}.json"
         fs.write_text_atomically(self.spark, fs.join(self.events_path(), name), json.dumps(event) + "\n")
 
@@ -82,16 +83,22 @@ class BranchStore:
                   .agg(F.max_by(F.struct("version", "status", "rows_loaded", "at"), F.col("seq")).alias("s"))
                   .select("branch", "table_name", "s.*"))
 
+    def ready(self) -> DataFrame:
+        """Latest *ready* version per (branch, table): what readers see.  A
+        reload that runs or has failed leaves the version before it in place."""
+        return (self.events().filter(F.col("status") == "ready").groupBy("branch", "table_name")
+                .agg(F.max_by("version", "seq").alias("version")))
+
     def ready_versions(self, branch: str) -> dict[str, str]:
         """table -> path of its latest ready version (one small job; one row
         per table of the branch)."""
-        rows = (self.latest().filter((F.col("branch") == branch) & (F.col("status") == "ready"))
+        rows = (self.ready().filter(F.col("branch") == branch)
                 .select("table_name", "version").collect())
         return {r.table_name: fs.join(self.table_dir(branch, r.table_name), f"v={r.version}") for r in rows}
 
     def read(self, branch: str, table: str) -> DataFrame:
-        st = (self.latest().filter((F.col("branch") == branch) & (F.col("table_name") == table)
-                                   & (F.col("status") == "ready")).select("version").collect())
+        st = (self.ready().filter((F.col("branch") == branch) & (F.col("table_name") == table))
+              .select("version").collect())
         if not st:
             raise FileNotFoundError(f"no ready version of {branch}/{table}")
         return self.spark.read.parquet(fs.join(self.table_dir(branch, table), f"v={st[0][0]}"))

@@ -25,24 +25,32 @@ def split_into_files(df: DataFrame, path: str, files: int) -> str:
 
 def resumable_load(spark: SparkSession, source_path: str, schema, target: str, checkpoint: str,
                    table: str, masks: dict | None = None, id_col: str | None = None,
-                   files_per_batch: int = 2):
+                   files_per_batch: int = 2) -> list[int]:
     """Run the load until the input is drained (``availableNow``); returns
-    the finished query's progress list (one entry per micro-batch)."""
+    the numbers of the micro-batches that this run finished.  A batch is
+    written to a folder of its number, so one that is run again replaces
+    itself; ``progress_rows`` reads the progress of all runs from there."""
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
               .parquet(source_path))
     if masks:
         stream = mask_frame(stream, table, masks, id_col=id_col)
-    q = (stream.writeStream.format("parquet").option("path", target)
-         .option("checkpointLocation", checkpoint).outputMode("append")
-         .trigger(availableNow=True).start())
+    done: list[int] = []
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(join(target, f"batch={batch_id}"))
+        done.append(batch_id)
+
+    q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+         .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
-    return q.recentProgress
+    return done
 
 
-def progress_rows(spark: SparkSession, progress) -> DataFrame:
-    """(batch, rows, cumulative_rows) from a query's progress reports."""
-    rows = [(int(p["batchId"]), int(p["numInputRows"])) for p in progress]
-    df = spark.createDataFrame(rows, "batch bigint, rows bigint")
+def progress_rows(spark: SparkSession, target: str) -> DataFrame:
+    """(batch, rows, cumulative_rows) of every micro-batch of a load, from what
+    it stored: no batch is ever forgotten."""
+    df = (spark.read.parquet(target).groupBy(F.col("batch").cast("bigint").alias("batch"))
+          .agg(F.count(F.lit(1)).alias("rows")))
     from pyspark.sql import Window
     # one row per micro-batch: a small, bounded frame
     w = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)

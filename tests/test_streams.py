@@ -12,10 +12,12 @@ def test_load_resumes_where_it_stopped(spark, tmp_path):
     first, second = ev.filter("event_id % 2 = 0"), ev.filter("event_id % 2 = 1")
     first.repartition(3).write.parquet(src)                     # files that arrived so far
     p1 = SL.resumable_load(spark, src, ev.schema, out, ckpt, "events", {"events.props": "{}"})
-    assert sum(p["numInputRows"] for p in p1) == first.count()
+    assert SL.progress_rows(spark, out).agg({"rows": "sum"}).first()[0] == first.count()
     second.repartition(3).write.mode("append").parquet(src)     # more files arrive later
     p2 = SL.resumable_load(spark, src, ev.schema, out, ckpt, "events", {"events.props": "{}"})
-    assert sum(p["numInputRows"] for p in p2) == second.count()
+    progress = SL.progress_rows(spark, out).orderBy("batch").collect()
+    assert [r["batch"] for r in progress] == p1 + p2
+    assert progress[-1]["cumulative_rows"] == ev.count()
     stored = spark.read.parquet(out)
     assert stored.count() == ev.count() == stored.select("event_id").distinct().count()
     assert stored.filter(F.col("props") != "{}").count() == 0
@@ -31,3 +33,17 @@ def test_live_view_counts_each_event_once(spark, tmp_path):
     view = spark.read.parquet(str(tmp_path / "view" / "state"))
     want = ev.groupBy(F.col("user_id").alias("branch_id"), "event_type").agg(F.count(F.lit(1)).alias("events"))
     assert view.exceptAll(want.select(*view.columns)).count() == 0 and view.count() == want.count()
+
+
+def test_progress_keeps_every_batch(spark, tmp_path):
+    """More batches than Spark keeps reports of."""
+    ev = spark.read.parquet(f"{SF001}/events.parquet").limit(40)
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    ev.repartition(8).write.parquet(src)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "3")
+    try:
+        SL.resumable_load(spark, src, ev.schema, out, str(tmp_path / "c"), "events", files_per_batch=1)
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    rows = SL.progress_rows(spark, out).orderBy("batch").collect()
+    assert len(rows) == 8 and rows[-1]["cumulative_rows"] == 40
