@@ -42,6 +42,7 @@ from branchdata.llm.common import columns, stored, text_slices
 SHINGLE = 4
 RADIUS = 4
 BLOCKS = 6
+SALTS = 8
 SLICE = 1 << 19
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -241,6 +242,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     least = inside.groupBy("label").agg(F.min("low").alias("component_id"))
     linked = inside.join(least, "label").select(F.col("fp").alias("f"), F.col("component_id").alias("c"))
     of = (distinct.join(linked, distinct.fp == linked.f, "left")
-          .select("fp", F.coalesce("c", "low").alias("component_id")))
-    return (fps.join(of, "fp")
+          .select("fp", F.coalesce("c", "low").alias("component_id"),
+                  F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
+    # Salted: a fingerprint may be that of a third of all documents.
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    return (fps.withColumn("salt", salt).join(of, ["fp", "salt"])
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
