@@ -6,7 +6,12 @@ a bit of the 64 is set if it is set in over half of the shingles' XXH64.
 Shards.  Cut the 64 bits into ``blocks`` blocks: fingerprints within
 ``radius`` bits agree on ``blocks - radius`` whole blocks at least.  Each
 choice of that many blocks and their values is a shard, so any two linked
-fingerprints meet in a shard, and a shard stays small as the corpus grows.
+fingerprints meet in a shard.  A shard of more than ``shard_size``
+fingerprints (clusters of look-alikes) is cut again: its other bits in
+``radius + 1`` parts, on one of which two linked fingerprints must agree;
+each part and its value is a shard; once more where that is still large.
+Each cut repeats a row ``radius + 1`` times, so there are ``CUTS`` at most;
+nothing is dropped, and a task holds one shard at a time.
 
 Trees.  Each shard with two fingerprints or more builds a BK-tree: a node's
 children are keyed by their Hamming distance to it, and a search with radius
@@ -42,6 +47,8 @@ from branchdata.llm.common import columns, stored, text_slices
 SHINGLE = 4
 RADIUS = 4
 BLOCKS = 6
+SHARD_SIZE = 1 << 16
+CUTS = 2
 SALTS = 8
 SLICE = 1 << 19
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -150,22 +157,66 @@ def groups(fps: list[int], radius: int) -> Iterator[tuple[int, int]]:
                 todo += tree.take(fps[j], radius)
 
 
-def _shards(fp: Column, blocks: int, radius: int) -> Column:
-    """Keys of the shards of a fingerprint: which blocks, and their bits."""
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _first_masks(blocks: int, radius: int) -> list[int]:
+    """Bits of each choice of ``blocks - radius`` of the blocks."""
     cuts = [64 * b // blocks for b in range(blocks + 1)]
-    keys = []
-    for n, chosen in enumerate(combinations(range(blocks), blocks - radius)):
-        mask = sum(((1 << (cuts[b + 1] - cuts[b])) - 1) << cuts[b] for b in chosen)
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        keys.append(F.struct(F.lit(n).alias("n"), fp.bitwiseAND(F.lit(signed)).alias("bits")))
-    return F.explode(F.array(*keys))
+    whole = [((1 << (z - a)) - 1) << a for a, z in zip(cuts, cuts[1:], strict=False)]
+    return [sum(chosen) for chosen in combinations(whole, blocks - radius)]
+
+
+def _finer_masks(mask: int, radius: int) -> list[int]:
+    """``mask`` with one of ``radius + 1`` parts of the other bits each."""
+    rest = [1 << b for b in range(64) if not mask >> b & 1]
+    cuts = [len(rest) * p // (radius + 1) for p in range(radius + 2)]
+    return [mask | sum(rest[a:z]) for a, z in zip(cuts, cuts[1:], strict=False)]
+
+
+def _rows(fps: DataFrame, masks: Column) -> DataFrame:
+    """(mask, bits, fp): a row for each shard of a fingerprint."""
+    return (fps.select("fp", F.explode(masks).alias("mask"))
+            .select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("bits"), "fp"))
+
+
+def _mask_array(masks: list[int]) -> Column:
+    return F.array(*[F.lit(_signed(m)).cast("long") for m in masks])
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS,
+          shard_size: int = SHARD_SIZE) -> DataFrame:
     """(fp, root): each fingerprint's link to the first of its group in a
     shard; the links of all shards connect all that are within the radius."""
     if not 0 <= radius < blocks <= 64:
         raise ValueError("blocks must exceed the radius")
+    # Fingerprints that differ in radius bits at most of the bits left: no more than 2 ** radius.
+    largest = max(shard_size, 1 << radius)
+    rows = _rows(distinct, _mask_array(_first_masks(blocks, radius)))
+    found = None
+    for _ in range(CUTS):
+        large = stored(rows.groupBy("mask", "bits").agg(F.count(F.lit(1)).alias("n"))
+                       .where(F.col("n") > largest).select("mask", "bits"), "large-shards")
+        masks = [r["mask"] for r in large.select("mask").distinct().collect()]    # at most one for each choice of bits
+        if masks:
+            # Salted: a large shard may hold a third of all fingerprints.
+            salted = large.select("mask", "bits", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+            rows = rows.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+            inside = rows.join(salted, ["mask", "bits", "salt"], "left_semi")
+            rows = rows.join(salted, ["mask", "bits", "salt"], "left_anti").select("mask", "bits", "fp")
+        part = _linked(rows, radius)
+        found = part if found is None else found.union(part)
+        if not masks:
+            return found.distinct()
+        finer = F.create_map(*[c for m in masks for c in
+                               (F.lit(m).cast("long"), _mask_array(_finer_masks(m % (1 << 64), radius)))])
+        rows = stored(_rows(inside, finer[F.col("mask")]), "finer-shards")
+    return found.union(_linked(rows, radius)).distinct()
+
+
+def _linked(rows: DataFrame, radius: int) -> DataFrame:
+    """(fp, root) of the shards in ``rows`` (mask, bits, fp), each by a BK-tree."""
     schema = pa.schema([("fp", pa.int64()), ("root", pa.int64())])
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +224,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> Da
         held: list[np.ndarray] = []
 
         def done(parts: list[np.ndarray], out: list[list[int]]) -> None:
-            fps = np.concatenate(parts)
+            fps = np.unique(np.concatenate(parts))     # two cuts may give the same shard
             if len(fps) > 1:
                 for a, b in groups(fps.view(np.uint64).tolist(), radius):
                     out[0].append(a)
@@ -183,17 +234,17 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> Da
             return pa.record_batch([pa.array(np.array(x, np.uint64).view(np.int64)) for x in out], schema=schema)
 
         for b in batches:
-            n, bits, fps = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            mask, bits, fps = (c.to_numpy(zero_copy_only=False) for c in b.columns)
             if not len(fps):
                 continue
             out: list[list[int]] = [[], []]
-            at = np.flatnonzero((n[1:] != n[:-1]) | (bits[1:] != bits[:-1])) + 1
+            at = np.flatnonzero((mask[1:] != mask[:-1]) | (bits[1:] != bits[:-1])) + 1
             begin = np.concatenate([[0], at])
             end = np.concatenate([at, [len(fps)]])
             many = np.flatnonzero((end - begin > 1) | (begin == 0) | (end == len(fps)))
             for k in many:
                 a, z = int(begin[k]), int(end[k])
-                key = int(n[a]), int(bits[a])
+                key = int(mask[a]), int(bits[a])
                 if key != held_key:
                     if held:
                         done(held, out)
@@ -205,9 +256,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> Da
             done(held, out)
             yield rows(out)
 
-    shards = distinct.select(_shards(F.col("fp"), blocks, radius).alias("s"), "fp").select("s.n", "s.bits", "fp")
-    return (shards.repartition("n", "bits").sortWithinPartitions("n", "bits", "fp")
-            .mapInArrow(linked, "fp long, root long").distinct())
+    return (rows.repartition("mask", "bits").sortWithinPartitions("mask", "bits", "fp")
+            .mapInArrow(linked, "fp long, root long"))
 
 
 def labels(edges: DataFrame) -> DataFrame:
@@ -231,12 +281,12 @@ def labels(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
-                    blocks: int = BLOCKS) -> DataFrame:
+                    blocks: int = BLOCKS, shard_size: int = SHARD_SIZE) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, fingerprint (hex)
     and component_id, the smallest doc_id reachable over links."""
     fps = stored(fingerprints(docs, shingle), "fingerprints")
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    edges = stored(links(distinct.select("fp"), radius, blocks), "links")
+    edges = stored(links(distinct.select("fp"), radius, blocks, shard_size), "links")
     found = labels(edges)
     inside = found.join(distinct, found.node == distinct.fp).select("fp", "label", "low")
     least = inside.groupBy("label").agg(F.min("low").alias("component_id"))

@@ -244,7 +244,9 @@ def test_bk_tree_groups_against_all_pairs():
         {tuple(sorted(f for f in fps if root[f] == g)) for g in set(root.values())}
 
 
-def test_links_over_shards(spark):
+@pytest.mark.parametrize("shard_size", [simhash.SHARD_SIZE, 16])
+def test_links_over_shards(spark, shard_size):
+    """Also where clusters overfill shards, which are cut again."""
     rng = np.random.default_rng(3)
     fps = {int(x) for x in rng.integers(0, 1 << 64, 400, dtype=np.uint64)}
     for f in list(fps)[:200]:
@@ -253,9 +255,12 @@ def test_links_over_shards(spark):
             for b in rng.choice(64, int(rng.integers(1, 7)), replace=False):
                 g ^= 1 << int(b)
             fps.add(g)
+    centre = min(fps)
+    for _ in range(60):        # shards of many
+        fps.add(centre ^ int(rng.integers(0, 1 << 20)))
     root = brute_components(list(fps))
     df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
-    got = {np.int64(r["node"]).view(np.uint64): r["label"] for r in simhash.labels(simhash.links(df)).collect()}
+    got = {np.int64(r["node"]).view(np.uint64): r["label"] for r in simhash.labels(simhash.links(df, shard_size=shard_size)).collect()}
     assert set(got) == {f for f in fps if sum(root[g] == root[f] for g in fps) > 1}
     by_label, by_root = defaultdict(set), defaultdict(set)
     for f, label in got.items():
