@@ -62,15 +62,19 @@ def merge_label(change_type_col) -> Column:
 # --- object extraction ------------------------------------------------------
 # (operation, regex on the comment-stripped statement, group of table,
 #  group of column, group of second name (new column / new type / index))
+# first shape wins.  A statement of several actions, or on a constraint, is
+# not read ("other"): the conflict check reports it as unverified.
 OBJECT_SHAPES = (
-    ("add_column", r"(?i)^ALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?([\w.\"]+)\s+ADD\s+COLUMN\s+(?:IF\s+NOT\s+EXISTS\s+)?([\w\"]+)\s*(.*)$", 1, 2, 3),
-    ("drop_column", r"(?i)^ALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?([\w.\"]+)\s+DROP\s+COLUMN\s+(?:IF\s+EXISTS\s+)?([\w\"]+)", 1, 2, 0),
-    ("rename_column", r"(?i)^ALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?([\w.\"]+)\s+RENAME\s+COLUMN\s+([\w\"]+)\s+TO\s+([\w\"]+)", 1, 2, 3),
-    ("alter_type", r"(?i)^ALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?([\w.\"]+)\s+ALTER\s+COLUMN\s+([\w\"]+)\s+(?:SET\s+DATA\s+)?TYPE\s+(\w+)", 1, 2, 3),
+    ("other", r"(?i)^ALTER\s+TABLE\s[\s\S]*,\s*(?:ADD|DROP|ALTER|RENAME)\s", 0, 0, 0),
+    ("other", r"(?i)^ALTER\s+TABLE\s[\s\S]*\s(?:ADD|DROP)\s+(?:CONSTRAINT|PRIMARY|UNIQUE|FOREIGN|CHECK|EXCLUDE)\s", 0, 0, 0),
+    ("add_column", r"(?i)^ALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?(?:ONLY\s+)?([\w.\"]+)\s+ADD\s+(?:COLUMN\s+)?(?:IF\s+NOT\s+EXISTS\s+)?([\w\"]+)\s*(.*)$", 1, 2, 3),
+    ("drop_column", r"(?i)^ALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?(?:ONLY\s+)?([\w.\"]+)\s+DROP\s+(?:COLUMN\s+)?(?:IF\s+EXISTS\s+)?([\w\"]+)", 1, 2, 0),
+    ("rename_column", r"(?i)^ALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?(?:ONLY\s+)?([\w.\"]+)\s+RENAME\s+COLUMN\s+([\w\"]+)\s+TO\s+([\w\"]+)", 1, 2, 3),
+    ("alter_type", r"(?i)^ALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?(?:ONLY\s+)?([\w.\"]+)\s+ALTER\s+COLUMN\s+([\w\"]+)\s+(?:SET\s+DATA\s+)?TYPE\s+(\w+)", 1, 2, 3),
     ("create_table", r"(?i)^CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?([\w.\"]+)", 1, 0, 0),
     ("drop_table", r"(?i)^DROP\s+TABLE\s+(?:IF\s+EXISTS\s+)?([\w.\"]+)", 1, 0, 0),
-    ("create_index", r"(?i)^CREATE\s+(?:UNIQUE\s+)?INDEX\s+(?:IF\s+NOT\s+EXISTS\s+)?([\w\"]+)\s+ON\s+([\w.\"]+)", 2, 0, 1),
-    ("drop_index", r"(?i)^DROP\s+INDEX\s+(?:IF\s+EXISTS\s+)?([\w.\"]+)", 0, 0, 1),
+    ("create_index", r"(?i)^CREATE\s+(?:UNIQUE\s+)?INDEX\s+(?:CONCURRENTLY\s+)?(?:IF\s+NOT\s+EXISTS\s+)?([\w\"]+)\s+ON\s+([\w.\"]+)", 2, 0, 1),
+    ("drop_index", r"(?i)^DROP\s+INDEX\s+(?:CONCURRENTLY\s+)?(?:IF\s+EXISTS\s+)?([\w.\"]+)", 0, 0, 1),
     ("truncate", r"(?i)^TRUNCATE\s+(?:TABLE\s+)?([\w.\"]+)", 1, 0, 0),
     ("insert", r"(?i)^INSERT\s+INTO\s+([\w.\"]+)", 1, 0, 0),
     ("update", r"(?i)^UPDATE\s+([\w.\"]+)", 1, 0, 0),
@@ -78,6 +82,13 @@ OBJECT_SHAPES = (
 )
 
 
+#: IF EXISTS on the table an ALTER names; IF [NOT] EXISTS on what a statement makes or drops
+TABLE_GUARD = r"(?i)^ALTER\s+TABLE\s+IF\s+EXISTS\s"
+OBJECT_GUARD = (r"(?i)^CREATE\s+(?:UNIQUE\s+)?(?:TABLE|INDEX)\s+(?:CONCURRENTLY\s+)?IF\s+NOT\s+EXISTS\s"
+                r"|^DROP\s+(?:TABLE|INDEX)\s+(?:CONCURRENTLY\s+)?IF\s+EXISTS\s"
+                r"|^ALTER\s+TABLE\s[\s\S]*\s(?:ADD\s+(?:COLUMN\s+)?IF\s+NOT|DROP\s+(?:COLUMN\s+)?IF)\s+EXISTS\s")
+
+
 def strip_comments(sql) -> Column:
     """Trimmed text without leading /* ... */ and -- comments."""
     return trim_ws(F.regexp_replace(trim_ws(sql), r"^(\s*(/\*.*?\*/|--[^\n]*\n))+", ""))
@@ -87,6 +98,11 @@ def _name(c: Column) -> Column:
     return F.lower(F.translate(c, '"', ""))
 
 
+def _bare(c: Column) -> Column:
+    """A name without its schema."""
+    return F.regexp_replace(_name(c), r"^.*\.", "")
+
+
 def with_objects(df, sql_col: str = "sql_text", keep_body: bool = False):
     """Add op, table_name, column_name, detail (op 'other' if no shape
     matches; ``detail`` is the new column name, new type, or index name).
@@ -111,29 +127,15 @@ def with_objects(df, sql_col: str = "sql_text", keep_body: bool = False):
         for name, rx, *groups in OBJECT_SHAPES:
             g = groups[group_index]
             if g:
-                expr = F.when(F.col("op") == name, _name(F.regexp_extract(b, rx, g))).otherwise(expr)
+                text = F.regexp_extract(b, rx, g)
+                expr = F.when(F.col("op") == name, _bare(text) if group_index == 0 or name == "drop_index"
+                              else _name(text)).otherwise(expr)
         return expr
     out = out.withColumns({"table_name": pick(0), "column_name": pick(1), "detail": pick(2)})
     out = out.drop("_first")
     return out if keep_body else out.drop("_body")
 
 
-def change_objects(sql) -> list[Column]:
-    """Column form of ``with_objects`` (one projection; prefer
-    ``with_objects`` on large inputs)."""
-    body = strip_comments(sql)
-    op = F.lit("other")
-    table = column = detail = F.lit(None).cast("string")
-    for name, rx, g_table, g_col, g_detail in reversed(OBJECT_SHAPES):
-        hit = body.rlike(rx)
-        op = F.when(hit, F.lit(name)).otherwise(op)
-        table = F.when(hit, _name(F.regexp_extract(body, rx, g_table)) if g_table else F.lit(None)).otherwise(table)
-        column = F.when(hit, _name(F.regexp_extract(body, rx, g_col)) if g_col else F.lit(None)).otherwise(column)
-        detail = F.when(hit, _name(F.regexp_extract(body, rx, g_detail)) if g_detail else F.lit(None)).otherwise(detail)
-    return [op.alias("op"), table.alias("table_name"), column.alias("column_name"),
-            detail.alias("detail")]
-
-
 def create_columns(sql) -> Column:
     """Column names listed in ``CREATE TABLE t (a INT, b TEXT)`` (lower case)."""
     inner = F.regexp_extract(strip_comments(sql), r"\((.*)\)", 1)

@@ -15,7 +15,10 @@ never touched; a plan has no side effects).  The replay needs no loop:
 4. index state = the last CREATE INDEX (on an existing table) or DROP INDEX
    of that name, else the catalog.
 
-Rename targets are tracked as "now present"; indexes are not dropped
+A rename onto a column that is there is a conflict; for later changes a
+rename counts as done all the same.  IF [NOT] EXISTS makes the missing or
+present object no conflict.  A statement that fits no known shape, or has
+several actions, is ``unverified``, never safe.  Indexes are not dropped
 together with their table; type changes are not checked against a cast
 matrix (no types in the statement shapes we read).
 """
@@ -25,8 +28,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.changes import (auto_resolve, conflict_class, conflict_details,
-                                 create_columns, with_objects)
+from ..functions.changes import (OBJECT_GUARD, TABLE_GUARD, auto_resolve, conflict_class,
+                                 conflict_details, create_columns, with_objects)
 from .numbering import DETECT, collect_hot
 from .scan import pieced_scan, plain_scan
 
@@ -46,7 +49,9 @@ def check(changes: DataFrame, catalog: DataFrame, indexes: DataFrame,
     (NULL = safe) and a database-style message.
     """
     objs = with_objects(changes.select("branch_id", "sequence", "sql_text"), "sql_text", keep_body=True)
-    objs = objs.withColumn("create_cols", create_columns(F.col("_body"))).drop("_body")
+    body = F.col("_body")
+    objs = objs.withColumns({"create_cols": create_columns(body), "table_guard": body.rlike(TABLE_GUARD),
+                             "object_guard": body.rlike(OBJECT_GUARD)}).drop("_body")
     cat_tables = catalog.select(F.lower("table_name").alias("table_name")).distinct() \
                         .withColumn("cat_table", F.lit(True))
     cat_cols = catalog.select(F.lower("table_name").alias("table_name"),
@@ -68,12 +73,12 @@ def check(changes: DataFrame, catalog: DataFrame, indexes: DataFrame,
     return _classify(t)
 
 
-def _plain_step(df, parts, lasts=None, sums=None):
-    return plain_scan(df, parts, "sequence", lasts, sums)
+def _plain_step(df, parts, lasts=None, sums=None, order="sequence"):
+    return plain_scan(df, parts, order, lasts, sums)
 
 
-def _pieced_step(df, parts, lasts=None, sums=None):
-    return pieced_scan(df, parts, "sequence", lasts, sums, piece_cols=["branch_id"])
+def _pieced_step(df, parts, lasts=None, sums=None, order="sequence"):
+    return pieced_scan(df, parts, order, lasts, sums, piece_cols=["branch_id"])
 
 
 def _replay(objs: DataFrame, cat_tables: DataFrame, cat_cols: DataFrame, cat_idx: DataFrame, scan) -> DataFrame:
@@ -92,8 +97,9 @@ def _replay(objs: DataFrame, cat_tables: DataFrame, cat_cols: DataFrame, cat_idx
     t = t.withColumn("epoch", F.coalesce("_ep", F.lit(0)))
 
     # 3: column touches; a rename touches its old name (gone) and new name
-    # (present).  The extra rename row rides along in the same frame and is
-    # dropped after the scan, so no join back is needed.
+    # (present).  The extra rename row rides along in the same frame, tells
+    # the rename the state of its new name in step 4, and is then dropped, so
+    # no join back is needed.
     touches = F.array(
         F.struct(F.col("column_name").alias("col"),
                  F.when(op == "add_column", F.lit(True))
@@ -111,14 +117,15 @@ def _replay(objs: DataFrame, cat_tables: DataFrame, cat_cols: DataFrame, cat_idx
               F.col("_cb"),
               F.when(F.col("epoch") == 0, F.coalesce("cat_col", F.lit(False)))
                .otherwise(F.coalesce(F.array_contains("epoch_cols", F.col("col")), F.lit(False))))))
-          .filter(F.col("_main")))
+          .withColumn("_pos", F.col("sequence").cast("long") * 2 + F.col("_main").cast("long")))
 
     # 4: index state per (branch, index name)
     # a CREATE INDEX on a missing table is rejected and creates nothing
     i_event = (F.when((op == "create_index") & F.col("table_before"), F.lit(True))
                 .when(op == "drop_index", F.lit(False)))
-    t = scan(t.join(F.broadcast(cat_idx), "detail", "left"), ["branch_id", "detail"], lasts={"_ib": i_event})
-    t = t.withColumn("index_before", F.when(op.isin("create_index", "drop_index"),
+    t = scan(t.join(F.broadcast(cat_idx), "detail", "left"), ["branch_id", "detail"], order="_pos",
+             lasts={"_ib": i_event, "target_before": F.when(~F.col("_main"), F.col("col_before"))})
+    t = t.filter(F.col("_main")).withColumn("index_before", F.when(op.isin("create_index", "drop_index"),
                                             F.coalesce("_ib", "cat_idx", F.lit(False))))
 
     return t
@@ -129,21 +136,29 @@ def _classify(t: DataFrame) -> DataFrame:
     tb, cb, ib = F.col("table_before"), F.col("col_before"), F.col("index_before")
     tbl, col, det = F.col("table_name"), F.col("column_name"), F.col("detail")
     q = F.lit('"')
+    guard = F.col("object_guard")
+    allowed = (F.col("table_guard") & ~tb) | ((op == "drop_table") & guard & ~tb)     # nothing to do, by its own words
     missing_table = op.isin(*NEEDS_TABLE) & ~tb
-    ctype = (F.when(missing_table, F.lit("dropped_reference"))
-              .when((op == "create_table") & tb, F.lit("table_exists"))
-              .when((op == "create_index") & ib, F.lit("index_exists"))
-              .when((op == "drop_index") & ~ib, F.lit("dropped_reference"))
-              .when((op == "add_column") & cb, F.lit("column_exists"))
-              .when(op.isin(*NEEDS_COLUMN) & ~cb, F.lit("dropped_reference")))
-    message = (F.when(missing_table & (op == "drop_table"), F.concat(F.lit('table "'), tbl, q, F.lit(" does not exist")))
+    onto = (op == "rename_column") & F.coalesce("target_before", F.lit(False))
+    ctype = (F.when(op == "other", F.lit("unverified"))
+              .when(allowed, F.lit(None))
+              .when(missing_table, F.lit("dropped_reference"))
+              .when((op == "create_table") & tb & ~guard, F.lit("table_exists"))
+              .when((op == "create_index") & ib & ~guard, F.lit("index_exists"))
+              .when((op == "drop_index") & ~ib & ~guard, F.lit("dropped_reference"))
+              .when((op == "add_column") & cb & ~guard, F.lit("column_exists"))
+              .when(op.isin(*NEEDS_COLUMN) & ~cb & ~guard, F.lit("dropped_reference"))
+              .when(onto, F.lit("column_exists")))
+    message = (F.when(ctype == "unverified", F.lit("statement not recognised, review it by hand"))
+                .when(ctype.isNull(), F.lit(None))
+                .when(missing_table & (op == "drop_table"), F.concat(F.lit('table "'), tbl, q, F.lit(" does not exist")))
                 .when(missing_table, F.concat(F.lit('relation "'), tbl, q, F.lit(" does not exist")))
                 .when(ctype == "table_exists", F.concat(F.lit('relation "'), tbl, q, F.lit(" already exists")))
                 .when(ctype == "index_exists", F.concat(F.lit('relation "'), det, q, F.lit(" already exists")))
                 .when((ctype == "dropped_reference") & (op == "drop_index"),
                       F.concat(F.lit('index "'), det, q, F.lit(" does not exist")))
                 .when(ctype == "column_exists",
-                      F.concat(F.lit('column "'), col, F.lit('" of relation "'), tbl, q, F.lit(" already exists")))
+                      F.concat(F.lit('column "'), F.when(op == "rename_column", det).otherwise(col), F.lit('" of relation "'), tbl, q, F.lit(" already exists")))
                 .when(ctype == "dropped_reference",
                       F.concat(F.lit('column "'), col, F.lit('" of relation "'), tbl, q, F.lit(" does not exist"))))
     return t.select("branch_id", "sequence", "sql_text", "op", "table_name", "column_name",

@@ -59,7 +59,7 @@ def parse(sql: str) -> Change:
             whole = {"add_column": r"(?i)\bADD\s+(?:COLUMN\s+)?(?:IF\s+NOT\s+EXISTS\s+)?\"?\w+\"?\s+(.+)$",
                      "alter_type": r"(?i)\bTYPE\s+(.+?)(?:\s+USING\b.*)?$"}.get(op)
             d = re.search(whole, body.rstrip("; \n")) if whole else None
-            return Change(op, grp(g_t), grp(g_c), d.group(1) if d else grp(g_d), default, sql)
+            return Change(op, grp(g_t) and grp(g_t).rsplit(".", 1)[-1], grp(g_c), d.group(1) if d else grp(g_d), default, sql)
     return Change("other", None, None, None, None, sql)
 
 

@@ -44,7 +44,8 @@ _CHECK_CTES = [
     """chk AS (SELECT c.branch_id, c.sequence, c.sql_text FROM v_changes c JOIN v_branches b ON b.branch_id = c.branch_id
   WHERE b.status = 'active' AND b.branch_id != 0 AND c.type IN ('ddl', 'seed'))""",
     f"""o AS (SELECT branch_id, sequence, sql_text, {_E['op']} AS op, {_E['table_name']} AS table_name,
-  {_E['column_name']} AS column_name, {_E['detail']} AS detail, {create_cols_expr('body')} AS create_cols
+  {_E['column_name']} AS column_name, {_E['detail']} AS detail, {create_cols_expr('body')} AS create_cols,
+  {_E['table_guard']} AS table_guard, {_E['object_guard']} AS object_guard
   FROM (SELECT *, {body_expr('sql_text')} AS body FROM chk))""",
     f"""t1 AS (SELECT o.*, coalesce(last_value(CASE WHEN op = 'create_table' THEN true WHEN op = 'drop_table' THEN false END
   IGNORE NULLS) OVER (PARTITION BY branch_id, o.table_name ORDER BY sequence {_PREV}), bt.table_name IS NOT NULL) AS table_before
@@ -67,30 +68,37 @@ _CHECK_CTES = [
   coalesce(last_value(effect IGNORE NULLS) OVER (PARTITION BY branch_id, touch.table_name, epoch, touch.col ORDER BY sequence {_PREV}),
     CASE WHEN epoch = 0 THEN bc.col IS NOT NULL ELSE coalesce(list_contains(epoch_cols, touch.col), false) END) AS col_before
   FROM touch LEFT JOIN base_c bc ON bc.table_name = touch.table_name AND bc.col = touch.col)""",
-    "t5 AS (SELECT t4.*, tc.col_before FROM t4 LEFT JOIN (SELECT * FROM tc WHERE main) tc USING (branch_id, sequence))",
+    """t5 AS (SELECT t4.*, tc.col_before, tn.col_before AS target_before FROM t4
+  LEFT JOIN (SELECT * FROM tc WHERE main) tc USING (branch_id, sequence)
+  LEFT JOIN (SELECT * FROM tc WHERE NOT main) tn USING (branch_id, sequence))""",
     f"""t6 AS (SELECT t5.*, CASE WHEN op IN ('create_index', 'drop_index') THEN
   coalesce(last_value(CASE WHEN op = 'create_index' AND table_before THEN true WHEN op = 'drop_index' THEN false END IGNORE NULLS)
     OVER (PARTITION BY branch_id, detail ORDER BY sequence {_PREV}), bi.idx IS NOT NULL) END AS index_before
   FROM t5 LEFT JOIN base_i bi ON bi.idx = t5.detail)""",
-    """checked AS (SELECT branch_id, sequence, sql_text, op, table_name, column_name, detail,
-  CASE WHEN op IN ('add_column','drop_column','rename_column','alter_type','drop_table','create_index','truncate','insert','update','delete')
+    """verdicts AS (SELECT *,
+  CASE WHEN op = 'other' THEN 'unverified'
+       WHEN (table_guard OR (op = 'drop_table' AND object_guard)) AND NOT table_before THEN NULL
+       WHEN op IN ('add_column','drop_column','rename_column','alter_type','drop_table','create_index','truncate','insert','update','delete')
          AND NOT table_before THEN 'dropped_reference'
-       WHEN op = 'create_table' AND table_before THEN 'table_exists'
-       WHEN op = 'create_index' AND index_before THEN 'index_exists'
-       WHEN op = 'drop_index' AND NOT index_before THEN 'dropped_reference'
-       WHEN op = 'add_column' AND col_before THEN 'column_exists'
-       WHEN op IN ('drop_column', 'rename_column', 'alter_type') AND NOT col_before THEN 'dropped_reference' END AS conflict_type,
-  CASE WHEN op IN ('add_column','drop_column','rename_column','alter_type','drop_table','create_index','truncate','insert','update','delete')
-         AND NOT table_before THEN
-         CASE WHEN op = 'drop_table' THEN 'table "' || table_name || '" does not exist'
-              ELSE 'relation "' || table_name || '" does not exist' END
-       WHEN op = 'create_table' AND table_before THEN 'relation "' || table_name || '" already exists'
-       WHEN op = 'create_index' AND index_before THEN 'relation "' || detail || '" already exists'
-       WHEN op = 'drop_index' AND NOT index_before THEN 'index "' || detail || '" does not exist'
-       WHEN op = 'add_column' AND col_before THEN 'column "' || column_name || '" of relation "' || table_name || '" already exists'
-       WHEN op IN ('drop_column', 'rename_column', 'alter_type') AND NOT col_before
-         THEN 'column "' || column_name || '" of relation "' || table_name || '" does not exist' END AS message
+       WHEN op = 'create_table' AND table_before AND NOT object_guard THEN 'table_exists'
+       WHEN op = 'create_index' AND index_before AND NOT object_guard THEN 'index_exists'
+       WHEN op = 'drop_index' AND NOT index_before AND NOT object_guard THEN 'dropped_reference'
+       WHEN op = 'add_column' AND col_before AND NOT object_guard THEN 'column_exists'
+       WHEN op IN ('drop_column', 'rename_column', 'alter_type') AND NOT col_before AND NOT object_guard THEN 'dropped_reference'
+       WHEN op = 'rename_column' AND target_before THEN 'column_exists' END AS conflict_type
   FROM t6)""",
+    """checked AS (SELECT branch_id, sequence, sql_text, op, table_name, column_name, detail, conflict_type,
+  CASE WHEN conflict_type IS NULL THEN NULL
+       WHEN conflict_type = 'unverified' THEN 'statement not recognised, review it by hand'
+       WHEN op = 'drop_table' THEN 'table "' || table_name || '" does not exist'
+       WHEN conflict_type = 'table_exists' THEN 'relation "' || table_name || '" already exists'
+       WHEN conflict_type = 'index_exists' THEN 'relation "' || detail || '" already exists'
+       WHEN op = 'drop_index' THEN 'index "' || detail || '" does not exist'
+       WHEN NOT table_before THEN 'relation "' || table_name || '" does not exist'
+       WHEN conflict_type = 'column_exists' THEN 'column "' || CASE WHEN op = 'rename_column' THEN detail ELSE column_name END
+         || '" of relation "' || table_name || '" already exists'
+       ELSE 'column "' || column_name || '" of relation "' || table_name || '" does not exist' END AS message
+  FROM verdicts)""",
     """classified AS (SELECT *,
   CASE WHEN contains(lower(message), 'already exists') AND contains(lower(message), 'column') THEN 'column_exists'
        WHEN contains(lower(message), 'already exists') AND contains(lower(message), 'relation') THEN 'index_exists'

@@ -22,7 +22,16 @@ LEFT JOIN (SELECT o_custkey, min(o_orderdate) AS first_ts, max(o_orderdate) AS l
 V_MIGRATIONS = """v_migrations AS (
 SELECT o_orderkey AS migration_id, o_custkey AS branch_id,
   CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INT) AS sequence,
-  CASE o_orderkey % 12
+  CASE o_orderkey % 24
+    WHEN 12 THEN concat('ALTER TABLE public.users ADD COLUMN IF NOT EXISTS c', CAST(o_orderkey % 50 AS VARCHAR), ' TEXT')
+    WHEN 13 THEN concat('CREATE TABLE IF NOT EXISTS t', CAST(o_orderkey % 50 AS VARCHAR), ' (id INT)')
+    WHEN 14 THEN concat('CREATE INDEX IF NOT EXISTS idx_', CAST(o_orderkey % 50 AS VARCHAR), ' ON users(email)')
+    WHEN 17 THEN concat('ALTER TABLE users ADD COLUMN d', CAST(o_orderkey % 50 AS VARCHAR), ' INT, DROP COLUMN status')
+    WHEN 18 THEN concat('ALTER TABLE ONLY users DROP COLUMN IF EXISTS c', CAST(o_orderkey % 50 AS VARCHAR))
+    WHEN 19 THEN 'ALTER TABLE users ALTER COLUMN plan TYPE varchar'
+    WHEN 20 THEN concat('DROP TABLE IF EXISTS t', CAST(o_orderkey % 50 AS VARCHAR))
+    WHEN 22 THEN concat('ALTER TABLE users RENAME COLUMN name TO c', CAST(o_orderkey % 50 AS VARCHAR))
+    ELSE CASE o_orderkey % 12
     WHEN 0 THEN concat('ALTER TABLE users ADD COLUMN c', CAST(o_orderkey % 50 AS VARCHAR), ' TEXT')
     WHEN 1 THEN concat('CREATE TABLE t', CAST(o_orderkey % 50 AS VARCHAR), ' (id INT)')
     WHEN 2 THEN concat('CREATE INDEX idx_', CAST(o_orderkey % 50 AS VARCHAR), ' ON users(email)')
@@ -34,7 +43,7 @@ SELECT o_orderkey AS migration_id, o_custkey AS branch_id,
     WHEN 8 THEN concat('  drop table t', CAST(o_orderkey % 50 AS VARCHAR), '  ')
     WHEN 9 THEN concat('CREATE UNIQUE INDEX ux_', CAST(o_orderkey % 50 AS VARCHAR), ' ON users(email)')
     WHEN 10 THEN 'ALTER TABLE orders RENAME COLUMN amount TO total'
-    ELSE concat('DELETE FROM users WHERE id = ', CAST(o_orderkey % 50 AS VARCHAR)) END AS sql_text,
+    ELSE concat('DELETE FROM users WHERE id = ', CAST(o_orderkey % 50 AS VARCHAR)) END END AS sql_text,
   o_orderdate AS applied_at
 FROM orders)"""
 
@@ -131,17 +140,21 @@ def body_expr(x: str) -> str:
 
 def object_exprs(body: str = "body") -> dict[str, str]:
     """op, table_name, column_name, detail of a statement (first shape wins)."""
-    from ..functions.changes import OBJECT_SHAPES
+    from ..functions.changes import OBJECT_GUARD, OBJECT_SHAPES, TABLE_GUARD
 
-    def name(rx, g):
+    def name(rx, g, bare=False):
         if not g:
             return "NULL"
-        return f"lower(replace(regexp_extract({body}, '{rx}', {g}), '\"', ''))"
+        text = f"lower(replace(regexp_extract({body}, '{rx}', {g}), '\"', ''))"
+        return f"regexp_replace({text}, '^.*\\.', '')" if bare else text
     out = {"op": "CASE " + " ".join(f"WHEN regexp_matches({body}, '{rx}') THEN '{n}'"
                                     for n, rx, *_ in OBJECT_SHAPES) + " ELSE 'other' END"}
     for key, idx in (("table_name", 2), ("column_name", 3), ("detail", 4)):
-        out[key] = "CASE " + " ".join(f"WHEN regexp_matches({body}, '{s[1]}') THEN {name(s[1], s[idx])}"
+        out[key] = "CASE " + " ".join(f"WHEN regexp_matches({body}, '{s[1]}') THEN "
+                                      f"{name(s[1], s[idx], key == 'table_name' or s[0] == 'drop_index')}"
                                       for s in OBJECT_SHAPES) + " END"
+    out["table_guard"] = f"regexp_matches({body}, '{TABLE_GUARD}')"
+    out["object_guard"] = f"regexp_matches({body}, '{OBJECT_GUARD}')"
     return out
 
 

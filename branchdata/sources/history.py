@@ -53,8 +53,16 @@ def branches(src: Source) -> DataFrame:
 
 def change_text(key):
     k50 = (key % 50).cast("string")
-    kind = key % 12
-    return (F.when(kind == 0, F.concat(F.lit("ALTER TABLE users ADD COLUMN c"), k50, F.lit(" TEXT")))
+    kind, shape = key % 12, key % 24
+    return (F.when(shape == 12, F.concat(F.lit("ALTER TABLE public.users ADD COLUMN IF NOT EXISTS c"), k50, F.lit(" TEXT")))
+             .when(shape == 13, F.concat(F.lit("CREATE TABLE IF NOT EXISTS t"), k50, F.lit(" (id INT)")))
+             .when(shape == 14, F.concat(F.lit("CREATE INDEX IF NOT EXISTS idx_"), k50, F.lit(" ON users(email)")))
+             .when(shape == 17, F.concat(F.lit("ALTER TABLE users ADD COLUMN d"), k50, F.lit(" INT, DROP COLUMN status")))
+             .when(shape == 18, F.concat(F.lit("ALTER TABLE ONLY users DROP COLUMN IF EXISTS c"), k50))
+             .when(shape == 19, F.lit("ALTER TABLE users ALTER COLUMN plan TYPE varchar"))
+             .when(shape == 20, F.concat(F.lit("DROP TABLE IF EXISTS t"), k50))
+             .when(shape == 22, F.concat(F.lit("ALTER TABLE users RENAME COLUMN name TO c"), k50))
+             .when(kind == 0, F.concat(F.lit("ALTER TABLE users ADD COLUMN c"), k50, F.lit(" TEXT")))
              .when(kind == 1, F.concat(F.lit("CREATE TABLE t"), k50, F.lit(" (id INT)")))
              .when(kind == 2, F.concat(F.lit("CREATE INDEX idx_"), k50, F.lit(" ON users(email)")))
              .when(kind == 3, F.concat(F.lit("INSERT INTO users VALUES ("), k50, F.lit(")")))

@@ -18,7 +18,7 @@ def _random_batch(rnd, n):
     out = []
     for _ in range(n):
         t, c, c2 = rnd.choice(TABLES), rnd.choice(COLS), rnd.choice(COLS)
-        kind = rnd.randrange(7)
+        kind = rnd.randrange(12)
         if kind == 0:
             out.append(f"CREATE TABLE {t} (id INT, c1 TEXT)")
         elif kind == 1:
@@ -31,6 +31,18 @@ def _random_batch(rnd, n):
             out.append(f"CREATE INDEX idx_{rnd.randrange(3)} ON {t}(id)")
         elif kind == 5:
             out.append(f"DROP INDEX idx_{rnd.randrange(3)}")
+        elif kind == 7:
+            out.append(f"create table if not exists public.{t} (id INT, c1 TEXT)")
+        elif kind == 8:
+            out.append(rnd.choice([f"DROP TABLE IF EXISTS {t}", f"DROP INDEX IF EXISTS public.idx_{rnd.randrange(3)}"]))
+        elif kind == 9:
+            out.append(rnd.choice([f"ALTER TABLE IF EXISTS ONLY public.{t} ADD COLUMN IF NOT EXISTS {c} TEXT",
+                                   f"ALTER TABLE {t} ADD {c} INT", f"ALTER TABLE ONLY {t} DROP COLUMN IF EXISTS {c}"]))
+        elif kind == 10:
+            out.append(f"CREATE INDEX IF NOT EXISTS idx_{rnd.randrange(3)} ON {t}(id)")
+        elif kind == 11:
+            out.append(rnd.choice([f"ALTER TABLE {t} ADD COLUMN {c} INT, DROP COLUMN {c2}", f"ALTER TABLE {t} RENAME TO {c}",
+                                   f"ALTER TABLE {t} ADD CONSTRAINT k CHECK (id > 0)", "GRANT ALL ON users TO x"]))
         elif c != c2:
             out.append(f"ALTER TABLE {t} RENAME COLUMN {c} TO {c2}")
         else:
@@ -41,56 +53,60 @@ def _random_batch(rnd, n):
 def _step_by_step(sqls):
     """Each change judged on its own against the state left by the earlier
     ones; accepted changes update the state, rejected ones do not (a rename's
-    target is marked present either way, as documented)."""
+    old name counts as gone and its new name as present either way, as documented)."""
     tables = {t: set(cols) for t, cols in BASE.items()}
     idx = set(BASE_IDX)
     out = []
     for s in sqls:
-        w = s.replace("(", " (").split()
+        w = s.replace("(", " (").lower().replace("public.", "")
+        words = [x for x in w.split() if x not in ("if", "not", "exists", "only", "column")]
+        guard = "if exists" in w or "if not exists" in w
         res = None
-        if w[0] == "CREATE" and w[1] == "TABLE":
-            t = w[2]
+        if "," in w and w.startswith("alter") or " rename to " in w or " constraint " in w or w.startswith("grant"):
+            res = "unverified"
+        elif words[:2] == ["create", "table"]:
+            t = words[2]
             if t in tables:
-                res = "table_exists"
+                res = None if guard else "table_exists"
             else:
                 tables[t] = {"id", "c1"}
-        elif w[0] == "DROP" and w[1] == "TABLE":
-            if w[2] in tables:
-                del tables[w[2]]
-            else:
+        elif words[:2] == ["drop", "table"]:
+            if tables.pop(words[2], None) is None and not guard:
                 res = "dropped_reference"
-        elif w[0] == "ALTER":
-            t, act, col = w[2], w[3], w[5]
+        elif words[0] == "alter":
+            t, act, col = words[2], words[3], words[4]
             if t not in tables:
-                res = "dropped_reference"
-            elif act == "ADD":
-                if col in tables[t]:
+                res = None if "table if exists" in w else "dropped_reference"
+            elif act == "add":
+                if col in tables[t] and not guard:
                     res = "column_exists"
                 tables[t].add(col)
-            elif act == "DROP":
-                if col not in tables[t]:
+            elif act == "drop":
+                if col not in tables[t] and not guard:
                     res = "dropped_reference"
                 tables[t].discard(col)
-            else:  # RENAME
+            else:  # rename
                 if col not in tables[t]:
                     res = "dropped_reference"
+                elif words[6] in tables[t]:
+                    res = "column_exists"
                 tables[t].discard(col)
-                tables[t].add(w[7])
-        elif w[0] == "CREATE" and w[1] == "INDEX":
-            name, t = w[2], w[4]
+                tables[t].add(words[6])
+        elif words[:2] == ["create", "index"]:
+            name, t = words[2], words[4]
             if t not in tables:
                 res = "dropped_reference"
             elif name in idx:
-                res = "index_exists"
+                res = None if guard else "index_exists"
             else:
                 idx.add(name)
-        elif w[0] == "DROP" and w[1] == "INDEX":
-            if w[2] in idx:
-                idx.discard(w[2])
-            else:
+        elif words[:2] == ["drop", "index"]:
+            if words[2] in idx:
+                idx.discard(words[2])
+            elif not guard:
                 res = "dropped_reference"
-        elif w[0] == "TRUNCATE":
-            if w[1] not in tables:
+        elif words[0] == "truncate":
+            if words[1] not in tables:
                 res = "dropped_reference"
         out.append(res)
     return out
