@@ -7,6 +7,8 @@ column from the scan when its mask does not read it (static masks).
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,8 +42,11 @@ def table_masks(rules: dict, table: str) -> dict[str, str]:
 
 
 def mask_frame(df: DataFrame, table: str, rules: dict, id_col: str | None = None,
-               strict: bool = True) -> DataFrame:
-    """All columns in order; masked ones replaced under the same name.
+               strict: bool = True, as_text: Collection[str] = ()) -> DataFrame:
+    """All columns in order; masked ones replaced under the same name and
+    type.  A mask that is no value of its column's type raises when the frame
+    is read (ANSI cast), unless ``as_text`` names the column: it then becomes
+    a string.
 
     Fails closed: a ``table.column`` rule for a column the frame lacks, or an
     ``{{id}}`` mask without a key column, raises instead of copying raw data.
@@ -54,10 +59,17 @@ def mask_frame(df: DataFrame, table: str, rules: dict, id_col: str | None = None
                 raise ValueError(f"mask rule {key!r} names a column that {table!r} lacks")
     if any(pattern_needs_id(p) for c, p in masks.items() if c in cols) and id_col is None:
         raise ValueError(f"table {table!r} has an {{{{id}}}} mask but no key column")
+    text = {c.lower() for c in as_text}
     out = []
-    for c in df.columns:
-        p = masks.get(c.lower())
-        out.append(mask_column(p, c, id_col).alias(c) if p is not None else F.col(c))
+    for field in df.schema.fields:
+        c, p = field.name, masks.get(field.name.lower())
+        if p is None:
+            out.append(F.col(f"`{c}`"))
+            continue
+        masked = mask_column(p, c, id_col)
+        if not isinstance(field.dataType, T.StringType) and c.lower() not in text:
+            masked = masked.cast(field.dataType)
+        out.append(masked.alias(c))
     return df.select(*out)
 
 

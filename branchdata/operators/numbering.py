@@ -31,7 +31,7 @@ DEFAULT_HOT_ROWS = 2_000_000
 
 _RANGEABLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
               T.DoubleType, T.DecimalType, T.DateType, T.TimestampType,
-              T.TimestampNTZType)
+              T.TimestampNTZType, T.StringType)
 
 
 def _cols(items) -> list[Column]:
@@ -51,6 +51,9 @@ def _as_number(c: Column, dtype) -> Column:
         return F.unix_micros(c).cast("double")
     if isinstance(dtype, T.DateType):
         return F.unix_date(c).cast("double")
+    if isinstance(dtype, T.StringType):      # the first six bytes: texts order by their bytes
+        head = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0")
+        return F.conv(head, 16, 10).cast("double")
     return c.cast("double")
 
 
@@ -79,18 +82,18 @@ def _cut(x: Column, lo: Column, hi: Column, pieces: int) -> Column:
 def ranged_numbers(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
                    out: str = "rn", pieces: int | None = None) -> DataFrame:
     """Number rows 1..n per group (or over the whole frame when
-    ``group_cols`` is empty) in ``pieces`` balanced tasks per group.
+    ``group_cols`` is empty; bigint) in ``pieces`` balanced tasks per group.
 
     ``order_cols`` must give a total order inside a group and start with a
-    numeric, date or timestamp column (the range column).  A group whose
-    range column holds a single value is cut on the second order column
-    instead (when that one is numeric, date or timestamp too).
+    numeric, date, timestamp or text column (the range column; a text counts
+    by its first six bytes).  A group whose range column holds a single value
+    is cut on the second order column instead (of one of these types too).
     """
     pieces = pieces or _partitions(df)
     group_cols = list(group_cols)
     first = _rangeable(df, order_cols)
     if first is None:
-        raise ValueError("ranged numbering needs a numeric/date/timestamp first order column")
+        raise ValueError("ranged numbering needs a numeric, date, timestamp or text first order column")
     second = _second_rangeable(df, order_cols)
     x = _as_number(F.col(first), df.schema[first].dataType)
     x2 = _as_number(F.col(second), df.schema[second].dataType) if second else None
@@ -122,7 +125,7 @@ def ranged_numbers(df: DataFrame, group_cols: Sequence[str], order_cols: Sequenc
     offsets = sizes.select(*group_cols, "_piece",
                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     return (numbered.join(F.broadcast(offsets), [*group_cols, "_piece"])
-                    .select(*df.columns, (F.col("_local") + F.col("_off")).cast("int").alias(out)))
+                    .select(*df.columns, (F.col("_local") + F.col("_off")).cast("bigint").alias(out)))
 
 
 def hot_groups(df: DataFrame, group_cols: Sequence[str], hot_rows: int | None = None,
@@ -178,4 +181,5 @@ def number_rows(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
     cold = (df.join(hot, group_cols, "left_anti")
               .select(*df.columns, F.row_number().over(window).cast("int").alias(out)))
     warm = ranged_numbers(df.join(hot, group_cols, "left_semi"), group_cols, order_cols, out)
+    warm = warm.withColumn(out, F.col(out).cast("int"))     # as row_number(); out of range raises
     return cold.unionByName(warm)

@@ -80,3 +80,16 @@ def test_static_mask_prunes_raw_column(spark, tmp_path):
     plan = M.mask_frame(spark.read.parquet(path), "t", {"t.s": "***"}, id_col="id")._jdf \
         .queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<id:int>" in plan
+
+
+def test_masks_keep_the_column_type(spark):
+    rows = spark.sql("select 7L as id, 12.5D as pay, date'2024-05-06' as born, 'x' as note")
+    rules = {"t.pay": "0", "t.born": "1970-01-01", "t.note": "n{{id}}"}
+    out = M.mask_frame(rows, "t", rules, id_col="id")
+    assert [f.dataType.simpleString() for f in out.schema.fields] == ["bigint", "double", "date", "string"]
+    r = out.first()
+    assert (r.pay, str(r.born), r.note) == (0.0, "1970-01-01", "n7")
+    text = M.mask_frame(rows, "t", {"t.pay": "hidden"}, as_text=("pay",))
+    assert text.schema["pay"].dataType.simpleString() == "string" and text.first().pay == "hidden"
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        M.mask_frame(rows, "t", {"t.pay": "hidden"}).collect()

@@ -71,3 +71,14 @@ def test_change_log_filters_branch_and_type(spark):
     c = Ctx(spark, SF001)
     rows = R.change_log(c.recorded, c.branches, change_type="ddl", branch="main", limit=5).collect()
     assert rows and all(r.branch == "main" and r.type == "ddl" for r in rows) and len(rows) <= 5
+
+
+def test_chunk_plan_on_text_keys(spark):
+    """Pages of text keys: in byte order, whole, also for short, empty and non-ASCII keys."""
+    import hashlib
+    keys = sorted({hashlib.md5(str(i).encode()).hexdigest() for i in range(500)} | {"", "a", "zz", "ä", "日本", "same-head-1", "same-head-2"},
+                  key=lambda k: k.encode())
+    df = spark.createDataFrame([(k,) for k in keys], "k string").repartition(5)
+    plan = sorted(X.chunk_plan(df, ["k"], 50).collect(), key=lambda r: r.page)
+    want = [keys[i:i + 50] for i in range(0, len(keys), 50)]
+    assert [(r.low_k, r.high_k, r["rows"]) for r in plan] == [(p[0], p[-1], len(p)) for p in want]
