@@ -6,10 +6,12 @@ pre-aggregated before the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def check_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -50,3 +52,41 @@ def masked_uniqueness(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"),
                   F.count_distinct(F.col(column)).alias("n_distinct")) \
              .withColumn("unique_kept", F.col("n_rows") == F.col("n_distinct"))
+
+
+def integer_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, (T.IntegerType, T.LongType, T.ShortType))]
+
+
+def cursor_candidates(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Integer columns of the tables, and whether their values are unique and
+    never NULL (usable as a load cursor): (table_name, column_name, n_rows,
+    n_distinct, is_candidate).
+
+    Each table is read once: its columns are unpivoted, and all tables share
+    one count per value (partial before the shuffle).  A column of an empty
+    table is a candidate with no rows."""
+    columns = {t: integer_columns(df) for t, df in tables.items()}
+    columns = {t: cols for t, cols in columns.items() if cols}
+    spark = next(iter(tables.values())).sparkSession
+    names = spark.createDataFrame([(t, c) for t, cols in columns.items() for c in cols],
+                                  "table_name string, column_name string")
+    parts = [names.select("*", F.lit(None).cast("bigint").alias("value"), F.lit(0).cast("bigint").alias("n"))]
+    for t, cols in columns.items():
+        stack = ", ".join(f"'{c}', cast(`{c}` as bigint)" for c in cols)
+        parts.append(tables[t].select(*cols)
+                     .selectExpr(f"'{t}' as table_name", f"stack({len(cols)}, {stack}) as (column_name, value)",
+                                 "1L as n"))
+    values = (reduce(DataFrame.unionByName, parts).groupBy("table_name", "column_name", "value")
+              .agg(F.sum("n").alias("n")))
+    found = values.groupBy("table_name", "column_name").agg(
+        F.sum("n").alias("n_rows"), F.count("value").alias("n_distinct"))
+    return found.withColumn("is_candidate", F.col("n_distinct") == F.col("n_rows"))
+
+
+def next_keys(keyed: Sequence[tuple[str, str, DataFrame]]) -> DataFrame:
+    """The next free integer key of each (table, key column, frame), 1 for an
+    empty table: (table_name, key_column, next_key)."""
+    return reduce(DataFrame.unionByName, [
+        df.agg((F.coalesce(F.max(k), F.lit(0)) + 1).cast("bigint").alias("next_key"))
+          .select(F.lit(t).alias("table_name"), F.lit(k).alias("key_column"), "next_key") for t, k, df in keyed])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators import extract as X
 from ..operators import masking as M
@@ -40,17 +39,14 @@ def schema_catalog(c: Ctx):
     return catalog_of(c.spark, {t: c.t(t) for t in DRIVER_TABLES})
 
 
-def _int_columns(df):
-    return [f.name for f in df.schema.fields
-            if isinstance(f.dataType, (T.IntegerType, T.LongType, T.ShortType))]
-
-
 _CURSOR_COLS = {
     "region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"],
     "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"],
     "part": ["p_partkey", "p_size"], "orders": ["o_orderkey", "o_custkey"],
     "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"],
-    "events": ["event_id", "user_id"],
+    "events": ["event_id", "user_id"], "documents": ["doc_id", "n_chars"], "embeddings": ["vec_id", "label"],
+    "pages": ["page_id"], "benchmark": ["item_id"], "labels": ["doc_id", "quality", "toxic"],
+    "conversations": ["conv_id", "turn"],
 }
 _CURSOR_SQL = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, '{col}' AS column_name, count(*) AS n_rows, "
@@ -61,25 +57,8 @@ _CURSOR_SQL = " UNION ALL ".join(
 
 @query("cursor_candidates", _CURSOR_SQL)
 def cursor_candidates(c: Ctx):
-    """Integer columns whose values are unique and never NULL: usable as a
-    load cursor.  One aggregate per table (all its columns at once)."""
-    parts = []
-    for t in S.CURSOR_TABLES:
-        df = c.t(t)
-        cols = _int_columns(df)
-        aggs = [F.count(F.lit(1)).alias("n_rows")]
-        for col in cols:
-            aggs += [F.count_distinct(col).alias(f"d_{col}"), F.count(col).alias(f"nn_{col}")]
-        wide = df.agg(*aggs)
-        for col in cols:
-            parts.append(wide.select(
-                F.lit(t).alias("table_name"), F.lit(col).alias("column_name"), "n_rows",
-                F.col(f"d_{col}").alias("n_distinct"),
-                ((F.col(f"d_{col}") == F.col("n_rows")) & (F.col(f"nn_{col}") == F.col("n_rows"))).alias("is_candidate")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Integer columns of all tables, and which of them may be a load cursor."""
+    return Q.cursor_candidates({t: c.t(t) for t in DRIVER_TABLES})
 
 
 _NEXT_KEY_SQL = " UNION ALL ".join(
@@ -89,13 +68,7 @@ _NEXT_KEY_SQL = " UNION ALL ".join(
 
 @query("next_key", _NEXT_KEY_SQL)
 def next_key(c: Ctx):
-    parts = [c.t(t).agg((F.coalesce(F.max(k), F.lit(0)) + 1).cast("bigint").alias("next_key"))
-             .select(F.lit(t).alias("table_name"), F.lit(k).alias("key_column"), "next_key")
-             for t, k in S.KEYED_TABLES]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return Q.next_keys([(t, k, c.t(t)) for t, k in S.KEYED_TABLES])
 
 
 @query("exclude_tables", f"""

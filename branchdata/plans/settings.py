@@ -56,9 +56,8 @@ FOREIGN_KEYS = (
 
 KEYED_TABLES = (("customer", "c_custkey"), ("orders", "o_orderkey"), ("part", "p_partkey"),
                 ("supplier", "s_suppkey"), ("events", "event_id"), ("documents", "doc_id"),
-                ("pages", "page_id"), ("benchmark", "item_id"))
-
-CURSOR_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+                ("pages", "page_id"), ("benchmark", "item_id"), ("region", "r_regionkey"),
+                ("nation", "n_nationkey"), ("embeddings", "vec_id"), ("conversations", "conv_id"))
 
 # the parent's catalog that merges are checked against (the seed schema)
 BASE_CATALOG = (

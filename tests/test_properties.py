@@ -82,3 +82,13 @@ def test_chunk_plan_on_text_keys(spark):
     plan = sorted(X.chunk_plan(df, ["k"], 50).collect(), key=lambda r: r.page)
     want = [keys[i:i + 50] for i in range(0, len(keys), 50)]
     assert [(r.low_k, r.high_k, r["rows"]) for r in plan] == [(p[0], p[-1], len(p)) for p in want]
+
+
+def test_cursor_candidates_with_nulls_repeats_and_no_rows(spark):
+    from branchdata.operators import quality as Q
+    t = spark.sql("select * from values (1, 1L, 1), (2, null, 1), (3, 3L, 2) as t(a, b, c)").withColumn("text", F.lit("x"))
+    got = {(r.table_name, r.column_name): (r.n_rows, r.n_distinct, r.is_candidate)
+           for r in Q.cursor_candidates({"t": t, "none": t.limit(0), "texts": t.select("text")}).collect()}
+    assert got == {("t", "a"): (3, 3, True), ("t", "b"): (3, 2, False), ("t", "c"): (3, 2, False),
+                   **{("none", c): (0, 0, True) for c in "abc"}}
+    assert [r.next_key for r in Q.next_keys([("t", "a", t), ("none", "a", t.limit(0))]).collect()] == [4, 1]
