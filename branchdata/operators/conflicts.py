@@ -206,26 +206,41 @@ def merge_refused(branches: DataFrame, conflicts: DataFrame) -> DataFrame:
     return branches.select("branch_id", "name").join(n, "branch_id")
 
 
+INSERT_VALUES = r"(?is)\bINSERT\s+INTO\s+([\w.\"]+)\s*(?:\([^)]*\))?\s*VALUES\s*(.*)$"
+FIRST_OF_TUPLE = r"(?:^|\)\s*,)\s*\(\s*('(?:[^']|'')*'|[^,()\s']+)"
+
+
 def seed_rows(recorded: DataFrame) -> DataFrame:
-    """Rows that seed changes insert: (branch_id, plan_id) from
-    ``INSERT INTO plans VALUES (n)``."""
-    body = F.regexp_extract(F.col("sql_text"), r"(?i)VALUES\s*\(\s*(\d+)\s*\)", 1)
+    """Rows that seed changes insert, one for each tuple of ``INSERT INTO t
+    [(columns)] VALUES (key, ...), (key, ...)``: branch_id, table_name (no
+    schema), row_key (the tuple's first value as text, without quotes),
+    applied_at, migration_id.  A seed change of another form gives one row
+    with a NULL row_key, so that it is seen."""
+    sql = F.col("sql_text")
+    table = F.regexp_replace(F.lower(F.translate(F.regexp_extract(sql, INSERT_VALUES, 1), '"', "")), r"^.*\.", "")
+    keys = F.regexp_extract_all(F.regexp_extract(sql, INSERT_VALUES, 2), F.lit(FIRST_OF_TUPLE), F.lit(1))
     return (recorded.filter(F.col("type") == "seed")
-            .select("branch_id", F.when(body != "", body).cast("bigint").alias("plan_id")))
+            .select("branch_id", F.nullif(table, F.lit("")).alias("table_name"),
+                    F.explode_outer(keys).alias("row_key"), "applied_at", "migration_id")
+            .withColumn("row_key", F.regexp_replace("row_key", "^'|'$", "")))
 
 
 def merge_seed_rows(branches: DataFrame, recorded: DataFrame) -> DataFrame:
-    """The parents' seeded table after every open branch merges its seed
-    rows: the parent's own rows, plus each child's rows whose key the parent
-    lacks (anti-join on key, then a union by name; the parent's rows have no
-    ``from_branch``).  (parent_id, plan_id, from_branch)."""
+    """The parents' seeded tables after every open branch merges its seed
+    rows: the parent's own rows, plus of each key that the parent lacks the
+    first row (by applied_at, then migration_id) of its children.  The
+    parent's own rows have no ``from_branch``; a key stands once in a table.
+    (parent_id, table_name, row_key, from_branch)."""
     seeds = seed_rows(recorded)
+    key = ["parent_id", "table_name", "row_key"]
     open_ = branches.filter((F.col("status") == "active") & (F.col("branch_id") != 0))
     parents = branches.select(F.col("name").alias("parent_branch"), F.col("branch_id").alias("parent_id"))
     links = open_.select("branch_id", "name", "parent_branch").join(parents, "parent_branch")
+    own = (seeds.join(links.select(F.col("parent_id").alias("branch_id")).distinct(), "branch_id", "left_semi")
+           .select(F.col("branch_id").alias("parent_id"), "table_name", "row_key", F.lit(0).alias("late"),
+                   "applied_at", "migration_id", F.lit(None).cast("string").alias("from_branch")))
     incoming = (seeds.join(links, "branch_id")
-                .select("parent_id", "plan_id", F.col("name").alias("from_branch")))
-    existing = seeds.select(F.col("branch_id").alias("parent_id"), "plan_id")
-    new = incoming.join(existing, ["parent_id", "plan_id"], "left_anti")
-    target = existing.join(links.select("parent_id").distinct(), "parent_id", "left_semi")
-    return target.unionByName(new, allowMissingColumns=True)
+                .select("parent_id", "table_name", "row_key", F.lit(1).alias("late"), "applied_at", "migration_id",
+                        F.col("name").alias("from_branch")))
+    first = F.min_by("from_branch", F.struct("late", "applied_at", "migration_id", "from_branch"))
+    return own.unionByName(incoming).groupBy(*key).agg(first.alias("from_branch"))

@@ -239,15 +239,24 @@ def change_risk(c: Ctx):
                     F.size(flags).cast("int").alias("risk_count"))
 
 
+_INSERT = CF.INSERT_VALUES.replace("'", "''")
+_FIRST = CF.FIRST_OF_TUPLE.replace("'", "''")
+
+
 @query("merge_seed_rows", hist("""
-SELECT parent_id, plan_id, CAST(NULL AS VARCHAR) AS from_branch FROM seeds
-WHERE parent_id IN (SELECT parent_id FROM links)
-UNION ALL
-SELECT l.parent_id, s.plan_id, l.name FROM seeds0 s JOIN links l ON l.branch_id = s.branch_id
-WHERE NOT EXISTS (SELECT 1 FROM seeds e WHERE e.parent_id = l.parent_id AND e.plan_id = s.plan_id)""",
-    """seeds0 AS (SELECT branch_id, CAST(nullif(regexp_extract(sql_text, '(?i)VALUES\\s*\\(\\s*(\\d+)\\s*\\)', 1), '') AS BIGINT)
-  AS plan_id FROM v_changes WHERE type = 'seed')""",
-    "seeds AS (SELECT branch_id AS parent_id, plan_id FROM seeds0)",
+SELECT parent_id, table_name, row_key, from_branch FROM (
+  SELECT *, row_number() OVER (PARTITION BY parent_id, table_name, row_key ORDER BY late, applied_at, migration_id, from_branch) AS rn
+  FROM (SELECT branch_id AS parent_id, table_name, row_key, 0 AS late, applied_at, migration_id, CAST(NULL AS VARCHAR) AS from_branch
+        FROM seeds WHERE branch_id IN (SELECT parent_id FROM links)
+        UNION ALL
+        SELECT l.parent_id, s.table_name, s.row_key, 1, s.applied_at, s.migration_id, l.name
+        FROM seeds s JOIN links l ON l.branch_id = s.branch_id)) WHERE rn = 1""",
+    f"""seed_lists AS (SELECT branch_id, applied_at, migration_id,
+  nullif(regexp_replace(lower(replace(regexp_extract(sql_text, '{_INSERT}', 1), '"', '')), '^.*\\.', ''), '') AS table_name,
+  regexp_extract_all(regexp_extract(sql_text, '{_INSERT}', 2), '{_FIRST}', 1) AS keys
+  FROM v_changes WHERE type = 'seed')""",
+    """seeds AS (SELECT branch_id, applied_at, migration_id, table_name, regexp_replace(k, '^''|''$', '', 'g') AS row_key
+  FROM (SELECT *, unnest(CASE WHEN len(keys) = 0 THEN [NULL] ELSE keys END) AS k FROM seed_lists))""",
     """links AS (SELECT b.branch_id, b.name, p.branch_id AS parent_id FROM v_branches b
   JOIN v_branches p ON p.name = b.parent_branch WHERE b.status = 'active' AND b.branch_id != 0)"""))
 def merge_seed_rows(c: Ctx):

@@ -26,6 +26,8 @@ SELECT o_orderkey AS migration_id, o_custkey AS branch_id,
     WHEN 12 THEN concat('ALTER TABLE public.users ADD COLUMN IF NOT EXISTS c', CAST(o_orderkey % 50 AS VARCHAR), ' TEXT')
     WHEN 13 THEN concat('CREATE TABLE IF NOT EXISTS t', CAST(o_orderkey % 50 AS VARCHAR), ' (id INT)')
     WHEN 14 THEN concat('CREATE INDEX IF NOT EXISTS idx_', CAST(o_orderkey % 50 AS VARCHAR), ' ON users(email)')
+    WHEN 16 THEN concat('/* @seed */ INSERT INTO public.prices (id, label) VALUES (', CAST(o_orderkey % 50 AS VARCHAR),
+      ', ''a, b''), (''k', CAST(o_orderkey % 7 AS VARCHAR), ''', lower(''c''))')
     WHEN 17 THEN concat('ALTER TABLE users ADD COLUMN d', CAST(o_orderkey % 50 AS VARCHAR), ' INT, DROP COLUMN status')
     WHEN 18 THEN concat('ALTER TABLE ONLY users DROP COLUMN IF EXISTS c', CAST(o_orderkey % 50 AS VARCHAR))
     WHEN 19 THEN 'ALTER TABLE users ALTER COLUMN plan TYPE varchar'

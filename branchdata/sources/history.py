@@ -57,6 +57,8 @@ def change_text(key):
     return (F.when(shape == 12, F.concat(F.lit("ALTER TABLE public.users ADD COLUMN IF NOT EXISTS c"), k50, F.lit(" TEXT")))
              .when(shape == 13, F.concat(F.lit("CREATE TABLE IF NOT EXISTS t"), k50, F.lit(" (id INT)")))
              .when(shape == 14, F.concat(F.lit("CREATE INDEX IF NOT EXISTS idx_"), k50, F.lit(" ON users(email)")))
+             .when(shape == 16, F.concat(F.lit("/* @seed */ INSERT INTO public.prices (id, label) VALUES ("), k50,
+                                         F.lit(", 'a, b'), ('k"), (key % 7).cast("string"), F.lit("', lower('c'))")))
              .when(shape == 17, F.concat(F.lit("ALTER TABLE users ADD COLUMN d"), k50, F.lit(" INT, DROP COLUMN status")))
              .when(shape == 18, F.concat(F.lit("ALTER TABLE ONLY users DROP COLUMN IF EXISTS c"), k50))
              .when(shape == 19, F.lit("ALTER TABLE users ALTER COLUMN plan TYPE varchar"))

@@ -78,3 +78,26 @@ def test_insert_ignore_makes_incoming_keys_unique(spark):
     have = spark.createDataFrame([(1, "old")], "k int, v string")
     new = spark.createDataFrame([(1, "x"), (2, "b"), (2, "a")], "k int, v string")
     assert {tuple(r) for r in HI.insert_ignore(have, new, ["k"]).collect()} == {(1, "old"), (2, "a")}
+
+
+def test_seed_rows_of_every_form_and_first_of_a_key_wins(spark):
+    from datetime import datetime
+
+    from branchdata.operators import conflicts as CF
+    t = [datetime(2024, 1, d) for d in range(1, 7)]
+    changes = spark.createDataFrame([
+        (1, "seed", "/* @seed */ INSERT INTO plans VALUES (1)", t[3], 1),
+        (2, "seed", "/* @seed */ insert into public.plans (id, label) values (2, 'a, (b)'), ('x', f(1, 2)), (1, null)", t[2], 2),
+        (3, "seed", "/* @seed */ INSERT INTO plans VALUES (2), (7)", t[1], 3),
+        (3, "seed", "/* @seed */ INSERT INTO plans SELECT 5", t[4], 4),
+        (3, "ddl", "CREATE TABLE t (id INT)", t[5], 5),
+    ], "branch_id long, type string, sql_text string, applied_at timestamp, migration_id long")
+    keys = sorted((r.branch_id, r.table_name or "", r.row_key or "") for r in CF.seed_rows(changes).collect())
+    assert keys == [(1, "plans", "1"), (2, "plans", "1"), (2, "plans", "2"), (2, "plans", "x"),
+                    (3, "", ""), (3, "plans", "2"), (3, "plans", "7")]
+    branches = spark.createDataFrame([(1, "main", "main", "active"), (2, "b2", "main", "active"), (3, "b3", "main", "active")],
+                                     "branch_id long, name string, parent_branch string, status string")
+    merged = CF.merge_seed_rows(branches.withColumn("branch_id", F.when(F.col("name") == "main", 0).otherwise(F.col("branch_id"))),
+                                changes.withColumn("branch_id", F.when(F.col("branch_id") == 1, 0).otherwise(F.col("branch_id"))))
+    got = sorted((r.row_key or "", r.from_branch or "own") for r in merged.collect())
+    assert got == [("", "b3"), ("1", "own"), ("2", "b3"), ("7", "b3"), ("x", "b2")]
