@@ -46,8 +46,3 @@ def mask_column(pattern: str, column: str, id_col: str | None = "id") -> Column:
 
 def pattern_needs_id(pattern: str) -> bool:
     return "{{id}}" in pattern
-
-
-def pattern_keeps_unique(pattern: str) -> bool:
-    """A mask keeps a unique column unique only through the row key."""
-    return pattern_needs_id(pattern)

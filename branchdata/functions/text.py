@@ -91,7 +91,3 @@ def requalify_sequence(default_expr, ns) -> Column:
     return (F.when(d.contains("nextval(") & (name != ""),
                    F.concat(F.lit("nextval('"), _c(ns), F.lit("."), name, F.lit("'::regclass)")))
              .otherwise(d))
-
-
-def percent(done, total) -> Column:
-    return F.round(_c(done) * 100.0 / F.nullif(_c(total), F.lit(0)), 1)

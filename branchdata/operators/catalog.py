@@ -103,11 +103,6 @@ def type_mapping(spark: SparkSession, catalog: DataFrame) -> DataFrame:
                          F.coalesce("ddl_type", F.upper("source_type")).alias("ddl_type")))
 
 
-def empty_like(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """A table's shape without its rows (rebuild in another namespace)."""
-    return df.limit(0)
-
-
 def load_order(catalog: DataFrame, constraints: DataFrame) -> DataFrame:
     """Tables without a foreign key first, then by name: (table_name, has_fk,
     load_rank).  ``constraints``: (table_name, constraint_type p/u/f/c)."""
