@@ -81,17 +81,26 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of each row; fp is the fingerprint as a signed long."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def text_digest(text: Column) -> Column:
+    """MD5 (hex) of a text; null counts as empty."""
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, digests: bool = False) -> DataFrame:
+    """(doc_id, fp) of each row, and the text's digest if asked for; fp is the
+    fingerprint as a signed long."""
+    schema = pa.schema([("doc_id", pa.int64()), *[("digest", pa.string())] * digests, ("fp", pa.int64())])
+    given = schema.names[:-1]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in columns(batches, "doc_id", "text"):
+        for *kept, texts in columns(batches, *given, "text"):
             fps = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(fps)], schema=schema)
+            yield pa.record_batch([*(pa.array(v, f.type) for v, f in zip(kept, schema, strict=False)), pa.array(fps)],
+                                  schema=schema)
 
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .mapInArrow(hashed, "doc_id long, fp long"))
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"),
+                        F.col("text").cast("string").alias("text")).select(*given, "text")
+            .mapInArrow(hashed, "doc_id long, digest string, fp long" if digests else "doc_id long, fp long"))
 
 
 class BKTree:
@@ -298,3 +307,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
     return (fps.withColumn("salt", salt).join(of, ["fp", "salt"])
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+
+
+def firsts(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
+           blocks: int = BLOCKS, shard_size: int = SHARD_SIZE) -> DataFrame:
+    """(doc_id, digest), one row per component: its row of the smallest
+    doc_id (null last) and, of that id's texts, the smallest digest."""
+    fps = stored(fingerprints(docs, shingle, digests=True), "fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    distinct = stored(fps.groupBy("fp").agg(F.min(row).alias("first")), "distinct")
+    found = labels(stored(links(distinct.select("fp"), radius, blocks, shard_size), "links"))
+    return (distinct.join(found, distinct.fp == found.node, "left")
+            .groupBy(F.coalesce("label", "fp").alias("component")).agg(F.min("first").alias("first"))
+            .select("first.doc_id", "first.digest"))

@@ -32,12 +32,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each near-duplicate group, once."""
-    found = simhash.near_duplicates(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("k"))
-    return (rows.join(keep.hint("shuffle_hash"), F.col("k").eqNullSafe(F.col("id")), "left_semi")
-            .dropDuplicates(["k"]).select("row.*"))
+    """Of each near-duplicate group one row: that of the smallest id (null
+    last), then of the smallest text digest.  Ids needn't be unique or
+    present: rows of one id, or of none, with texts of different groups all
+    stay, and of rows equal in id and text the least by their other columns."""
+    keep = simhash.firsts(docs).select(F.col("doc_id").alias("id"), F.col("digest").alias("text_digest"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("k"),
+                       simhash.text_digest(F.col("text")).alias("t"))
+    kept = rows.join(keep.hint("shuffle_hash"), F.col("k").eqNullSafe(F.col("id")) & (F.col("t") == F.col("text_digest")),
+                     "left_semi")
+    return kept.groupBy("k", "t").agg(F.min("row").alias("row")).select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

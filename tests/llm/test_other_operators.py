@@ -240,3 +240,29 @@ def test_pipeline_stages_on_edges(spark):
             if name != "packing":
                 assert docs.schema.names == start.schema.names
         docs.collect()
+
+
+def test_simhash_stage_keeps_a_row_of_each_group(spark):
+    """Null and repeated ids: each group of look-alikes gives its least row."""
+    import corpus_pipeline as cp
+    from tests.llm import test_text_operators as brute
+    rng = random.Random(5)
+    text = [" ".join(rng.choice(["ab", "cd", "ef", "gh", "ij", "kl"]) + str(rng.randint(0, 99)) for _ in range(40)) for _ in range(12)]
+    rows = [(None, text[0], "en"), (None, text[1], "en"), (None, text[2], "en"), (None, text[2], "en"), (None, text[2], "de"),
+            (1, text[3], "en"), (None, text[3], "en"), (None, text[3].upper(), "en"),
+            (7, text[4], "en"), (7, text[5], "en"), (7, text[6], "en"), (7, text[6], "en"), (3, text[6], "en"),
+            (8, text[7], "en"), (8, text[7].upper(), "en"), (9, None, "en"), (9, "", "en"), (None, " ", "en")]
+    rows += [r for r in {(r[0], r[1], r[2]) for r in edge_docs(spark, extra=False).select("doc_id", "text", "lang").collect()}]
+    fps = {r[1]: brute.brute_fingerprint(r[1]) for r in rows}
+    root = brute.brute_components(list(fps.values()))
+
+    def order(r):
+        return r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest(), r[1] is not None, r[2]
+
+    least = {}
+    for r in sorted(rows, key=order):
+        least.setdefault(root[fps[r[1]]], r)
+    assert sum(r[0] is None for r in least.values()) >= 3 and sum(r[0] == 7 for r in least.values()) == 2
+    for parts in (1, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(parts)
+        assert rows_of(cp.simhash_dedup(spark, docs, SF001)) == sorted(least.values(), key=repr)
