@@ -143,6 +143,22 @@ def test_differencing(spark, piece):
     assert rows_of(pagediff.main_text(df.limit(0))) == []
 
 
+def test_differencing_under_a_long_template(spark):
+    """Lines that the markup leaves out don't make two pages versions of one."""
+    nav = "<nav><ul>" + "".join(f"<li>entry {i}</li>" for i in range(38)) + "</ul></nav><footer><p>a</p><p>b</p></footer>"
+    stories = [[f"story {i} line {j}" for j in range(8)] for i in range(4)]
+    rows = [(i, f"http://h.example/a/{i}", page("Home and news", *own, "All rights reserved") + nav) for i, own in enumerate(stories)]
+    edited = [*stories[0][:7], "story edited"]
+    rows += [(10, "http://v.example/1", page("Home", *stories[0]) + nav), (11, "http://v.example/2", page("Home", *edited) + nav),
+             (20, "http://e.example/1", page("Home") + nav), (21, "http://e.example/2", "<body>" + nav + "</body>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in pagediff.main_text(df).collect()}
+    for i, own in enumerate(stories):
+        assert got[i] == "\n\n".join(own)
+    assert got[10] == "\n\n".join(["Home", *stories[0]]) and got[11] == "\n\n".join(["Home", *edited])
+    assert got[20] == "Home" and got[21] == ""
+
+
 # -- conversations -------------------------------------------------------
 def conversations(spark):
     rng = random.Random(2)
