@@ -159,6 +159,29 @@ def test_differencing_under_a_long_template(spark):
     assert got[20] == "Home" and got[21] == ""
 
 
+@pytest.mark.parametrize("wrapper", ["<div class='layout with-sidebar'>", "<div id='page' class='has-nav'>",
+                                     "<section class='search-results'>", "<div class=form-page>", "<form id=all>",
+                                     "<div class='search'>", "<div role='dialog'>"])
+@pytest.mark.parametrize("name", ["article", "main"])
+def test_marked_layout_keeps_the_article(spark, wrapper, name):
+    close = f"</{re.match('<([a-z]+)', wrapper)[1]}>"
+    story = f"<{name}><div class='article-header'><h1>Title {{0}}</h1></div><p>Body {{0}}</p><div class='ad-slot'>Buy</div>" \
+            f"<div class='cookie-notice'>cookies</div><div class='ad'>ad {{0}}</div></{name}>"
+    rows = [(i, f"http://h.example/a/{i}", f"<body>{wrapper}{story.format(i)}<nav>menu</nav>{close}</body>") for i in range(3)]
+    rows.append((9, "http://alone.example/", rows[0][2]))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in pagediff.main_text(df).collect()}
+    assert got == {i: f"Title {i}\n\nBody {i}" for i in range(3)} | {9: "Title 0\n\nBody 0\n\nBuy"}
+
+
+@pytest.mark.parametrize("wrapper", ["<nav>", "<aside>", "<footer>", "<div class='sidebar left'>", "<section id=comments>",
+                                     "<li class='comment even'>"])
+def test_articles_of_asides_and_comments_are_left_out(wrapper):
+    name = re.match("<([a-z]+)", wrapper)[1]
+    got = pagediff.lines(f"<main><p>own</p>{wrapper}<article><p>card</p></article></{name}></main>")
+    assert got == [("main", "own"), ("out", "card")]
+
+
 # -- conversations -------------------------------------------------------
 def conversations(spark):
     rng = random.Random(2)
