@@ -3,8 +3,9 @@
 A conversation's turns get running token sums; a turn belongs to the window
 in whose stride its first token falls, so windows are spans of whole turns
 and no turn is looked at twice to place it.  The stride leaves room in the
-budget for the system turn, the history and the longest turn.  Each window
-starts with the system turn and with the last turns of the window before, up
+budget for the system turn, the history and the longest turn that fits beside
+the system turn; where these leave less than a quarter of the budget, first the
+history shrinks and then the stride.  Each window starts with the system turn and with the last turns of the window before, up
 to ``history`` tokens; these are repeated, and only fresh assistant turns are
 under the loss mask, so each assistant text is a target exactly once.
 
@@ -19,8 +20,8 @@ ends in roles), so no control string can stand in a text; ``read_back`` undoes i
 Defined cases: null roles and texts are empty; rows are ordered by turn, then
 role and text, null first; repeated rows are turns of their own; all rows of
 null conv_id are one conversation; other columns are ignored; texts are kept
-whole.  A turn too long for the budget makes its window go over it
-(``n_tokens`` > budget); nothing is cut.
+whole.  A turn that doesn't fit into the budget beside the system turn makes
+its window go over it (``n_tokens`` > budget), no other does; nothing is cut.
 """
 
 from __future__ import annotations
@@ -50,12 +51,15 @@ def unescape(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Estimated tokens: words and single marks."""
-    return F.regexp_count(c, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")).cast("long")
+    """Estimated tokens: words (one for each eight characters), single marks
+    and the letters of scripts without spaces."""
+    single = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+    return F.regexp_count(c, F.lit(rf"[{single}]|[\p{{L}}\p{{N}}&&[^{single}]]{{1,8}}|[^\s\p{{L}}\p{{N}}]")).cast("long")
 
 
 def _numbered(turns: DataFrame, budget: int, history: int, block: int) -> DataFrame:
-    """Turns with pos (from 1), before (tokens before it) and stride."""
+    """Turns with pos (from 1), before (tokens before it), stride and history
+    (tokens repeated at most)."""
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
@@ -65,19 +69,23 @@ def _numbered(turns: DataFrame, budget: int, history: int, block: int) -> DataFr
     upto = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("sum", F.sum("n").over(upto)).withColumn("at", F.row_number().over(own).cast("long"))
     blocks = rows.groupBy("conv_id", "block").agg(
-        F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("size"), F.max("n").alias("longest"),
+        F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("size"), F.collect_set(F.when(F.col("n") <= budget, F.col("n"))).alias("sizes"),     # at most ``budget`` values
         F.min(F.struct("turn", "role", "n")).alias("first"))
     conv = Window.partitionBy("conv_id")
     earlier = conv.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     system = F.min("first").over(conv)
+    blocks = blocks.withColumn("system", F.when(system["role"] == "system", system["n"]).otherwise(0))
+    fits = F.array_max(F.filter("sizes", lambda n: n + F.col("system") <= budget))
+    room = F.lit(budget) - F.col("system") - F.max(fits).over(conv)         # null if no turn fits
+    blocks = blocks.withColumn("room", F.coalesce(room, F.lit(budget // 4 + history)))
+    kept = F.greatest(F.lit(0), F.least(F.lit(history), F.col("room") - budget // 4))
     blocks = blocks.select(
         F.col("conv_id").alias("c"), F.col("block").alias("b"),
         F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("tokens_before"),
         F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("turns_before"),
-        F.greatest(F.lit(budget // 4), F.lit(budget - history) - F.max("longest").over(conv)
-                   - F.when(system["role"] == "system", system["n"]).otherwise(0)).alias("stride"))
+        kept.alias("history"), F.greatest(F.lit(1), F.col("room") - kept).alias("stride"))
     return (rows.join(blocks, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("block").eqNullSafe(F.col("b")))
-            .select("conv_id", "role", "text", "n", "stride", (F.col("turns_before") + F.col("at")).alias("pos"),
+            .select("conv_id", "role", "text", "n", "stride", "history", (F.col("turns_before") + F.col("at")).alias("pos"),
                     (F.col("tokens_before") + F.col("sum") - F.col("n")).alias("before")))
 
 
@@ -94,7 +102,7 @@ def chat_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY,
     spans = spans.select(F.col("conv_id").alias("c"), F.col("window").alias("w"),
                          F.lead("window").over(order).alias("next"), F.lead("first").over(order).alias("next_first"))
     system = (F.col("pos") == 1) & (F.col("role") == "system")
-    again = (F.col("next").isNotNull() & ~system & (F.col("next_first") - F.col("before") <= history))
+    again = (F.col("next").isNotNull() & ~system & (F.col("next_first") - F.col("before") <= F.col("history")))
     own = t.join(spans, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("window") == F.col("w")))
     entry = ["conv_id", "window", "repeated", "pos", "role", "text", "n"]
     fresh = (own.withColumn("in", F.explode(F.array_compact(F.array(

@@ -234,6 +234,31 @@ def test_chat_query(spark):
     assert (row["n_turns"], row["loss_chars"], row["loss_sha256"]) == (2, len(said), sha(said))
 
 
+def test_windows_keep_the_budget(spark):
+    """Wherever a window's turns fit beside the system turn one by one."""
+    rng = random.Random(6)
+    sizes = {1: (0, [10] * 60 + [700] * 3), 2: (300, [700] * 4 + [20] * 40), 3: (0, [1020] * 3 + [5] * 80), 4: (516, [500] * 5 + [9] * 30),
+             5: (50, [3000] + [30] * 60 + [940] * 4), 6: (600, [200] * 30), 7: (2000, [50] * 20)}
+    rows, system = [], {}
+    for c, (s, turns) in sizes.items():
+        rng.shuffle(turns)
+        system[c] = s + 4 if s else 0
+        rows += [(c, -1, "system", "w " * s)] * (s > 0) + [(c, i, "user", "w " * n) for i, n in enumerate(turns)]
+    rows += [(8, i, "user", "漢字" * 200) for i in range(6)] + [(9, i, "user", "x" * 4000) for i in range(6)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.chat_windows(df).collect()
+    texts = {}
+    for r in got:
+        turns = [x.split("<|im_end|>")[0].split("\n", 1)[1] for x in r["formatted"].split("<|im_start|>")[1:]]
+        if r["conv_id"] < 8:
+            own, n = system[r["conv_id"]], [len(x.split()) + 4 for x in turns]
+            assert r["n_tokens"] <= 1024 or own > 1024 or any(x + own > 1024 for x in n if x != own)
+        else:
+            assert r["n_tokens"] <= 1024
+        texts.setdefault(r["conv_id"], []).extend(turns[r["n_repeated"]:])
+    assert {c: len(x) for c, x in texts.items()} == {c: sum(r[0] == c for r in rows) for c in texts} and len(texts) == 9
+
+
 # -- pipeline ------------------------------------------------------------
 def test_pipeline(spark):
     """Each stage against a brute-force version on its own input, and the whole."""
