@@ -9,8 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from branchdata.llm import chat, decontam, langid, linededup, mih, packing, pagediff, pii, simhash, tokencount
-from branchdata.llm.common import table
+from branchdata.llm import (chat, decontam, langid, linededup, mih, packing, pagediff, periodic, pii, simhash, tokencount,
+                            tokenfiles, veccodes)
+from branchdata.llm.common import scratch, table
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_TOKENIZER = "byte_bpe_50k.json"
@@ -81,10 +82,51 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_TOKENIZER))
 
 
+def restated(docs: DataFrame) -> DataFrame:
+    """The contract's documents: where h % 10 = 0 (h the CRC32 of doc_id in
+    decimal, g = h div 10) the words from a = g % n on repeat every
+    p = 1 + (n - a) div (3 + g % 8) words.  A null doc_id changes nothing."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    cut = (docs.select("doc_id", "text", (h % 10 == 0).alias("again"), F.floor(h / 10).alias("g"))
+           .withColumn("w", F.when(F.col("again"), words)).withColumn("n", F.size("w"))
+           .withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+           .withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))))
+    turned = F.transform("w", lambda w, i: F.when(i < F.col("a"), w).otherwise(
+        F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return cut.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(turned, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = periodic.periodic_runs(restated(table(spark, sf_dir, "documents")))
+    # Of the longest runs the first: runs come by start, then period.
+    longest = F.get(F.filter("runs", lambda r: r["length"] == F.array_max(F.transform("runs", lambda x: x["length"]))), F.lit(0))
+    line = F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"]))
+    return (got.withColumn("top", longest)
+            .select("doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period",
+                    F.expr("1000L * top.length div top.period").alias("exponent_milli"),
+                    F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+                    F.sha2("collapsed", 256).alias("collapsed_sha256")))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = veccodes.compress(table(spark, sf_dir, "embeddings"))
+    return (veccodes.label_errors(codes)
+            .select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error",
+                    F.lit(veccodes.digest(books)).alias("codebooks_sha256")))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "token-files")
+    tokenfiles.write(table(spark, sf_dir, "documents"), tokenizer_path(WORD_TOKENIZER), path)
+    return tokenfiles.documents(tokenfiles.read(spark, path))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_multi_index_hashing, op2_pow2_packing, op3_positional_index, op4_pii_votes, op5_language_id,
-        op6_page_differencing, op7_line_dedup, op8_simhash_bk_trees, op9_chat_windows, op10_token_counts)}
+        op6_page_differencing, op7_line_dedup, op8_simhash_bk_trees, op9_chat_windows, op10_token_counts,
+        op11_periodic_runs, op12_vector_codes, op13_token_files)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
