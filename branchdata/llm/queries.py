@@ -177,6 +177,49 @@ FROM line LEFT JOIN often USING (k) GROUP BY doc_id
 """
 
 
+# Codebooks are lists (entry by entry) per part; a round's nearest entry is the
+# least of 64 * distance + entry.
+_OP12_ROUND = """
+near{i} AS MATERIALIZED (
+  SELECT x.row, x.part, min(64 * list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))
+                            + b.entry) AS best
+  FROM cut x JOIN book{i} b USING (part) GROUP BY x.row, x.part)"""
+_OP12_BOOK = """
+mean{i} AS (
+  SELECT part, CAST(best % 64 AS BIGINT) AS entry, p.k, CAST(floor(sum(v[p.k]) / count(*)) AS BIGINT) AS c
+  FROM near{i} JOIN cut USING (row, part), unnest(range(1, (SELECT max(len(v)) FROM cut) + 1)) AS p(k)
+  GROUP BY part, best % 64, p.k),
+book{j} AS MATERIALIZED (
+  SELECT part, entry, coalesce(m.v, b.v) AS v
+  FROM book{i} b LEFT JOIN (SELECT part, entry, list(c ORDER BY k) AS v FROM mean{i} GROUP BY part, entry) m
+       USING (part, entry))"""
+
+OP12_SQL = """
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS row, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+cut AS MATERIALIZED (
+  SELECT row, part, v[1 + part * (len(v) // 16):(part + 1) * (len(v) // 16)] AS v
+  FROM kept, unnest(range(16)) AS r(part)),
+book0 AS MATERIALIZED (SELECT part, row - 1 AS entry, v FROM cut WHERE row <= 64),
+""" + ",".join([_OP12_ROUND.format(i=0), _OP12_BOOK.format(i=0, j=1), _OP12_ROUND.format(i=1),
+                _OP12_BOOK.format(i=1, j=2), _OP12_ROUND.format(i=2)]) + """,
+coded AS MATERIALIZED (
+  SELECT row, string_agg(lower(printf('%02x', CAST(best % 64 AS BIGINT))), '' ORDER BY part) AS code,
+         CAST(sum(best // 64) AS BIGINT) AS error
+  FROM near2 GROUP BY row),
+words AS (
+  SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, k)) AS digest
+  FROM (SELECT part, entry, unnest(v) AS c, unnest(range(len(v))) AS k FROM book2))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT digest FROM words) AS codebooks_sha256
+FROM kept JOIN coded USING (row)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the operators that SQL can express."""
-    return {"op3_positional_index": OP3_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op3_positional_index": OP3_SQL, "op7_line_dedup": OP7_SQL, "op12_vector_codes": OP12_SQL}

@@ -3,8 +3,14 @@ library, with overlap resynchronisation for huge documents.
 
 Ordinary texts.  The pre-tokenizer never joins a character to a following
 " x" (a space before a non-space): each such space starts a new pre-token.
-So a text's count is the sum over its parts cut there, and each distinct
-part is encoded by the library once; a bounded table keeps the counts.
+So a text's count is the sum over its words (with the one space before them)
+and over what is left of the white space between them.  A whole batch is cut
+into words and white space at once, and each distinct word is looked at once:
+a plain one is the sum of its letter, digit and sign stretches, whose merges
+are asked of the library's model, and bounded tables keep the counts.  A text
+with other characters (other white space, special strings) goes the plain way,
+part by part through the library, and so do all texts where the file's
+pre-tokenizer isn't the one that this cut stands for.
 
 Huge texts (over ``chunk`` code points).  Overlapping chunks are encoded by
 the library with offsets and word numbers.  A chunk's encoding is trusted up
@@ -23,14 +29,18 @@ ignored.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from branchdata.llm.common import columns
+from branchdata.llm.wordbatch import split_words
+from branchdata.llm.wordids import PLAIN, byte_characters
 
 CHUNK = 1 << 16      # code points encoded at a time
 OVERLAP = 512
@@ -39,6 +49,14 @@ LIMIT = 512
 KEPT = 300_000
 COUNTS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
+# The settings of the vocabulary file that the cut into words stands for (fixed).
+PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+# The pre-tokenizer's stretches over PLAIN characters of a word with its space.
+_STRETCH = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ſ]+| ?[0-9]+| ?[^\\sA-Za-zÀ-ÖØ-öø-ſ0-9]+")
+_SPACE = byte_characters(" ")
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
 _PART = re.compile(r" (?=\S)")
 _LINE = re.compile(r"(?<=\S)\n(?=\S)")
 _TAIL = re.compile(r"[A-Za-z][.,]\Z")
@@ -51,6 +69,102 @@ class Counter:
         self.chunk, self.overlap, self.kept = chunk, overlap, kept
         self.young: dict[str, int] = {}
         self.old: dict[str, int] = {}
+        settings = json.loads(self.tokenizer.to_str())
+        self.known = settings["pre_tokenizer"] == PRE_TOKENIZER and settings["normalizer"] is None
+        self.merges = self.tokenizer.model
+        self.stretches: dict[str, int] = {}
+        self.words: dict[str, int | None] = {}
+        self.spaces: dict[bytes, int] = {}
+
+    # -- batches of ordinary texts ----------------------------------------
+    def _stretch(self, s: str) -> int:
+        n = self.stretches.get(s)
+        if n is None:
+            spelled = s.replace(" ", _SPACE) if s.isascii() else byte_characters(s)
+            n = self.stretches[s] = len(self.merges.tokenize(spelled))
+        return n
+
+    def _word(self, word: str) -> int | None:
+        """Tokens of a word, with or without a space before it; None: not plain."""
+        if not (word.isascii() and word.isprintable() or PLAIN.fullmatch(word)) or "<|" in word:
+            return None
+        if word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):
+            return self._stretch(word)
+        if word[-1] in ",." and word[1:-1].isalpha() and (word[0] == " " or word[0].isalpha()):
+            return self._stretch(word[:-1]) + 1
+        return sum([self._stretch(s) for s in _STRETCH.findall(word)])
+
+    def _space(self, run: bytes, followed: bool) -> int:
+        """Tokens of a stretch of two or more white-space characters (the
+        space that goes to a following word left out)."""
+        if not followed:
+            parts = [run]
+        elif run.endswith(b" "):
+            parts = [run[:-1]]
+        else:
+            parts = [run[:-1], run[-1:]]
+        for p in parts:
+            if p not in self.spaces:
+                self.spaces[p] = len(self.merges.tokenize(byte_characters(p.decode())))
+        return sum(self.spaces[p] for p in parts)
+
+    def batch(self, texts: pa.Array) -> np.ndarray:
+        """Token counts of ordinary texts (nulls count as empty)."""
+        texts = pa.concat_arrays([pc.cast(pc.fill_null(texts, ""), pa.large_string())])
+        if not self.known:
+            return np.array([self.ordinary(t) for t in texts.to_pylist()], np.int64)
+        if len(self.words) > self.kept:
+            self.words = {}
+        if len(self.stretches) > self.kept:
+            self.stretches = {}
+        if len(self.spaces) > self.kept:
+            self.spaces = {}
+        n = len(texts)
+        at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + n + 1]
+        whole = texts.buffers()[2]
+        data = np.frombuffer(whole, np.uint8)[at[0]:at[-1]] if whole else np.zeros(0, np.uint8)
+        at = at - at[0]
+        if not len(data):
+            return np.zeros(n, np.int64)
+        space = _IS_SPACE[data]
+        first = np.zeros(len(data) + 1, bool)              # a text begins here (or the batch ends)
+        first[at[:-1][at[:-1] < at[1:]]] = True
+        first[-1] = True
+        after_space = np.concatenate([[False], space[:-1]]) & ~first[:-1]
+        starts = np.flatnonzero(~space & (after_space | first[:-1]))
+        spaced = after_space[starts] & (data[starts - 1] == 32)
+        # Words: each distinct one, with or without a space before it.
+        bounds, words = split_words(texts)
+        table = words.dictionary_encode()
+        keys = table.indices.to_numpy(zero_copy_only=False).astype(np.int64) * 2 + spaced
+        asked = np.zeros(2 * len(table.dictionary), bool)
+        asked[keys] = True
+        tokens = np.zeros(len(asked), np.int64)
+        known = self.words
+        for i, word in enumerate(table.dictionary.to_pylist()):
+            for k in (2 * i, 2 * i + 1):
+                if asked[k]:
+                    w = " " + word if k & 1 else word
+                    if w not in known:
+                        known[w] = self._word(w)
+                    got = known[w]
+                    tokens[k] = -1 if got is None else got
+        per_word = tokens[keys]
+        sums = np.concatenate([[0], np.cumsum(per_word)])[bounds]
+        odd = np.concatenate([[0], np.cumsum(per_word < 0)])[bounds]
+        out, odd = np.diff(sums), np.diff(odd) > 0
+        # White space: single characters but a space before a word are a token each.
+        begin = np.flatnonzero(space & ~after_space)
+        last = np.flatnonzero(space & (first[1:] | np.concatenate([~space[1:], [True]])))
+        followed = ~first[last + 1]
+        count = np.where((last == begin) & followed & (data[begin] == 32), 0, 1)
+        raw = data.tobytes()
+        for i in np.flatnonzero(last > begin).tolist():
+            count[i] = self._space(raw[begin[i]:last[i] + 1], bool(followed[i]))
+        np.add.at(out, np.searchsorted(at, begin, "right") - 1, count)
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self.ordinary(texts[i].as_py())
+        return out
 
     # -- ordinary texts -------------------------------------------------
     def _parts(self, text: str) -> list[str]:
@@ -139,9 +253,6 @@ class Counter:
                 left, count = self._starts(text, base, end)
         return total + count - done
 
-    def count(self, text: str) -> int:
-        return self.huge(text) if len(text) > self.chunk else self.ordinary(text)
-
 
 _COUNTERS: dict[tuple, Counter] = {}
 
@@ -162,11 +273,14 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, chunk: int
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(tokenizer, chunk, overlap)
-        for ids, texts in columns(batches, "doc_id", "text"):
-            texts = [t or "" for t in texts]
-            yield pa.record_batch([pa.array(ids, pa.int64()),
-                                   pa.array([len(t.encode()) for t in texts], pa.int64()),
-                                   pa.array([c.count(t) for t in texts], pa.int64())], schema=COUNTS)
+        for b in batches:
+            texts = pc.fill_null(b.column(1), "")
+            huge = pc.greater(pc.utf8_length(texts), chunk)
+            tokens = c.batch(pc.if_else(huge, "", texts))
+            for i in np.flatnonzero(huge.to_numpy(zero_copy_only=False)).tolist():
+                tokens[i] = c.huge(texts[i].as_py())
+            yield pa.record_batch([b.column(0), pc.binary_length(texts).cast(pa.int64()), pa.array(tokens, pa.int64())],
+                                  schema=COUNTS)
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
             .mapInArrow(counted, "doc_id long, n_bytes long, n_tokens long")
