@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from branchdata.llm.wordbatch import split_words
+from branchdata.llm.wordbatch import Memo, detach_stops, distinct, slices, split_words
 from branchdata.llm.wordids import PLAIN, byte_characters
 
 CHUNK = 1 << 16      # code points encoded at a time
@@ -72,16 +72,22 @@ class Counter:
         settings = json.loads(self.tokenizer.to_str())
         self.known = settings["pre_tokenizer"] == PRE_TOKENIZER and settings["normalizer"] is None
         self.merges = self.tokenizer.model
-        self.stretches: dict[str, int] = {}
-        self.words: dict[str, int | None] = {}
+        self.words = Memo(self._word, kept)
+        self.signs: dict[str, int] = {}
         self.spaces: dict[bytes, int] = {}
 
     # -- batches of ordinary texts ----------------------------------------
     def _stretch(self, s: str) -> int:
-        n = self.stretches.get(s)
+        if s.isalpha():
+            return len(self.merges.tokenize(s if s.isascii() else byte_characters(s)))
+        n = self.signs.get(s)
         if n is None:
+            if len(self.signs) > self.kept:
+                self.signs = {}
             spelled = s.replace(" ", _SPACE) if s.isascii() else byte_characters(s)
-            n = self.stretches[s] = len(self.merges.tokenize(spelled))
+            n = len(self.merges.tokenize(spelled))
+            if not s[1:].isalpha():
+                self.signs[s] = n
         return n
 
     def _word(self, word: str) -> int | None:
@@ -90,8 +96,6 @@ class Counter:
             return None
         if word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):
             return self._stretch(word)
-        if word[-1] in ",." and word[1:-1].isalpha() and (word[0] == " " or word[0].isalpha()):
-            return self._stretch(word[:-1]) + 1
         return sum([self._stretch(s) for s in _STRETCH.findall(word)])
 
     def _space(self, run: bytes, followed: bool) -> int:
@@ -110,45 +114,37 @@ class Counter:
 
     def batch(self, texts: pa.Array) -> np.ndarray:
         """Token counts of ordinary texts (nulls count as empty)."""
-        texts = pa.concat_arrays([pc.cast(pc.fill_null(texts, ""), pa.large_string())])
         if not self.known:
-            return np.array([self.ordinary(t) for t in texts.to_pylist()], np.int64)
-        if len(self.words) > self.kept:
-            self.words = {}
-        if len(self.stretches) > self.kept:
-            self.stretches = {}
+            return np.array([self.ordinary(t or "") for t in texts.to_pylist()], np.int64)
         if len(self.spaces) > self.kept:
             self.spaces = {}
-        n = len(texts)
-        at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + n + 1]
-        whole = texts.buffers()[2]
-        data = np.frombuffer(whole, np.uint8)[at[0]:at[-1]] if whole else np.zeros(0, np.uint8)
-        at = at - at[0]
-        if not len(data):
+        spread, inserted = detach_stops(texts)
+        n = len(spread)
+        at = np.frombuffer(spread.buffers()[1], np.int64)[spread.offset:spread.offset + n + 1]
+        if at[0] == at[-1]:
             return np.zeros(n, np.int64)
+        data = np.frombuffer(spread.buffers()[2], np.uint8)[at[0]:at[-1]]
+        at = at - at[0]
         space = _IS_SPACE[data]
         first = np.zeros(len(data) + 1, bool)              # a text begins here (or the batch ends)
-        first[at[:-1][at[:-1] < at[1:]]] = True
-        first[-1] = True
+        first[at] = True
         after_space = np.concatenate([[False], space[:-1]]) & ~first[:-1]
         starts = np.flatnonzero(~space & (after_space | first[:-1]))
-        spaced = after_space[starts] & (data[starts - 1] == 32)
+        own_space = data == 32
+        own_space[inserted] = False
+        spaced = after_space[starts] & own_space[starts - 1]
         # Words: each distinct one, with or without a space before it.
-        bounds, words = split_words(texts)
+        bounds, words = split_words(spread)
         table = words.dictionary_encode()
         keys = table.indices.to_numpy(zero_copy_only=False).astype(np.int64) * 2 + spaced
-        asked = np.zeros(2 * len(table.dictionary), bool)
-        asked[keys] = True
-        tokens = np.zeros(len(asked), np.int64)
-        known = self.words
-        for i, word in enumerate(table.dictionary.to_pylist()):
-            for k in (2 * i, 2 * i + 1):
-                if asked[k]:
-                    w = " " + word if k & 1 else word
-                    if w not in known:
-                        known[w] = self._word(w)
-                    got = known[w]
-                    tokens[k] = -1 if got is None else got
+        asked = np.zeros((len(table.dictionary), 2), bool)
+        asked.ravel()[keys] = True
+        names = np.array(distinct(table.dictionary), object)
+        got = self.words.all([*names[asked[:, 0]], *(" " + names[asked[:, 1]])])
+        got = np.array([-1 if x is None else x for x in got], np.int64)
+        tokens = np.zeros(asked.shape, np.int64)
+        tokens[asked[:, 0], 0], tokens[asked[:, 1], 1] = np.split(got, [asked[:, 0].sum()])
+        tokens = tokens.ravel()
         per_word = tokens[keys]
         sums = np.concatenate([[0], np.cumsum(per_word)])[bounds]
         odd = np.concatenate([[0], np.cumsum(per_word < 0)])[bounds]
@@ -276,7 +272,8 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, chunk: int
         for b in batches:
             texts = pc.fill_null(b.column(1), "")
             huge = pc.greater(pc.utf8_length(texts), chunk)
-            tokens = c.batch(pc.if_else(huge, "", texts))
+            rest = pc.if_else(huge, "", texts)
+            tokens = np.concatenate([c.batch(rest[x.start:x.stop]) for x in slices(rest)] or [np.zeros(0, np.int64)])
             for i in np.flatnonzero(huge.to_numpy(zero_copy_only=False)).tolist():
                 tokens[i] = c.huge(texts[i].as_py())
             yield pa.record_batch([b.column(0), pc.binary_length(texts).cast(pa.int64()), pa.array(tokens, pa.int64())],

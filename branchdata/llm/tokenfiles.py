@@ -35,7 +35,8 @@ from branchdata.llm.common import stored
 
 BLOCK = 1 << 20
 END_ID = 1
-_IDS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("crc", pa.int64()), ("ids", pa.binary())])
+_IDS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("crc", pa.int64()), ("ids", pa.binary()),
+                  ("counts", pa.list_(pa.int64()))])
 _COUNT = pa.schema([("id", pa.int64()), ("n", pa.int64())])
 _BLOCKS = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("n", pa.int64()),
                      ("doc_ids", pa.list_(pa.int64())), ("at", pa.int64()), ("crc_in", pa.int64()),
@@ -52,28 +53,42 @@ def _codec() -> pa.Codec:
 
 
 def document_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, n, crc, ids): every row's ids with the end id, their number,
-    the CRC32 of them as little-endian unsigned 32-bit numbers, and these in
-    compressed planes."""
+    """(doc_id, n, crc, ids, counts): every row's ids with the end id, their
+    number, the CRC32 of them as little-endian unsigned 32-bit numbers, and
+    these in compressed planes; after them, for each task, a row of the task's
+    ``counts`` alone (how often each id from 0 on)."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from branchdata.llm.wordbatch import batch_encoder
+        from branchdata.llm.wordbatch import batch_encoder, slices
         enc, pack = batch_encoder(tokenizer), _codec()
-        end = np.array([end_id], "<u4").tobytes()
+        end, total = np.array([end_id], "<u4").tobytes(), np.zeros(0, np.int64)
         for b in batches:
-            bounds, ids = enc.batch(b.column(1))
-            wide = ids.astype("<u4").tobytes()
-            out: list[list] = [[], [], []]
-            for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                own = wide[4 * a:4 * z] + end
-                out[0].append(z - a + 1)
-                out[1].append(zlib.crc32(own))
-                out[2].append(pack.compress(planes(own), asbytes=True))
-            yield pa.record_batch([b.column(0), *[pa.array(v, type=f.type) for v, f in
-                                                  zip(out, list(_IDS)[1:], strict=True)]], schema=_IDS)
+            for cut in slices(b.column(1)):
+                texts = b.column(1)[cut.start:cut.stop]
+                bounds, ids = enc.batch(texts)
+                total = _add(_add(total, np.bincount(ids)), np.bincount([end_id] * len(texts)))
+                wide = ids.astype("<u4").tobytes()
+                out: list[list] = [[], [], []]
+                for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    own = wide[4 * a:4 * z] + end
+                    out[0].append(z - a + 1)
+                    out[1].append(zlib.crc32(own))
+                    out[2].append(pack.compress(planes(own), asbytes=True))
+                yield pa.record_batch([b.column(0)[cut.start:cut.stop],
+                                       *[pa.array(v, type=_IDS.field(i).type) for i, v in enumerate(out, 1)],
+                                       pa.nulls(len(texts), _IDS.field(4).type)], schema=_IDS)
+        yield pa.record_batch([*[pa.nulls(1, f.type) for f in list(_IDS)[:4]], pa.array([total], _IDS.field(4).type)],
+                              schema=_IDS)
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .mapInArrow(encoded, "doc_id long, n long, crc long, ids binary"))
+            .mapInArrow(encoded, "doc_id long, n long, crc long, ids binary, counts array<long>"))
+
+
+def _add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    if len(a) < len(b):
+        a, b = b, a
+    a[:len(b)] += b
+    return a
 
 
 def planes(ids: bytes) -> bytes:
@@ -87,22 +102,18 @@ def unplanes(data: bytes) -> np.ndarray:
 
 
 def count_ids(ids: DataFrame) -> DataFrame:
-    """(id, n) over all documents."""
+    """(id, n) over all documents: the tasks' counts (the ids aren't read)."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, unpack = np.zeros(0, np.int64), _codec()
+        total = np.zeros(0, np.int64)
         for b in batches:
-            sizes = b.column(0).to_pylist()
-            held = [unplanes(unpack.decompress(x, 4 * n)) for x, n in zip(b.column(1).to_pylist(), sizes, strict=True)]
-            if held:
-                more = np.bincount(np.concatenate(held))
-                if len(more) > len(total):
-                    total = np.concatenate([total, np.zeros(len(more) - len(total), np.int64)])
-                total[:len(more)] += more
+            for counts in b.column(0):
+                total = _add(total, np.array(counts.values, np.int64))
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], schema=_COUNT)
 
-    return ids.select("n", "ids").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return (ids.where("counts is not null").select("counts").mapInArrow(counted, "id long, n long")
+            .groupBy("id").agg(F.sum("n").alias("n")))
 
 
 @dataclass
@@ -169,7 +180,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, bloc
         yield from _blocks(rows(), table, TaskContext.get().partitionId(), block)
 
     order = [F.col("doc_id").asc_nulls_first(), "crc", "n", "tie"]
-    ordered = (ids.withColumn("tie", F.monotonically_increasing_id())
+    ordered = (ids.where("counts is null").drop("counts").withColumn("tie", F.monotonically_increasing_id())
                .repartitionByRange(*order).sortWithinPartitions(*order))
     ordered.mapInArrow(cut, _BLOCKS_DDL).write.parquet(f"{path}/blocks")
     sizes = spark.read.schema(_BLOCKS_DDL).parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n").alias("n")).collect()
