@@ -65,9 +65,10 @@ def merge_label(change_type_col) -> Column:
 # first shape wins.  A statement of several actions, or on a constraint, is
 # not read ("other"): the conflict check reports it as unverified.
 OBJECT_SHAPES = (
+    ("other", r"(?i)^DROP\s+(?:TABLE|INDEX)\s[\s\S]*,", 0, 0, 0),
     ("other", r"(?i)^ALTER\s+TABLE\s[\s\S]*,\s*(?:ADD|DROP|ALTER|RENAME)\s", 0, 0, 0),
     ("other", r"(?i)^ALTER\s+TABLE\s[\s\S]*\s(?:ADD|DROP)\s+(?:CONSTRAINT|PRIMARY|UNIQUE|FOREIGN|CHECK|EXCLUDE)\s", 0, 0, 0),
-    ("add_column", r"(?i)^ALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?(?:ONLY\s+)?([\w.\"]+)\s+ADD\s+(?:COLUMN\s+)?(?:IF\s+NOT\s+EXISTS\s+)?([\w\"]+)\s*(.*)$", 1, 2, 3),
+    ("add_column", r"(?i)^ALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?(?:ONLY\s+)?([\w.\"]+)\s+ADD\s+(?:COLUMN\s+)?(?:IF\s+NOT\s+EXISTS\s+)?([\w\"]+)\s*([\s\S]*)$", 1, 2, 3),
     ("drop_column", r"(?i)^ALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?(?:ONLY\s+)?([\w.\"]+)\s+DROP\s+(?:COLUMN\s+)?(?:IF\s+EXISTS\s+)?([\w\"]+)", 1, 2, 0),
     ("rename_column", r"(?i)^ALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?(?:ONLY\s+)?([\w.\"]+)\s+RENAME\s+COLUMN\s+([\w\"]+)\s+TO\s+([\w\"]+)", 1, 2, 3),
     ("alter_type", r"(?i)^ALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?(?:ONLY\s+)?([\w.\"]+)\s+ALTER\s+COLUMN\s+([\w\"]+)\s+(?:SET\s+DATA\s+)?TYPE\s+(\w+)", 1, 2, 3),
@@ -89,9 +90,16 @@ OBJECT_GUARD = (r"(?i)^CREATE\s+(?:UNIQUE\s+)?(?:TABLE|INDEX)\s+(?:CONCURRENTLY\
                 r"|^ALTER\s+TABLE\s[\s\S]*\s(?:ADD\s+(?:COLUMN\s+)?IF\s+NOT|DROP\s+(?:COLUMN\s+)?IF)\s+EXISTS\s")
 
 
+LEADING_COMMENTS = r"(?s)^(\s*(/\*.*?\*/|--[^\n]*\n))+"
+#: what stands between top-level commas: quoted texts and brackets (three deep) are taken whole
+ITEM = (r"(?:[^,'\"()]+|'[^']*(?:''[^']*)*'|\"[^\"]*\""
+        r"|\((?:[^()']+|'[^']*(?:''[^']*)*'|\((?:[^()']+|'[^']*(?:''[^']*)*'|\([^()]*\))*\))*\))+")
+ALTER_PARTS = r"(?is)^(ALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?(?:ONLY\s+)?[\w.\"]+\s+)(.*)$"
+
+
 def strip_comments(sql) -> Column:
-    """Trimmed text without leading /* ... */ and -- comments."""
-    return trim_ws(F.regexp_replace(trim_ws(sql), r"^(\s*(/\*.*?\*/|--[^\n]*\n))+", ""))
+    """Trimmed text without leading /* ... */ and -- comments, of any lines."""
+    return trim_ws(F.regexp_replace(trim_ws(sql), LEADING_COMMENTS, ""))
 
 
 def _name(c: Column) -> Column:
@@ -137,13 +145,37 @@ def with_objects(df, sql_col: str = "sql_text", keep_body: bool = False):
 
 
 def create_columns(sql) -> Column:
-    """Column names listed in ``CREATE TABLE t (a INT, b TEXT)`` (lower case)."""
-    inner = F.regexp_extract(strip_comments(sql), r"\((.*)\)", 1)
-    items = F.split(inner, r"\s*,\s*")
+    """Column names listed in ``CREATE TABLE t (a INT, b NUMERIC(10, 2))``
+    (lower case), over any number of lines."""
+    inner = F.regexp_extract(strip_comments(sql), r"(?s)\((.*)\)", 1)
+    items = F.regexp_extract_all(inner, F.lit(ITEM), F.lit(0))
     return F.filter(F.transform(items, lambda x: F.lower(F.regexp_extract(trim_ws(x), r"^\"?(\w+)", 1))),
                     lambda x: (x != "") & ~x.isin("primary", "unique", "constraint", "foreign", "check"))
 
 
+def statement_actions(sql) -> Column:
+    """The single actions of a statement, comments off: an ALTER TABLE of
+    several is cut at its top-level commas, each action with the statement's
+    head; any other statement is one action."""
+    body = F.regexp_replace(strip_comments(sql), r"[;\s]+$", "")
+    head = F.regexp_extract(body, ALTER_PARTS, 1)
+    items = F.regexp_extract_all(F.regexp_extract(body, ALTER_PARTS, 2), F.lit(ITEM), F.lit(0))
+    return F.when(F.size(items) > 1, F.transform(items, lambda x: F.concat(head, trim_ws(x)))).otherwise(F.array(body))
+
+
+ACTION_BITS = 20         # an ALTER TABLE has fewer actions than 2**20
+
+
+def with_actions(changes):
+    """One row per action of every change (branch_id, sequence, sql_text,
+    ...): ``action`` counts from 1, ``position`` orders the branch's actions,
+    ``sql_text`` is the action's own text."""
+    return (changes.select(*[c for c in changes.columns if c != "sql_text"],
+                           F.posexplode(statement_actions("sql_text")).alias("_i", "sql_text"))
+            .withColumn("action", F.col("_i") + 1)
+            .withColumn("position", F.col("sequence").cast("long") * (1 << ACTION_BITS) + F.col("_i")).drop("_i"))
+
+
 # --- conflicts from error text ---------------------------------------------
 def conflict_class(message) -> Column:
     m = F.lower(_c(message))

@@ -28,9 +28,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.changes import (OBJECT_GUARD, TABLE_GUARD, auto_resolve, conflict_class,
-                                 conflict_details, create_columns, with_objects)
-from .numbering import DETECT, collect_hot
+from ..functions.changes import (ACTION_BITS, OBJECT_GUARD, TABLE_GUARD, auto_resolve, conflict_class,
+                                 conflict_details, create_columns, with_actions, with_objects)
+from .numbering import DETECT, collect_hot, number_rows
 from .scan import pieced_scan, plain_scan
 
 NEEDS_TABLE = ("add_column", "drop_column", "rename_column", "alter_type", "drop_table",
@@ -41,38 +41,129 @@ NEEDS_COLUMN = ("drop_column", "rename_column", "alter_type")
 def check(changes: DataFrame, catalog: DataFrame, indexes: DataFrame,
           hot_rows: int | None = None, max_hot: int | None = None, hot=DETECT) -> DataFrame:
     """changes: (branch_id, sequence, sql_text, ...); catalog: (table_name,
-    column_name); indexes: (index_name, table_name).  ``hot``: keys of the
-    branches to scan in pieces (found on ``changes`` when not given; any
-    superset of the hot branches gives the same result).
+    column_name); indexes: (index_name, table_name).  A catalog with a
+    branch_id holds for that branch alone (``parent_catalogs`` makes such
+    ones).  ``hot``: keys of the branches to scan in pieces (found on
+    ``changes`` when not given; any superset of the hot branches gives the
+    same result).
 
     Returns every change with op, table_name, column_name, conflict_type
     (NULL = safe) and a database-style message.
     """
-    objs = with_objects(changes.select("branch_id", "sequence", "sql_text"), "sql_text", keep_body=True)
-    body = F.col("_body")
-    objs = objs.withColumns({"create_cols": create_columns(body), "table_guard": body.rlike(TABLE_GUARD),
-                             "object_guard": body.rlike(OBJECT_GUARD)}).drop("_body")
-    cat_tables = catalog.select(F.lower("table_name").alias("table_name")).distinct() \
-                        .withColumn("cat_table", F.lit(True))
-    cat_cols = catalog.select(F.lower("table_name").alias("table_name"),
-                              F.lower("column_name").alias("column_name")).distinct() \
-                      .withColumn("cat_col", F.lit(True))
-    cat_idx = indexes.select(F.lower("index_name").alias("detail")).distinct() \
-                     .withColumn("cat_idx", F.lit(True))
+    objs = _objects(changes)
+    cats = _catalogs(catalog, indexes)
 
     # Branches with very many changes take the pieced (parallel) scan path;
     # the keys are found once, on the input, and the input is split once.
     if hot is DETECT:      # a superset of the hot branches is fine too
         hot = collect_hot(objs, ["branch_id"], hot_rows, max_hot)
     if hot is None:
-        t = _replay(objs, cat_tables, cat_cols, cat_idx, _plain_step)
+        t = _replay(objs, *cats, _plain_step)
     else:
-        cold = _replay(objs.join(hot, "branch_id", "left_anti"), cat_tables, cat_cols, cat_idx, _plain_step)
-        warm = _replay(objs.join(hot, "branch_id", "left_semi"), cat_tables, cat_cols, cat_idx, _pieced_step)
+        cold = _replay(objs.join(hot, "branch_id", "left_anti"), *cats, _plain_step)
+        warm = _replay(objs.join(hot, "branch_id", "left_semi"), *cats, _pieced_step)
         t = cold.unionByName(warm)
     return _classify(t)
 
 
+def _objects(changes: DataFrame, *extra: str) -> DataFrame:
+    objs = with_objects(changes.select("branch_id", "sequence", "sql_text", *extra), "sql_text", keep_body=True)
+    body = F.col("_body")
+    return objs.withColumns({"create_cols": create_columns(body), "table_guard": body.rlike(TABLE_GUARD),
+                             "object_guard": body.rlike(OBJECT_GUARD)}).drop("_body")
+
+
+def _catalogs(catalog: DataFrame, indexes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tables, columns and indexes that are there, of all branches or (with a
+    branch_id) of each."""
+    def named(df: DataFrame, flag: str, **names: str) -> DataFrame:
+        own = ["branch_id"] if "branch_id" in df.columns else []
+        return (df.select(*own, *[F.lower(c).alias(n) for n, c in names.items()])
+                .where(" AND ".join(f"{n} IS NOT NULL" for n in names)).distinct().withColumn(flag, F.lit(True)))
+    return (named(catalog, "cat_table", table_name="table_name"),
+            named(catalog, "cat_col", table_name="table_name", column_name="column_name"),
+            named(indexes, "cat_idx", detail="index_name"))
+
+
+def _with_catalog(df: DataFrame, catalog: DataFrame, keys: list[str]) -> DataFrame:
+    """A catalog for all branches is a small list; one per branch grows with
+    the branches and is joined by key."""
+    if "branch_id" in catalog.columns:
+        return df.join(catalog, ["branch_id", *keys], "left")
+    return df.join(F.broadcast(catalog), keys, "left")
+
+
+def touched_objects(objs: DataFrame) -> DataFrame:
+    """(branch_id, table_name, column_name, detail) of every table, column (a
+    rename's new name too) and index that a branch's changes name, once each."""
+    op, none = F.col("op"), F.lit(None).cast("string")
+    index = op.isin("create_index", "drop_index")
+    rows = F.array(F.struct(F.col("table_name"), none.alias("column_name"), none.alias("detail")),
+                   F.struct(F.col("table_name"), F.col("column_name"), none.alias("detail")),
+                   F.struct(F.col("table_name"), F.when(op == "rename_column", F.col("detail")).alias("column_name"),
+                            none.alias("detail")),
+                   F.struct(none.alias("table_name"), none.alias("column_name"), F.when(index, F.col("detail")).alias("detail")))
+    return (objs.select("branch_id", F.explode(rows).alias("o")).select("branch_id", "o.*")
+            .where("coalesce(table_name, column_name, detail) IS NOT NULL").distinct())
+
+
+def parent_catalogs(changes: DataFrame, links: DataFrame, touched: DataFrame, catalog: DataFrame,
+                    indexes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What each branch's own parent held of the objects the branch touches.
+
+    ``changes``: actions of the parents (branch_id, position, at, sql_text) on
+    top of the seed ``catalog`` and ``indexes``; ``links``: (branch_id,
+    parent_id, at), the parent as of ``at`` (NULL: as it is now); ``touched``:
+    see ``touched_objects``.  The questions stand on the parent's own time
+    line, behind its changes up to ``at``, and ride through the same replay as
+    these, so no branch is joined with its parent's changes.  Returns the
+    catalog and the indexes per branch."""
+    ends = F.lit("9999-12-31").cast("timestamp_ntz")
+    asked = (touched.join(links, "branch_id")
+             .select(F.col("parent_id").alias("branch_id"), F.coalesce(F.col("at").cast("timestamp_ntz"), ends).alias("at"),
+                     F.lit(1).alias("asks"), F.col("branch_id").alias("position"), F.lit("probe").alias("op"), "table_name",
+                     "column_name", "detail", F.lit(None).cast("string").alias("sql_text"),
+                     F.lit(None).cast("array<string>").alias("create_cols"), F.lit(False).alias("table_guard"),
+                     F.lit(False).alias("object_guard")))
+    parents = links.select(F.col("parent_id").alias("branch_id")).distinct()
+    own = changes.join(parents, "branch_id", "left_semi")
+    known = (_objects(own.select("branch_id", F.col("position").alias("sequence"), "sql_text", "at"), "at")
+             .withColumnRenamed("sequence", "position")
+             .withColumns({"at": F.col("at").cast("timestamp_ntz"), "asks": F.lit(0)}))
+    line = number_rows(known.unionByName(asked), ["branch_id"],
+                       ["at", "asks", "position", "table_name", "column_name", "detail"], out="sequence")
+    hot = collect_hot(line, ["branch_id"])
+    cats = _catalogs(catalog, indexes)
+    if hot is None:
+        t = _replay(line, *cats, _plain_step)
+    else:
+        t = (_replay(line.join(hot, "branch_id", "left_anti"), *cats, _plain_step)
+             .unionByName(_replay(line.join(hot, "branch_id", "left_semi"), *cats, _pieced_step)))
+    found = t.where("op = 'probe'").select(F.col("position").alias("branch_id"), "table_name", "column_name",
+                                           F.col("detail").alias("index_name"), "table_before", "col_before", "index_before")
+    there = found.where("table_name IS NOT NULL AND table_before").select(
+        "branch_id", "table_name", F.when(F.col("col_before"), F.col("column_name")).alias("column_name"))
+    return there, found.where("index_name IS NOT NULL AND index_before").select("branch_id", "index_name", "table_name")
+
+
+def check_against_parents(branches: DataFrame, changes: DataFrame, histories: DataFrame, catalog: DataFrame,
+                          indexes: DataFrame, hot=DETECT) -> DataFrame:
+    """Checks each branch's ``changes`` (branch_id, sequence, sql_text), action
+    by action, against its own parent: ``histories`` (branch_id, sequence,
+    sql_text, applied_at) on top of the seed catalog, as of the time given in
+    ``branches`` (branch_id, parent_id, at).  (branch_id, sequence, action,
+    position, op, table_name, column_name, conflict_type, message)."""
+    actions = with_actions(changes.select("branch_id", "sequence", "sql_text"))
+    mine = actions.select("branch_id", F.col("position").alias("sequence"), "sql_text")
+    past = with_actions(histories.select("branch_id", "sequence", "sql_text", F.col("applied_at").alias("at")))
+    there, there_idx = parent_catalogs(past, branches, touched_objects(_objects(mine)), catalog, indexes)
+    checked = check(mine, there, there_idx, hot=hot)
+    place = F.col("sequence")
+    return checked.select("branch_id", F.shiftright(place, ACTION_BITS).cast("int").alias("sequence"),
+                          (place % (1 << ACTION_BITS) + 1).cast("int").alias("action"), place.alias("position"), "op",
+                          "table_name", "column_name", "conflict_type", "message")
+
+
 def _plain_step(df, parts, lasts=None, sums=None, order="sequence"):
     return plain_scan(df, parts, order, lasts, sums)
 
@@ -85,7 +176,7 @@ def _replay(objs: DataFrame, cat_tables: DataFrame, cat_cols: DataFrame, cat_idx
     # 1-2: table state and epochs per (branch, table)
     op = F.col("op")
     t_event = F.when(op == "create_table", F.lit(True)).when(op == "drop_table", F.lit(False))
-    t = scan(objs.join(F.broadcast(cat_tables), "table_name", "left"), ["branch_id", "table_name"],
+    t = scan(_with_catalog(objs, cat_tables, ["table_name"]), ["branch_id", "table_name"],
              lasts={"_tb": t_event})
     t = t.withColumn("table_before", F.coalesce("_tb", "cat_table", F.lit(False)))
     accepted_create = (op == "create_table") & ~F.col("table_before")
@@ -111,7 +202,7 @@ def _replay(objs: DataFrame, cat_tables: DataFrame, cat_cols: DataFrame, cat_idx
           .filter(F.col("tc.main") | F.col("tc.col").isNotNull())
           .withColumn("col", F.col("tc.col")).withColumn("_effect", F.col("tc.effect"))
           .withColumn("_main", F.col("tc.main")).drop("tc"))
-    t = t.join(F.broadcast(cat_cols.withColumnRenamed("column_name", "col")), ["table_name", "col"], "left")
+    t = _with_catalog(t, cat_cols.withColumnRenamed("column_name", "col"), ["table_name", "col"])
     t = scan(t, ["branch_id", "table_name", "epoch", "col"], lasts={"_cb": F.col("_effect")})
     t = (t.withColumn("col_before", F.when(F.col("col").isNotNull(), F.coalesce(
               F.col("_cb"),
@@ -123,9 +214,9 @@ def _replay(objs: DataFrame, cat_tables: DataFrame, cat_cols: DataFrame, cat_idx
     # a CREATE INDEX on a missing table is rejected and creates nothing
     i_event = (F.when((op == "create_index") & F.col("table_before"), F.lit(True))
                 .when(op == "drop_index", F.lit(False)))
-    t = scan(t.join(F.broadcast(cat_idx), "detail", "left"), ["branch_id", "detail"], order="_pos",
+    t = scan(_with_catalog(t, cat_idx, ["detail"]), ["branch_id", "detail"], order="_pos",
              lasts={"_ib": i_event, "target_before": F.when(~F.col("_main"), F.col("col_before"))})
-    t = t.filter(F.col("_main")).withColumn("index_before", F.when(op.isin("create_index", "drop_index"),
+    t = t.filter(F.col("_main")).withColumn("index_before", F.when(op.isin("create_index", "drop_index", "probe"),
                                             F.coalesce("_ib", "cat_idx", F.lit(False))))
 
     return t

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.changes import OBJECT_SHAPES
+from ..functions.changes import ALTER_PARTS, ITEM, LEADING_COMMENTS, OBJECT_SHAPES
 
 SQL_TYPES = {
     "text": "string", "varchar": "string", "char": "string", "int": "int", "integer": "int",
@@ -38,10 +38,20 @@ class Change:
     sql: str
 
 
+#: statements on a table that leave its columns and rows as they are
+NO_DATA_CHANGE = ("create_index", "drop_index")
+
+
 def _strip(sql: str) -> str:
-    s = sql.strip()
-    s = re.sub(r"^(\s*(/\*.*?\*/|--[^\n]*\n))+", "", s, flags=re.S)
-    return s.strip()
+    return re.sub(LEADING_COMMENTS, "", sql.strip()).strip()
+
+
+def actions(sql: str) -> list[str]:
+    """The single actions of a statement (see ``statement_actions``)."""
+    body = _strip(sql).rstrip("; \t\r\n")
+    m = re.search(ALTER_PARTS, body)
+    items = [x.group(0).strip() for x in re.finditer(ITEM, m.group(2))] if m else []
+    return [m.group(1) + x for x in items] if len(items) > 1 else [body]
 
 
 def parse(sql: str) -> Change:
@@ -84,18 +94,22 @@ def spark_type(sql_type: str) -> str:
 
 def fold(df: DataFrame, statements: Sequence[str], table: str | None = None,
          strict: bool = False) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """Fold the changes into one ``select``.  Returns the new frame and the
-    skipped changes as (sql, reason) - a change that conflicts with the
-    current shape is skipped (or raises with ``strict``).  Values that don't
-    fit a new type raise when the frame is read (ANSI casts): none is lost."""
+    """Fold the changes, action by action, into one ``select``.  Returns the
+    new frame and the skipped actions as (sql, reason) - one that conflicts
+    with the current shape, or that no column change can express, is skipped
+    (or raises with ``strict``); changes of other tables and of indexes have no
+    part in it.  Values that don't fit a new type raise when the frame is read
+    (ANSI casts): none is lost."""
     cols: list[tuple[str, object]] = [(c, F.col(c)) for c in df.columns]
     skipped: list[tuple[str, str]] = []
 
     def names():
         return [n.lower() for n, _ in cols]
 
-    for sql in statements:
+    for sql in (a for statement in statements for a in actions(statement)):
         ch = parse(sql)
+        if ch.op in NO_DATA_CHANGE:
+            continue
         if table is not None and ch.table not in (None, table.lower()):
             continue
         reason = None
@@ -133,16 +147,19 @@ def fold(df: DataFrame, statements: Sequence[str], table: str | None = None,
     return df.select(*[e.alias(n) for n, e in cols]), skipped
 
 
-def apply_changes(df: DataFrame, statements: Sequence[str], table: str | None = None) -> DataFrame:
-    """The changed frame; a change that conflicts raises (``fold`` reports
-    such changes instead)."""
-    out, skipped = fold(df, statements, table)
-    conflicts = [f"{reason}: {sql}" for sql, reason in skipped if reason != "not_a_column_change"]
-    if conflicts:
-        raise ValueError("; ".join(conflicts))
+def _complete(folded: tuple[DataFrame, list[tuple[str, str]]]) -> DataFrame:
+    out, skipped = folded
+    if skipped:
+        raise ValueError("; ".join(f"{reason}: {sql}" for sql, reason in skipped))
     return out
 
 
+def apply_changes(df: DataFrame, statements: Sequence[str], table: str | None = None) -> DataFrame:
+    """The changed frame; any change of the table that can't be applied raises
+    (``fold`` reports such changes instead)."""
+    return _complete(fold(df, statements, table))
+
+
 def rebase(source: DataFrame, parent_changes: Sequence[str], branch_changes: Sequence[str],
            table: str | None = None) -> tuple[DataFrame, list[tuple[str, str]]]:
     """Rebuild from the source on top of the parent's changes, then replay
@@ -153,6 +170,6 @@ def rebase(source: DataFrame, parent_changes: Sequence[str], branch_changes: Seq
 
 
 def reset(source: DataFrame, statements: Sequence[str], n: int, table: str | None = None) -> DataFrame:
-    """Rebuild from the source and replay all but the last ``n`` changes."""
-    keep = list(statements)[: max(0, len(statements) - n)]
-    return fold(source, keep, table)[0]
+    """Rebuild from the source and replay all but the last ``n`` changes; one
+    that can't be applied again raises."""
+    return _complete(fold(source, list(statements)[: max(0, len(statements) - n)], table))

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from ..functions.changes import ACTION_BITS
 from ..operators import conflicts as CF
+from ..operators import merging as MG
 from ..operators.extract import table_stats
+from ..sources import history as H
 from ..sources.tables import DRIVER_TABLES
 from . import settings as S
 from .registry import Ctx, query
-from .sqlparts import body_expr, create_cols_expr, hist, object_exprs
+from .sqlparts import actions_cte, body_expr, create_cols_expr, hist, object_exprs
 
 
 def _base_catalog(spark):
@@ -123,6 +128,49 @@ def chk(body: str) -> str:
     return hist(body, *_CHECK_CTES)
 
 
+_BASES, _CHAIN = _CHECK_CTES[:3], _CHECK_CTES[4:-2]
+
+
+def check_ctes(suffix: str) -> list[str]:
+    """The CTEs that judge the rows of ``chk<suffix>``, all with the suffix."""
+    names = r"\b(chk|o|t[1-6]|openers|touch|tc|verdicts|checked)\b(?!')"
+    return [re.sub(names, lambda m: m[0] + suffix, cte) for cte in _CHAIN]
+
+
+# Each open branch behind its parent's changes up to the branch point, action by action.
+_BEHIND_PARENT = [
+    actions_cte("acts", "(SELECT branch_id, sequence, applied_at, type, sql_text FROM v_changes WHERE type IN ('ddl', 'seed'))"),
+    """opened AS (SELECT b.branch_id, p.branch_id AS parent_id, b.created_at AS at FROM v_branches b
+  JOIN v_branches p ON p.name = b.parent_branch WHERE b.status = 'active' AND b.branch_id != 0)""",
+    """chk_p AS (
+  SELECT branch_id, row_number() OVER (PARTITION BY branch_id ORDER BY own, seq, action) AS sequence, sql_text, own, seq, action
+  FROM (SELECT l.branch_id, 0 AS own, a.sequence AS seq, a.action, a.sql_text FROM opened l
+        JOIN acts a ON a.branch_id = l.parent_id AND a.applied_at <= l.at
+        UNION ALL SELECT a.branch_id, 1, a.sequence, a.action, a.sql_text FROM acts a JOIN opened USING (branch_id)))""",
+]
+
+
+def opened(c: Ctx):
+    """(branch_id, parent_id, at) of the open branches: their parent's id and
+    the time they were branched off."""
+    parents = c.branches.select(F.col("name").alias("parent_branch"), F.col("branch_id").alias("parent_id"))
+    return (c.branches.filter((F.col("status") == "active") & (F.col("branch_id") != 0)).join(parents, "parent_branch")
+            .select("branch_id", "parent_id", F.col("created_at").alias("at")))
+
+
+@query("conflict_check_parent", hist("""
+SELECT c.branch_id, CAST(k.seq AS INT) AS sequence, CAST(k.action AS INT) AS action, c.op, c.table_name, c.column_name,
+  c.conflict_type, c.message
+FROM checked_p c JOIN chk_p k USING (branch_id, sequence) WHERE k.own = 1""", *_BASES, *_BEHIND_PARENT, *check_ctes("_p")))
+def conflict_check_parent(c: Ctx):
+    """Every action of the open branches' mergeable changes checked against
+    the branch's own parent as of its branch point."""
+    cat, idx = _base_catalog(c.spark)
+    past = c.recorded.filter(F.col("type").isin("ddl", "seed"))
+    got = CF.check_against_parents(opened(c), _open_mergeable(c), past, cat, idx, hot=c.hot_branches)
+    return got.drop("position")
+
+
 @query("conflict_check", chk("""
 SELECT branch_id, sequence, op, table_name, column_name, conflict_type FROM checked"""))
 def conflict_check(c: Ctx):
@@ -131,6 +179,77 @@ def conflict_check(c: Ctx):
     return _checked(c).select("branch_id", "sequence", "op", "table_name", "column_name", "conflict_type")
 
 
+def _level(d: int) -> list[str]:
+    """The CTEs that merge the branches of level ``d`` into their parents."""
+    return [
+        f"""kids_{d} AS (SELECT b.branch_id, p.branch_id AS parent_id, lv.level,
+  p.name = 'main' OR contains(p.name, 'automobile') AS is_gated
+  FROM v_branches b JOIN v_branches p ON p.name = b.parent_branch JOIN lv ON lv.branch_id = b.branch_id
+  WHERE b.status = 'active' AND b.branch_id != 0 AND lv.level = {d})""",
+        f"""heads_{d} AS (SELECT branch_id, max(sequence) AS head FROM hist_{d} GROUP BY branch_id)""",
+        f"""sent_{d} AS (SELECT k.parent_id AS branch_id, h.branch_id AS child, h.sequence AS child_sequence, h.sql_text, h.type,
+  coalesce(head, 0) AS head, coalesce(head, 0) + row_number() OVER (PARTITION BY k.parent_id ORDER BY h.branch_id, h.sequence) AS sequence
+  FROM hist_{d} h JOIN kids_{d} k ON k.branch_id = h.branch_id AND NOT k.is_gated
+  LEFT JOIN heads_{d} hd ON hd.branch_id = k.parent_id WHERE h.type IN ('ddl', 'seed'))""",
+        actions_cte(f"acts_{d}", f"""(SELECT branch_id, sequence, sql_text FROM hist_{d} WHERE type IN ('ddl', 'seed')
+  AND branch_id IN (SELECT branch_id FROM sent_{d}) UNION ALL SELECT branch_id, sequence, sql_text FROM sent_{d})"""),
+        f"chk_{d} AS (SELECT branch_id, sequence * {1 << ACTION_BITS} + action - 1 AS sequence, sql_text FROM acts_{d})",
+        *check_ctes(f"_{d}"),
+        f"""bad_{d} AS (SELECT DISTINCT branch_id, sequence // {1 << ACTION_BITS} AS sequence FROM checked_{d}
+  WHERE conflict_type IS NOT NULL)""",
+        f"""kept_{d} AS (SELECT s.branch_id, head + row_number() OVER (PARTITION BY s.branch_id ORDER BY s.sequence) AS sequence,
+  sql_text, type, child AS from_branch, child_sequence AS from_sequence
+  FROM sent_{d} s WHERE NOT EXISTS (SELECT 1 FROM bad_{d} b WHERE b.branch_id = s.branch_id AND b.sequence = s.sequence))""",
+        f"hist_{d - 1} AS (SELECT * FROM hist_{d} UNION ALL SELECT * FROM kept_{d})",
+        f"""result_{d} AS (SELECT k.branch_id, k.parent_id, k.level, CASE WHEN is_gated THEN 'gated'
+  WHEN coalesce(sent, 0) = 0 THEN 'nothing to merge' ELSE 'merged' END AS outcome, coalesce(sent, 0) AS sent, coalesce(applied, 0) AS applied
+  FROM kids_{d} k LEFT JOIN (SELECT child, count(*) AS sent FROM sent_{d} GROUP BY child) s ON s.child = k.branch_id
+  LEFT JOIN (SELECT from_branch, count(*) AS applied FROM kept_{d} GROUP BY from_branch) a ON a.from_branch = k.branch_id)"""]
+
+
+_DEEPEST = 8        # of the branch trees that the expected results cover
+
+
+def merged(body: str) -> str:
+    levels = [cte for d in range(_DEEPEST, 0, -1) for cte in _level(d)]
+    outcomes = "outcomes AS (" + " UNION ALL ".join(f"SELECT * FROM result_{d}" for d in range(1, _DEEPEST + 1)) + ")"
+    sql = hist(body, """lv AS (SELECT CAST(0 AS BIGINT) AS branch_id, 0 AS level
+  UNION ALL SELECT b.branch_id, lv.level + 1 FROM v_branches b JOIN v_branches p ON p.name = b.parent_branch
+  JOIN lv ON lv.branch_id = p.branch_id WHERE b.branch_id != 0)""", *_BASES,
+               f"""hist_{_DEEPEST} AS (SELECT branch_id, CAST(sequence AS BIGINT) AS sequence, sql_text, type,
+  CAST(NULL AS BIGINT) AS from_branch, CAST(NULL AS BIGINT) AS from_sequence FROM v_changes)""", *levels, outcomes)
+    return "WITH RECURSIVE" + sql.removeprefix("WITH")
+
+
+def _merge(c: Ctx):
+    """All open branches merged into their parents; conflicting changes stay out."""
+    cat, idx = _base_catalog(c.spark)
+    names = c.branches.select(F.col("name").alias("parent_branch"), F.col("branch_id").alias("up"))
+    tree = (c.branches.join(names, "parent_branch", "left")
+            .select("branch_id", F.when(F.col("branch_id") != F.col("up"), F.col("up")).alias("parent_id"),
+                    (F.col("status") == "active").alias("is_open")))
+    gates = H.protected(c.branches).join(c.branches, F.col("branch_name") == F.col("name")).select("branch_id")
+    return MG.merge_apply(tree, c.recorded, cat, idx, gates, "ours", hot=c.hot_branches)
+
+
+@query("merge_apply", merged("SELECT branch_id, sequence, from_branch, from_sequence, sql_text FROM hist_0 WHERE from_branch IS NOT NULL"))
+def merge_apply(c: Ctx):
+    """What the parents' histories gain when every open branch merges, deepest first."""
+    return _merge(c)[0].select("branch_id", "sequence", "from_branch", "from_sequence", "sql_text")
+
+
+@query("merge_outcomes", merged("SELECT branch_id, parent_id, level, outcome, sent, applied FROM outcomes"))
+def merge_outcomes(c: Ctx):
+    return _merge(c)[1]
+
+
+@query("merged_statuses", merged("""SELECT b.branch_id, b.name, CASE WHEN o.outcome = 'merged' THEN 'merged' ELSE b.status END AS status
+FROM v_branches b LEFT JOIN outcomes o ON o.branch_id = b.branch_id"""))
+def merged_statuses(c: Ctx):
+    """The branches' statuses after the merge."""
+    return MG.merged_statuses(c.branches, _merge(c)[1]).select("branch_id", "name", "status")
+
+
 @query("conflict_class", chk("""
 SELECT branch_id, sequence, message, message_class,
   CASE message_class WHEN 'column_exists' THEN 'Column already exists in parent schema'

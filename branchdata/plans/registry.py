@@ -44,6 +44,10 @@ class Ctx:
     def t(self, name: str) -> DataFrame:
         return self.src.table(name)
 
+    def tables(self) -> dict[str, DataFrame]:
+        """Every table of the folder."""
+        return {n: self.src.table(n) for n in self.src.names()}
+
     def _get(self, key, fn):
         if key not in self._memo:
             self._memo[key] = fn()

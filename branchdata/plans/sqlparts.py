@@ -7,6 +7,7 @@ expressions; they are only used to check results.
 from __future__ import annotations
 
 from ..constants import DDL_PREFIXES
+from ..functions.changes import ALTER_PARTS, ITEM, LEADING_COMMENTS
 
 V_BRANCHES = """v_branches AS (
 SELECT c.c_custkey AS branch_id,
@@ -32,6 +33,10 @@ SELECT o_orderkey AS migration_id, o_custkey AS branch_id,
     WHEN 18 THEN concat('ALTER TABLE ONLY users DROP COLUMN IF EXISTS c', CAST(o_orderkey % 50 AS VARCHAR))
     WHEN 19 THEN 'ALTER TABLE users ALTER COLUMN plan TYPE varchar'
     WHEN 20 THEN concat('DROP TABLE IF EXISTS t', CAST(o_orderkey % 50 AS VARCHAR))
+    WHEN 21 THEN concat('CREATE TABLE w', CAST(o_orderkey % 50 AS VARCHAR), ' (', chr(10), '  id INT,', chr(10),
+      '  price NUMERIC(10,2),', chr(10), '  name TEXT', chr(10), ')')
+    WHEN 23 THEN concat('/* two', chr(10), '   lines */', chr(10), 'ALTER TABLE w', CAST(o_orderkey % 50 AS VARCHAR), chr(10),
+      '  DROP COLUMN name')
     WHEN 22 THEN concat('ALTER TABLE users RENAME COLUMN name TO c', CAST(o_orderkey % 50 AS VARCHAR))
     ELSE CASE o_orderkey % 12
     WHEN 0 THEN concat('ALTER TABLE users ADD COLUMN c', CAST(o_orderkey % 50 AS VARCHAR), ' TEXT')
@@ -136,7 +141,7 @@ def catalog(tables: list[str]) -> str:
 
 def body_expr(x: str) -> str:
     """Statement without surrounding blanks and leading comments."""
-    return (f"regexp_replace(regexp_replace({trim(x)}, '^(\\s*(/\\*.*?\\*/|--[^\\n]*\\n))+', ''), "
+    return (f"regexp_replace(regexp_replace({trim(x)}, '{LEADING_COMMENTS}', ''), "
             f"'^\\s+|\\s+$', '', 'g')")
 
 
@@ -160,7 +165,21 @@ def object_exprs(body: str = "body") -> dict[str, str]:
     return out
 
 
+_ITEM = ITEM.replace("'", "''")
+
+
 def create_cols_expr(body: str = "body") -> str:
-    return (f"list_filter(list_transform(string_split_regex(regexp_extract({body}, '\\((.*)\\)', 1), '\\s*,\\s*'), "
+    return (f"list_filter(list_transform(regexp_extract_all(regexp_extract({body}, '(?s)\\((.*)\\)', 1), '{_ITEM}'), "
             f"lambda x: lower(regexp_extract({trim('x')}, '^\"?(\\w+)', 1))), "
             f"lambda x: x != '' AND x NOT IN ('primary', 'unique', 'constraint', 'foreign', 'check'))")
+
+
+def actions_cte(name: str, source: str) -> str:
+    """CTE ``name``: ``source`` with one row per action, numbered from 1, in ``sql_text``."""
+    return f"""{name} AS (
+  SELECT * EXCLUDE (texts, i), texts[i] AS sql_text, i AS action FROM (
+    SELECT * EXCLUDE (body, items, sql_text), CASE WHEN len(items) > 1 THEN list_transform(items, lambda x:
+      regexp_extract(body, '{ALTER_PARTS}', 1) || {trim('x')}) ELSE [body] END AS texts
+    FROM (SELECT *, regexp_extract_all(regexp_extract(body, '{ALTER_PARTS}', 2), '{_ITEM}') AS items
+          FROM (SELECT *, regexp_replace({body_expr('sql_text')}, '[;\\s]+$', '') AS body FROM {source}))),
+  unnest(range(1, len(texts) + 1)) AS r(i))"""

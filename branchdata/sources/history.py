@@ -63,6 +63,9 @@ def change_text(key):
              .when(shape == 18, F.concat(F.lit("ALTER TABLE ONLY users DROP COLUMN IF EXISTS c"), k50))
              .when(shape == 19, F.lit("ALTER TABLE users ALTER COLUMN plan TYPE varchar"))
              .when(shape == 20, F.concat(F.lit("DROP TABLE IF EXISTS t"), k50))
+             .when(shape == 21, F.concat(F.lit("CREATE TABLE w"), k50,
+                                         F.lit(" (\n  id INT,\n  price NUMERIC(10,2),\n  name TEXT\n)")))
+             .when(shape == 23, F.concat(F.lit("/* two\n   lines */\nALTER TABLE w"), k50, F.lit("\n  DROP COLUMN name")))
              .when(shape == 22, F.concat(F.lit("ALTER TABLE users RENAME COLUMN name TO c"), k50))
              .when(kind == 0, F.concat(F.lit("ALTER TABLE users ADD COLUMN c"), k50, F.lit(" TEXT")))
              .when(kind == 1, F.concat(F.lit("CREATE TABLE t"), k50, F.lit(" (id INT)")))
