@@ -50,6 +50,18 @@ def check(changes: DataFrame, catalog: DataFrame, indexes: DataFrame,
     Returns every change with op, table_name, column_name, conflict_type
     (NULL = safe) and a database-style message.
     """
+    return _classify(_states(changes, catalog, indexes, hot_rows, max_hot, hot))
+
+
+def replayed(changes: DataFrame, catalog: DataFrame, indexes: DataFrame, hot=DETECT) -> DataFrame:
+    """``check`` with what each change found before it: epoch (accepted
+    creates and drops of its table), table_before, col_before, target_before
+    (a rename's new name) and detail."""
+    return _classify(_states(changes, catalog, indexes, hot=hot), "detail", "epoch", "table_before", "col_before", "target_before")
+
+
+def _states(changes: DataFrame, catalog: DataFrame, indexes: DataFrame, hot_rows: int | None = None,
+            max_hot: int | None = None, hot=DETECT) -> DataFrame:
     objs = _objects(changes)
     cats = _catalogs(catalog, indexes)
 
@@ -63,7 +75,7 @@ def check(changes: DataFrame, catalog: DataFrame, indexes: DataFrame,
         cold = _replay(objs.join(hot, "branch_id", "left_anti"), *cats, _plain_step)
         warm = _replay(objs.join(hot, "branch_id", "left_semi"), *cats, _pieced_step)
         t = cold.unionByName(warm)
-    return _classify(t)
+    return t
 
 
 def _objects(changes: DataFrame, *extra: str) -> DataFrame:
@@ -222,7 +234,7 @@ def _replay(objs: DataFrame, cat_tables: DataFrame, cat_cols: DataFrame, cat_idx
     return t
 
 
-def _classify(t: DataFrame) -> DataFrame:
+def _classify(t: DataFrame, *extra: str) -> DataFrame:
     op = F.col("op")
     tb, cb, ib = F.col("table_before"), F.col("col_before"), F.col("index_before")
     tbl, col, det = F.col("table_name"), F.col("column_name"), F.col("detail")
@@ -253,7 +265,7 @@ def _classify(t: DataFrame) -> DataFrame:
                 .when(ctype == "dropped_reference",
                       F.concat(F.lit('column "'), col, F.lit('" of relation "'), tbl, q, F.lit(" does not exist"))))
     return t.select("branch_id", "sequence", "sql_text", "op", "table_name", "column_name",
-                    ctype.alias("conflict_type"), message.alias("message"))
+                    ctype.alias("conflict_type"), message.alias("message"), *extra)
 
 
 def classify_messages(log: DataFrame) -> DataFrame:

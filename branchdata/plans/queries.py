@@ -1,3 +1,3 @@
 """Import every query module so that all queries are registered."""
 
-from . import q_catalog, q_conflicts, q_extract, q_history, q_keys, q_reports, q_streams  # noqa: F401
+from . import q_catalog, q_conflicts, q_extract, q_history, q_keys, q_lineage, q_reports, q_streams  # noqa: F401

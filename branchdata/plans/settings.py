@@ -65,6 +65,8 @@ BASE_CATALOG = (
     ("orders", ("id", "user_id", "amount", "status", "created_at")),
     ("products", ("id", "name", "price", "stock", "created_at")),
 )
+# types of its columns (text unless named)
+BASE_TYPES = {"id": "int", "user_id": "int", "amount": "numeric", "price": "numeric", "stock": "int", "created_at": "timestamp"}
 BASE_INDEXES = (("users_pkey", "users"), ("users_email_key", "users"),
                 ("orders_pkey", "orders"), ("products_pkey", "products"))
 
