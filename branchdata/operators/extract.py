@@ -189,7 +189,7 @@ def copy_branch(store: BranchStore, source: str, target: str, parallel_tables: i
     paths = store.ready_versions(source)
 
     def copy(table: str) -> str:
-        store.write(store.spark.read.parquet(paths[table]), target, table)
+        store.write(store.open(paths[table]), target, table)
         return table
 
     with ThreadPoolExecutor(max_workers=max(1, parallel_tables)) as pool:

@@ -101,7 +101,11 @@ class BranchStore:
               .select("version").collect())
         if not st:
             raise FileNotFoundError(f"no ready version of {branch}/{table}")
-        return self.spark.read.parquet(fs.join(self.table_dir(branch, table), f"v={st[0][0]}"))
+        return self.open(fs.join(self.table_dir(branch, table), f"v={st[0][0]}"))
+
+    def open(self, path: str) -> DataFrame:
+        """The rows of a version, whose files may lie in folders of batches."""
+        return self.spark.read.option("recursiveFileLookup", "true").parquet(path)
 
     def ready_tables(self, branch: str) -> list[str]:
         return sorted(r[0] for r in self.latest()

@@ -4,8 +4,8 @@
   with masks applied; the checkpoint records which files are done, so a
   stopped or failed load resumes where it was and a rerun adds nothing.
 * ``activity_counts``: the live activity view - events de-duplicated within
-  a watermark, counted per (branch, kind), kept in complete mode and
-  published per micro-batch through ``foreachBatch``.
+  a watermark, counted per (branch, kind); each micro-batch writes what it
+  changed, and readers merge the latest (``live_counts``).
 """
 
 from __future__ import annotations
@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.masking import mask_frame
-from ..sources.fs import join
+from ..sources.fs import exists, join, list_names
 
 
-def split_into_files(df: DataFrame, path: str, files: int) -> str:
-    """Stage a table as ``files`` Parquet parts (the 'arriving' input)."""
-    df.repartition(files).write.mode("error").parquet(path)
+def split_into_files(df: DataFrame, path: str, rows_per_file: int) -> str:
+    """Stage a table as Parquet files of at most ``rows_per_file`` rows (the
+    'arriving' input), written by as many tasks as read it."""
+    df.write.option("maxRecordsPerFile", rows_per_file).mode("error").parquet(path)
     return path
 
 
@@ -57,13 +58,19 @@ def progress_rows(spark: SparkSession, target: str) -> DataFrame:
     return df.withColumn("cumulative_rows", F.sum("rows").over(w))
 
 
+MERGE_EVERY = 20         # batches of changed counts between two merged states
+
+
 def activity_counts(spark: SparkSession, source_path: str, schema, out_path: str, checkpoint: str,
-                    watermark: str = "1 hour", files_per_batch: int = 2) -> None:
+                    watermark: str = "1 hour", files_per_batch: int = 2, merge_every: int = MERGE_EVERY) -> None:
     """Live (branch, kind) counts over an event stream.
 
     ``dropDuplicatesWithinWatermark`` removes re-delivered events (exact
-    distinct aggregates are not allowed on streams); the counts are kept in
-    complete mode and each micro-batch overwrites the published state.
+    distinct aggregates are not allowed on streams).  Each micro-batch writes
+    the counts that it changed to a folder of its number (run again, it
+    replaces itself); every ``merge_every`` batches the latest counts are
+    written to a new folder.  No folder that ``live_counts`` reads from is
+    ever overwritten with other rows.
     """
     events = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
               .parquet(source_path)
@@ -74,8 +81,26 @@ def activity_counts(spark: SparkSession, source_path: str, schema, out_path: str
               .agg(F.count(F.lit(1)).alias("events")))
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(join(out_path, "state"))
+        changed = batch.withColumn("batch", F.lit(batch_id).cast("bigint"))
+        changed.write.mode("overwrite").parquet(join(out_path, f"changed-{batch_id:012d}"))
+        if batch_id and batch_id % merge_every == 0:
+            (live_counts(batch.sparkSession, out_path).withColumn("batch", F.lit(batch_id).cast("bigint"))
+             .write.mode("overwrite").parquet(join(out_path, f"merged-{batch_id:012d}")))
 
-    q = (counts.writeStream.outputMode("complete").foreachBatch(publish)
+    q = (counts.writeStream.outputMode("update").foreachBatch(publish)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def live_counts(spark: SparkSession, out_path: str) -> DataFrame:
+    """The latest count of each (branch, kind): the last merged state and the
+    batches written after it, complete folders only."""
+    done = [n for n in list_names(spark, out_path) if exists(spark, join(out_path, n, "_SUCCESS"))]
+    merged = max((n for n in done if n.startswith("merged-")), default="merged-")
+    since = merged.removeprefix("merged-")
+    parts = [n for n in done if n == merged or n.startswith("changed-") and n.removeprefix("changed-") > since]
+    schema = "branch_id bigint, event_type string, events bigint, batch bigint"
+    if not parts:
+        return spark.createDataFrame([], schema).drop("batch")
+    return (spark.read.schema(schema).parquet(*[join(out_path, n) for n in parts])
+            .groupBy("branch_id", "event_type").agg(F.max_by("events", "batch").alias("events")))

@@ -30,7 +30,7 @@ def test_live_view_counts_each_event_once(spark, tmp_path):
     ev.limit(50).write.mode("append").parquet(src)              # re-delivered events
     SL.activity_counts(spark, src, ev.schema, str(tmp_path / "view"), str(tmp_path / "ckpt"),
                        watermark="30 days", files_per_batch=2)
-    view = spark.read.parquet(str(tmp_path / "view" / "state"))
+    view = SL.live_counts(spark, str(tmp_path / "view"))
     want = ev.groupBy(F.col("user_id").alias("branch_id"), "event_type").agg(F.count(F.lit(1)).alias("events"))
     assert view.exceptAll(want.select(*view.columns)).count() == 0 and view.count() == want.count()
 
