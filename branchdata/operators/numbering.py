@@ -7,14 +7,16 @@ of the data.  ``number_rows`` therefore splits the work in two:
 * groups below a size threshold keep the plain window (one shuffle);
 * the few groups above it (at most ``max_hot`` keys: a proven bound, so the
   key list is broadcast) are cut into ``pieces`` contiguous ranges of the
-  first order column (equal width between the group's exact min and max).
-  Each piece is numbered by its own window task; piece sizes are summed
-  into offsets over a table of at most ``max_hot * pieces`` rows, and
-  offset + local number is the exact position in the group.
-
-The piece of a row is a pure function of the row and of exact aggregates
-(min, max), so every consumer of the plan, and every retried task, sees the
-same pieces.  The same range path numbers a whole table with no group (a
+  first order column, at splitters read off a mergeable quantile sketch, so
+  pieces hold like numbers of rows however the keys lie; a single value that
+  spans several splitters is cut further on the second order column.  Each
+  piece is numbered by its own window task; piece sizes are summed into
+  offsets over a table of about ``max_hot * pieces`` rows, and offset + local
+  number is the exact position in the group.
+
+Splitters only decide where pieces end: the numbers are exact for any.  They
+are one aggregate's result joined to the rows, so all consumers of a plan see
+the same pieces.  The same range path numbers a whole table with no group (a
 global order), which the load pager needs.
 """
 
@@ -72,22 +74,47 @@ def _second_rangeable(df: DataFrame, order_cols: Sequence) -> str | None:
     return order_cols[1] if isinstance(dtype, _RANGEABLE) else None
 
 
-def _cut(x: Column, lo: Column, hi: Column, pieces: int) -> Column:
-    width = (hi - lo) / pieces
-    return (F.when(width <= 0, F.lit(0))
-             .otherwise(F.least(F.floor((x - lo) / width), F.lit(pieces - 1)))
-             .cast("int"))
+SKETCH_ACCURACY = 20      # of the quantile sketch, per piece
+
+
+def splitters(x: Column, pieces: int) -> Column:
+    """Aggregate: the values that cut ``x`` into ``pieces`` of like size."""
+    if pieces < 2:
+        return F.array().cast("array<double>")
+    return F.percentile_approx(x, [i / pieces for i in range(1, pieces)], SKETCH_ACCURACY * pieces)
+
+
+def count_below(splits: Column, x: Column, pieces: int, or_equal: bool = False) -> Column:
+    """How many of the sorted splitters lie below ``x`` (or are equal to it), by bisection."""
+    steps = F.array(*[F.lit(1 << b) for b in range(max(pieces - 1, 1).bit_length() - 1, -1, -1)])
+
+    def step(at: Column, size: Column) -> Column:
+        value = F.get(splits, at + size - 1)
+        return F.when(value <= x if or_equal else value < x, at + size).otherwise(at)
+    return F.aggregate(steps, F.lit(0), step)
+
+
+def _piece(x: Column, splits: Column, x2: Column | None, splits2: Column | None, pieces: int) -> Column:
+    """A row's piece.  A value of ``x`` that holds several splitters stands at
+    the end of its piece and is cut into as many on the second column."""
+    below = count_below(splits, x, pieces)
+    if x2 is None:
+        return F.coalesce(below, F.lit(-1)).cast("bigint")
+    spans = count_below(splits, x, pieces, or_equal=True) - below
+    second = F.coalesce(1 + F.floor(count_below(splits2, x2, pieces) * spans / pieces), F.lit(1))   # NULLs come first
+    return F.coalesce(below * (pieces + 1) + F.when(spans > 1, second).otherwise(0), F.lit(-1)).cast("bigint")
 
 
 def ranged_numbers(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
-                   out: str = "rn", pieces: int | None = None) -> DataFrame:
+                   out: str = "rn", pieces: int | None = None, few_groups: bool = False) -> DataFrame:
     """Number rows 1..n per group (or over the whole frame when
     ``group_cols`` is empty; bigint) in ``pieces`` balanced tasks per group.
 
     ``order_cols`` must give a total order inside a group and start with a
     numeric, date, timestamp or text column (the range column; a text counts
-    by its first six bytes).  A group whose range column holds a single value
-    is cut on the second order column instead (of one of these types too).
+    by its first six bytes); the second may be one of these types too.
+    ``few_groups``: the caller knows that the groups are few (a broadcast of
+    their splitters is bounded); else joins are left to AQE.
     """
     pieces = pieces or _partitions(df)
     group_cols = list(group_cols)
@@ -97,34 +124,24 @@ def ranged_numbers(df: DataFrame, group_cols: Sequence[str], order_cols: Sequenc
     second = _second_rangeable(df, order_cols)
     x = _as_number(F.col(first), df.schema[first].dataType)
     x2 = _as_number(F.col(second), df.schema[second].dataType) if second else None
-    aggs = [F.min(x).alias("_lo"), F.max(x).alias("_hi")]
-    if second:
-        aggs += [F.min(x2).alias("_lo2"), F.max(x2).alias("_hi2")]
-    if group_cols:
-        bounds = F.broadcast(df.groupBy(*group_cols).agg(*aggs))
-        base = df.join(bounds, group_cols, "inner")
-        lo, hi = F.col("_lo"), F.col("_hi")
-        lo2, hi2 = (F.col("_lo2"), F.col("_hi2")) if second else (None, None)
-    else:
-        base = df
-        lo, hi = df.select(F.min(x)).scalar(), df.select(F.max(x)).scalar()
-        lo2, hi2 = ((df.select(F.min(x2)).scalar(), df.select(F.max(x2)).scalar()) if second
-                    else (None, None))
-    piece = _cut(x, lo, hi, pieces)
-    if second:
-        # NULLs sort first: they share piece -1 with the NULLs of x
-        piece = F.when(hi > lo, piece).otherwise(F.when(x2.isNotNull(), _cut(x2, lo2, hi2, pieces)))
-    piece = F.when(x.isNull(), F.lit(-1)).otherwise(F.coalesce(piece, F.lit(-1)))
-    cut = base.withColumn("_piece", piece)
+    cuts = {"_cuts": splitters(x, pieces), **({"_cuts2": splitters(x2, pieces)} if second else {})}
+    if not group_cols:       # one group, under a key that the optimiser can't fold away
+        every = df.withColumn("_all", F.pmod(F.xxhash64(first), F.lit(1)))
+        return ranged_numbers(every, ["_all"], order_cols, out, pieces, few_groups=True).drop("_all")
+    small = F.broadcast if few_groups else (lambda d: d)
+    base = df.join(small(df.groupBy(*group_cols).agg(*[c.alias(n) for n, c in cuts.items()])), group_cols, "inner")
+    splits = {n: F.col(n) for n in cuts}
+    cut = (base.withColumn("_piece", _piece(x, splits["_cuts"], x2, splits.get("_cuts2"), pieces))
+           .select(*df.columns, "_piece"))
     local_w = Window.partitionBy(*group_cols, "_piece").orderBy(*_cols(order_cols))
     numbered = cut.withColumn("_local", F.row_number().over(local_w))
     sizes = cut.groupBy(*group_cols, "_piece").agg(F.count(F.lit(1)).alias("_n"))
     before = (Window.partitionBy(*group_cols).orderBy("_piece")
               .rowsBetween(Window.unboundedPreceding, -1))
-    # at most (#groups x pieces) rows: bounded by construction
+    # about #groups x pieces rows
     offsets = sizes.select(*group_cols, "_piece",
                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return (numbered.join(F.broadcast(offsets), [*group_cols, "_piece"])
+    return (numbered.join(small(offsets), [*group_cols, "_piece"])
                     .select(*df.columns, (F.col("_local") + F.col("_off")).cast("bigint").alias(out)))
 
 
@@ -180,6 +197,6 @@ def number_rows(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
         return plain
     cold = (df.join(hot, group_cols, "left_anti")
               .select(*df.columns, F.row_number().over(window).cast("int").alias(out)))
-    warm = ranged_numbers(df.join(hot, group_cols, "left_semi"), group_cols, order_cols, out)
+    warm = ranged_numbers(df.join(hot, group_cols, "left_semi"), group_cols, order_cols, out, few_groups=True)
     warm = warm.withColumn(out, F.col(out).cast("int"))     # as row_number(); out of range raises
     return cold.unionByName(warm)

@@ -245,7 +245,8 @@ def export_audit(trail: DataFrame, path: str, fmt: str = "csv") -> None:
     """Write an audit trail: ``csv`` with a header and six columns, ``json``
     with empty fields left out (an empty migration type and a zero row count
     become NULL, which the JSON writer omits), or ``text`` as fixed-width
-    lines.  Executors write in parallel; nothing passes through the driver."""
+    lines, one an event (line ends inside a detail become spaces; in CSV they
+    stay, quoted: read it with ``multiLine``).  Executors write in parallel; nothing passes through the driver."""
     if fmt == "csv":
         trail.write.option("header", True).mode("error").csv(path)
     elif fmt == "json":
@@ -254,7 +255,7 @@ def export_audit(trail: DataFrame, path: str, fmt: str = "csv") -> None:
               .write.mode("error").json(path))
     elif fmt == "text":
         line = F.format_string("%-20s  %-22s  %-20s  %s", F.col("timestamp"), F.col("event_type"),
-                               F.col("branch"), F.col("detail"))
+                               F.col("branch"), F.regexp_replace("detail", r"\s*[\r\n]\s*", " "))
         trail.select(line.alias("value")).write.mode("error").text(path)
     else:
         raise ValueError(f"unknown audit format {fmt!r}")

@@ -6,15 +6,14 @@ hot keys the scan runs in parallel pieces instead (a two-level prefix
 scan):
 
 1. rows of a hot key are cut into ``pieces`` contiguous ranges of the order
-   column (equal width between the key's exact min and max);
+   column, at splitters read off a quantile sketch (pieces of like size);
 2. each piece is scanned locally (window over group + piece);
 3. one summary row per (group, piece) - its last non-null value and its
    sum - is scanned over the pieces to give each piece its carry-in;
 4. the result is the local value, else the carry-in (last), or local + carry
    (sum).
 
-Pieces are a pure function of the row and exact aggregates, so the result
-is exact and the same on every retry.
+Splitters only decide where pieces end; the result is exact for any.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .numbering import _as_number, _partitions
+from .numbering import _as_number, _partitions, count_below, splitters
 
 
 def _before(parts, order, extra=()):
@@ -63,14 +62,13 @@ def pieced_scan(df: DataFrame, parts: Sequence[str], order: str,
     parts, piece_cols = list(parts), list(piece_cols)
     pieces = pieces or _partitions(df)
     x = _as_number(F.col(order), df.schema[order].dataType)
-    bounds = F.broadcast(df.groupBy(*piece_cols).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi")))
-    width = (F.col("_hi") - F.col("_lo")) / pieces
-    piece = (F.when(width <= 0, F.lit(0))
-              .otherwise(F.least(F.floor((x - F.col("_lo")) / width), F.lit(pieces - 1))).cast("int"))
+    # piece_cols are the hot keys' columns: a bounded list, so its splitters are broadcast
+    bounds = F.broadcast(df.groupBy(*piece_cols).agg(splitters(x, pieces).alias("_cuts")))
+    piece = count_below(F.col("_cuts"), x, pieces)
     vals = {f"_v_{k}": v for k, v in lasts.items()}
     vals.update({f"_s_{k}": v for k, v in sums.items()})
     warm = (df.join(bounds, piece_cols).withColumn("_piece", F.coalesce(piece, F.lit(-1)))
-              .drop("_lo", "_hi").withColumns(vals))
+              .drop("_cuts").withColumns(vals))
 
     wl = _before(parts, order, ["_piece"])
     local = warm.withColumns({**{f"_l_{k}": F.last(f"_v_{k}", ignorenulls=True).over(wl) for k in lasts},

@@ -58,7 +58,7 @@ def audit_export(c: Ctx):
     path = c.scratch() + "/audit_csv"
     trail = R.audit_trail(c.branches, c.recorded, c.snapshots, limit=None)
     R.export_audit(trail, path, "csv")
-    return c.spark.read.schema(trail.schema).option("header", True).csv(path)
+    return c.spark.read.schema(trail.schema).option("header", True).option("multiLine", True).csv(path)
 
 
 @query("branch_list", hist("""

@@ -75,7 +75,7 @@ def test_constant_first_order_column_is_cut_on_the_second(spark):
     try:
         got = number_rows(df, ["g"], ["s", "id"], "rn")
         plan = got._jdf.queryExecution().analyzed().toString()
-        assert "_lo2" in plan
+        assert "_cuts2" in plan
         want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("s", "id")).cast("int"))
         assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
     finally:
