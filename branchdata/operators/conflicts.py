@@ -28,8 +28,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.changes import (ACTION_BITS, OBJECT_GUARD, TABLE_GUARD, auto_resolve, conflict_class,
+from ..functions.changes import (ACTION_BITS, ITEM, OBJECT_GUARD, TABLE_GUARD, auto_resolve, conflict_class,
                                  conflict_details, create_columns, with_actions, with_objects)
+from ..functions.text import trim_ws
 from .numbering import DETECT, collect_hot, number_rows
 from .scan import pieced_scan, plain_scan
 
@@ -347,3 +348,40 @@ def merge_seed_rows(branches: DataFrame, recorded: DataFrame) -> DataFrame:
                         F.col("name").alias("from_branch")))
     first = F.min_by("from_branch", F.struct("late", "applied_at", "migration_id", "from_branch"))
     return own.unionByName(incoming).groupBy(*key).agg(first.alias("from_branch"))
+
+
+VALUE_TUPLE = (r"\(((?:[^()']+|'[^']*(?:''[^']*)*'|\((?:[^()']+|'[^']*(?:''[^']*)*'|\([^()]*\))*\))*)\)")
+INSERT_COLUMNS = r"(?is)\bINSERT\s+INTO\s+[\w.\"]+\s*\(([^)]*)\)\s*VALUES"
+
+
+def seed_tuples(recorded: DataFrame) -> DataFrame:
+    """The rows that seed changes insert, with all their values as written:
+    branch_id, table_name, columns (empty: the table's own order), row_values,
+    row_no (within the change), applied_at, migration_id.  A seed change of
+    another form gives one row without values, so that it is seen."""
+    sql = F.col("sql_text")
+    table = F.regexp_replace(F.lower(F.translate(F.regexp_extract(sql, INSERT_VALUES, 1), '"', "")), r"^.*\.", "")
+    names = F.regexp_extract_all(F.lower(F.regexp_extract(sql, INSERT_COLUMNS, 1)), F.lit(r"\w+"), F.lit(0))
+    tuples = F.regexp_extract_all(F.regexp_extract(sql, INSERT_VALUES, 2), F.lit(VALUE_TUPLE), F.lit(1))
+    return (recorded.filter(F.col("type") == "seed")
+            .select("branch_id", F.nullif(table, F.lit("")).alias("table_name"), names.alias("columns"),
+                    F.posexplode_outer(tuples).alias("row_no", "_tuple"), "applied_at", "migration_id")
+            .withColumn("row_values", F.transform(F.regexp_extract_all("_tuple", F.lit(ITEM), F.lit(0)), trim_ws)).drop("_tuple"))
+
+
+def merge_seed_values(branches: DataFrame, recorded: DataFrame) -> DataFrame:
+    """The rows that the parents' tables gain when every open branch merges
+    its seed rows: whole rows, of each key (the first value) that the parent
+    lacks the first by applied_at, migration_id, row_no.
+    (parent_id, table_name, row_key, columns, row_values, from_branch)."""
+    rows = seed_tuples(recorded).withColumn("row_key", F.regexp_replace(F.get("row_values", F.lit(0)), "^'|'$", ""))
+    key = ["parent_id", "table_name", "row_key"]
+    parents = branches.select(F.col("name").alias("parent_branch"), F.col("branch_id").alias("parent_id"))
+    links = (branches.filter((F.col("status") == "active") & (F.col("branch_id") != 0))
+             .select("branch_id", "name", "parent_branch").join(parents, "parent_branch").drop("parent_branch"))
+    held = rows.select(F.col("branch_id").alias("parent_id"), "table_name", "row_key").distinct()
+    first = F.min_by(F.struct("columns", "row_values", F.col("name").alias("from_branch")),
+                     F.struct("applied_at", "migration_id", "row_no"))
+    incoming = rows.join(links, "branch_id").groupBy(*key).agg(first.alias("r"))
+    return (incoming.join(held.withColumnsRenamed({k: f"_{k}" for k in key}),
+                          [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key], "left_anti").select(*key, "r.*"))

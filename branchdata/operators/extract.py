@@ -19,9 +19,11 @@ from pyspark.sql import types as T
 from ..constants import CHUNK_ROWS, DEFAULT_CONFIG_LIMIT, SMALL_TABLE_ROWS
 from ..sources.store import BranchStore
 from ..sources.tables import Source
+from .limits import first_rows
 from .masking import mask_frame
 from .numbering import ranged_numbers
 
+LARGE_LIMIT = 100_000    # above it, the rows of a limit aren't brought into one task
 
 _VIEW = threading.Lock()
 
@@ -54,6 +56,8 @@ def extract(df: DataFrame, spec: ExtractSpec, masks: dict | None = None) -> Data
     if spec.columns:
         out = out.select(*spec.columns)
     if spec.limit is not None:
+        if spec.key and spec.limit > LARGE_LIMIT and set(spec.key) <= set(out.columns):
+            return first_rows(out, spec.key, spec.limit)
         if spec.key:
             out = out.orderBy(*[F.col(k).asc_nulls_last() for k in spec.key])
         out = out.limit(spec.limit)
@@ -183,17 +187,13 @@ def snapshot_all(src: Source, store: BranchStore, branch: str, specs: Sequence[E
     return results
 
 
-def copy_branch(store: BranchStore, source: str, target: str, parallel_tables: int = 3) -> list[str]:
-    """Copy every ready table of ``source`` into a new version of ``target``
-    (read -> write per table, a bounded pool of concurrent jobs)."""
-    paths = store.ready_versions(source)
-
-    def copy(table: str) -> str:
-        store.write(store.open(paths[table]), target, table)
-        return table
-
-    with ThreadPoolExecutor(max_workers=max(1, parallel_tables)) as pool:
-        return sorted(pool.map(copy, sorted(paths)))
+def copy_branch(store: BranchStore, source: str, target: str) -> list[str]:
+    """Give ``target`` every ready table of ``source``: an event that points
+    at the source's version.  Versions never change, so nothing is copied."""
+    versions = store.ready().filter(F.col("branch") == source).collect()      # one row per table of the branch
+    for v in versions:
+        store.publish(target, v.table_name, v.version, "ready", v.rows_loaded, path=store.version_path(v))
+    return sorted(v.table_name for v in versions)
 
 
 def write_shapes(store: BranchStore, branch: str, frames: dict, parallel_tables: int = 3) -> None:

@@ -7,13 +7,13 @@ or goes through ``number_rows`` (balanced numbering for hot branches).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import MERGEABLE_TYPES, SEED_MARKER
 from ..functions.changes import change_description, change_type, merge_label
-from ..functions.text import checksum16, hex_prefix16, trim_ws
+from ..functions.text import checksum16, trim_ws
 from .numbering import number_rows
 
 CHANGE_STRUCT = T.StructType([
@@ -27,11 +27,15 @@ CHANGE_STRUCT = T.StructType([
 
 def classify(changes: DataFrame, sql_col: str = "sql_text", marker: str = SEED_MARKER,
              extended: bool = False) -> DataFrame:
-    """Add type, description and checksum of each change."""
+    """Add type, description and checksum of each change; a type or
+    description that a change brings along stays."""
     s = F.col(sql_col)
+
+    def given(name: str, found: Column) -> Column:
+        return F.coalesce(F.nullif(F.col(name), F.lit("")), found) if name in changes.columns else found
     return changes.withColumns({
-        "type": change_type(s, marker, extended),
-        "description": change_description(s),
+        "type": given("type", change_type(s, marker, extended)),
+        "description": given("description", change_description(s)),
         "checksum": checksum16(s),
     })
 
@@ -86,8 +90,11 @@ def _from_last():
 
 
 def without_last_n(changes: DataFrame, n: int) -> DataFrame:
-    """All changes except each branch's last ``n``."""
-    return changes.withColumn("_rank", _from_last()).filter(F.col("_rank") > n).drop("_rank")
+    """All changes except each branch's last ``n``: the few last ones are
+    found first (n a branch and partition before the shuffle) and joined away
+    by branch and sequence, so a branch of many changes stays spread."""
+    gone = last_n(changes, n).select("branch_id", "sequence")
+    return changes.join(gone, ["branch_id", "sequence"], "left_anti").select(*changes.columns)
 
 
 def tags(branches: DataFrame, changes: DataFrame) -> DataFrame:
@@ -110,7 +117,7 @@ def at_tag(changes: DataFrame, tag_rows: DataFrame) -> DataFrame:
 def clone(changes: DataFrame, sources: DataFrame, suffix: str = "-copy") -> DataFrame:
     """Copy the history of each source branch (branch_id, name) to a new
     branch ``name + suffix``: renumbered from 1 in sequence order, described
-    as cloned, fingerprinted with the hex of the first 8 bytes, and with
+    as cloned, fingerprinted like any change, and with
     branched_at_seq = the number of copied changes."""
     src = sources.select("branch_id", "name")
     copied = changes.join(src, "branch_id")
@@ -120,7 +127,7 @@ def clone(changes: DataFrame, sources: DataFrame, suffix: str = "-copy") -> Data
                  .select(F.concat("name", F.lit(suffix)).alias("new_branch"),
                          F.col("new_sequence").alias("sequence"), "sql_text", "type",
                          F.concat(F.lit("cloned from "), F.col("name")).alias("description"),
-                         hex_prefix16("sql_text").alias("checksum"), "branched_at_seq"))
+                         checksum16("sql_text").alias("checksum"), "branched_at_seq"))
 
 
 # --- stashes -----------------------------------------------------------------

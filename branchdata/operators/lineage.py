@@ -24,7 +24,6 @@ from .evolve import spark_type
 from .numbering import DETECT
 from .scan import balanced_scan
 
-MOST_ROUNDS = 40
 SEED = -1                # position of the seed catalog's columns
 
 #: a column definition's type ends where one of these begins
@@ -115,7 +114,7 @@ def _origins(renames: DataFrame) -> DataFrame:
     key = ["branch_id", "table_name"]
     known = renames.select(*key, "column_name", "position", F.col("old_name").alias("o_name"), F.col("old_at").alias("o_at"),
                            F.lit(1).cast("long").alias("renames")).checkpoint()
-    for _ in range(MOST_ROUNDS):
+    for _ in range(known.count().bit_length() + 1):
         before = known.select(*key, F.col("column_name").alias("o_name"), F.col("position").alias("o_at"),
                               F.col("o_name").alias("o_name2"), F.col("o_at").alias("o_at2"), F.col("renames").alias("more"))
         further = known.join(before, [*key, "o_name", "o_at"], "left")

@@ -22,7 +22,6 @@ from .conflicts import check
 from .numbering import DETECT, number_rows
 
 STRATEGIES = ("ours", "theirs", None)
-MOST_ROUNDS = 40          # of pointer jumping: paths of up to 2**40 branches
 
 
 def tree_levels(links: DataFrame) -> DataFrame:
@@ -32,7 +31,7 @@ def tree_levels(links: DataFrame) -> DataFrame:
     joins, however the branches are spread.  A circle raises."""
     known = links.select("branch_id", F.col("parent_id").alias("up"),
                          F.col("parent_id").isNotNull().cast("int").alias("level")).checkpoint()
-    for _ in range(MOST_ROUNDS):
+    for _ in range(known.count().bit_length() + 1):
         if known.where("up IS NOT NULL").isEmpty():
             return known.select("branch_id", "level")
         above = known.select(F.col("branch_id").alias("up"), F.col("up").alias("up2"), F.col("level").alias("more"))

@@ -7,6 +7,7 @@ the branch table is joined to, never exploded.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -278,3 +279,25 @@ def change_log(recorded: DataFrame, branches: DataFrame, change_type: str | None
     return (top.join(b, "branch_id")
             .select("sequence", "branch", "type", F.coalesce("description", F.lit("")).alias("description"),
                     _fmt("applied_at").alias("applied_at"), merge_label("type").alias("on_merge")))
+
+
+def branch_json(branches: DataFrame, recorded: DataFrame, part_size: int = 1000) -> DataFrame:
+    """The document of each branch that isn't deleted, as JSON in parts of at
+    most ``part_size`` changes: (branch_id, part, document)."""
+    item = F.struct(F.col("sequence").cast("int").alias("sequence"), "type", "description", "checksum")
+    parts = (recorded.groupBy("branch_id", ((F.col("sequence") - 1) / part_size).cast("int").alias("part"))
+             .agg(F.array_sort(F.collect_list(item)).alias("migrations")))
+    docs = (branches.filter(F.col("status") != "deleted").select("branch_id", "name", "parent_branch", "status")
+            .join(parts, "branch_id", "left"))
+    none = F.array().cast("array<struct<sequence:int,type:string,description:string,checksum:string>>")
+    return docs.select("branch_id", F.coalesce("part", F.lit(0)).alias("part"),
+                       F.to_json(F.struct("name", "parent_branch", "status", F.coalesce("migrations", none).alias("migrations")))
+                       .alias("document"))
+
+
+def without_purged(tables: Mapping[str, DataFrame], branches: DataFrame) -> DataFrame:
+    """The rows of the history tables, tags included, that are left once
+    deleted branches are purged: (table_name, branch_id, rows_left)."""
+    left = [purged(df.select("branch_id"), branches).groupBy("branch_id").agg(F.count(F.lit(1)).alias("rows_left"))
+            .select(F.lit(name).alias("table_name"), "branch_id", "rows_left") for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, left)

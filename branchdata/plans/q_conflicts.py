@@ -14,7 +14,7 @@ from ..sources import history as H
 from ..sources.tables import DRIVER_TABLES
 from . import settings as S
 from .registry import Ctx, query
-from .sqlparts import actions_cte, body_expr, create_cols_expr, hist, object_exprs
+from .sqlparts import ITEM, actions_cte, body_expr, create_cols_expr, hist, object_exprs, trim
 
 
 def _base_catalog(spark):
@@ -381,3 +381,31 @@ SELECT parent_id, table_name, row_key, from_branch FROM (
 def merge_seed_rows(c: Ctx):
     """Seed rows of every open branch merged into its parent's table."""
     return CF.merge_seed_rows(c.branches, c.recorded)
+
+
+_COLUMNS = CF.INSERT_COLUMNS.replace("'", "''")
+_TUPLE = CF.VALUE_TUPLE.replace("'", "''")
+
+
+@query("merge_seed_values", hist("""
+SELECT parent_id, table_name, row_key, array_to_string(columns, ',') AS columns, array_to_string(vals, ' | ') AS row_values, from_branch FROM (
+  SELECT l.parent_id, s.table_name, s.row_key, s.columns, s.vals, l.name AS from_branch,
+    row_number() OVER (PARTITION BY l.parent_id, s.table_name, s.row_key ORDER BY s.applied_at, s.migration_id, s.i) AS rn
+  FROM seeds s JOIN links l ON l.branch_id = s.branch_id
+  WHERE NOT EXISTS (SELECT 1 FROM seeds o WHERE o.branch_id = l.parent_id AND o.table_name IS NOT DISTINCT FROM s.table_name
+                    AND o.row_key IS NOT DISTINCT FROM s.row_key)) WHERE rn = 1""",
+    f"""seed_lists AS (SELECT branch_id, applied_at, migration_id,
+  nullif(regexp_replace(lower(replace(regexp_extract(sql_text, '{_INSERT}', 1), '"', '')), '^.*\\.', ''), '') AS table_name,
+  regexp_extract_all(lower(regexp_extract(sql_text, '{_COLUMNS}', 1)), '\\w+') AS columns,
+  regexp_extract_all(regexp_extract(sql_text, '{_INSERT}', 2), '{_TUPLE}', 1) AS tuples
+  FROM v_changes WHERE type = 'seed')""",
+    f"""seed_rows AS (SELECT * EXCLUDE (tuples), tuples[i] AS tuple FROM seed_lists, unnest(range(1, len(tuples) + 1)) AS r(i)
+  UNION ALL SELECT * EXCLUDE (tuples), NULL, NULL FROM seed_lists WHERE len(tuples) = 0)""",
+    f"""seeds AS (SELECT *, regexp_replace(vals[1], '^''|''$', '', 'g') AS row_key FROM (
+  SELECT *, list_transform(regexp_extract_all(tuple, '{ITEM.replace("'", "''")}'), lambda x: {trim('x')}) AS vals FROM seed_rows))""",
+    """links AS (SELECT b.branch_id, b.name, p.branch_id AS parent_id FROM v_branches b
+  JOIN v_branches p ON p.name = b.parent_branch WHERE b.status = 'active' AND b.branch_id != 0)"""))
+def merge_seed_values(c: Ctx):
+    """The whole rows that the parents' tables gain from their branches' seed changes."""
+    return (CF.merge_seed_values(c.branches, c.recorded)
+            .withColumns({"columns": F.array_join("columns", ","), "row_values": F.array_join("row_values", " | ")}))

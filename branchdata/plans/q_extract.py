@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import casts as C
 from ..operators import extract as X
+from ..operators import limits as L
 from ..operators import masking as M
 from ..operators import quality as Q
 from ..operators.catalog import catalog_of
@@ -135,6 +140,27 @@ def extract_limited(c: Ctx):
     return X.extract(c.t("lineitem"), spec)
 
 
+@query("extract_half", f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate FROM lineitem
+ORDER BY {", ".join(_LI_ORDER)} LIMIT (SELECT count(*) // 2 FROM lineitem)
+""")
+def extract_half(c: Ctx):
+    """The first half of lineitem in key order: no task holds the limit's rows."""
+    rows = c.t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    return L.first_rows(rows, _LI_ORDER, rows.count() // 2)
+
+
+@query("extract_query", """
+SELECT o_orderkey, o_custkey, '#' || right(o_orderstatus, 4) AS status, o_totalprice * 2 AS doubled, '***' AS o_orderpriority
+FROM orders WHERE o_totalprice > 100000
+""")
+def extract_query(c: Ctx):
+    """An extraction written as query text, run over the masked table."""
+    text = ("SELECT o_orderkey, o_custkey, o_orderstatus AS status, o_totalprice * 2 AS doubled, o_orderpriority "
+            "FROM orders WHERE o_totalprice > 100000")
+    return X.extract_query(c.src, "orders", text, S.MASK_RULES, id_col="o_orderkey")
+
+
 @query("keyset_page", """
 SELECT conv_id, turn, role FROM conversations
 WHERE (conv_id, turn) > (20, 2) ORDER BY conv_id, turn LIMIT 100
@@ -192,13 +218,16 @@ def snapshot_all(c: Ctx):
 
 @query("clone_branch", _LOAD_ALL_SQL)
 def clone_branch(c: Ctx):
-    """Copy the ready tables of one branch into a new branch (read -> write
-    per table), then report the new branch's stored tables."""
+    """Give a new branch the ready tables of another (pointers at their
+    versions), then report the new branch's tables as read back."""
     store = BranchStore(c.spark, c.scratch())
     X.snapshot_all(c.src, store, "branch_a", S.LOAD_SPECS, S.MASK_RULES, parallel_tables=3)
-    X.copy_branch(store, "branch_a", "branch_b", parallel_tables=3)
-    return (store.latest().filter(F.col("branch") == "branch_b")
-            .select("table_name", "status", "rows_loaded"))
+    tables = X.copy_branch(store, "branch_a", "branch_b")
+    counts = reduce(DataFrame.unionByName, [
+        store.read("branch_b", t).agg(F.count(F.lit(1)).alias("rows_loaded")).select(F.lit(t).alias("table_name"), "rows_loaded")
+        for t in tables])
+    state = store.latest().filter(F.col("branch") == "branch_b").select("table_name", "status")
+    return state.join(counts, "table_name").select("table_name", "status", "rows_loaded")
 
 
 # ---------------------------------------------------------------- masking
@@ -353,3 +382,62 @@ def check_masked_unique(c: Ctx):
     a = Q.masked_uniqueness(by_id, "c_name").select(F.lit("row_id").alias("mask_kind"), "*")
     b = Q.masked_uniqueness(static, "c_name").select(F.lit("static").alias("mask_kind"), "*")
     return a.unionByName(b)
+
+
+# ---------------------------------------------------------------- type changes
+
+_PROFILED = {
+    "region": {"r_regionkey": "int", "r_name": "string"},
+    "nation": {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"},
+    "customer": {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"},
+    "orders": {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double",
+               "o_orderpriority": "string"},
+    "part": {"p_partkey": "bigint", "p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "int",
+             "p_retailprice": "double"},
+    "lineitem": {"l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double",
+                 "l_extendedprice": "double", "l_discount": "double", "l_tax": "double", "l_returnflag": "string",
+                 "l_linestatus": "string"},
+}
+_TARGETS = ("smallint", "int", "bigint")
+
+
+def _profile_sql() -> str:
+    """Integer targets only: there both engines' casts agree (a fraction is a changed value)."""
+    duck = {"smallint": "SMALLINT", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
+    low = {"smallint": -2 ** 15, "int": -2 ** 31, "bigint": -2 ** 63}
+    out = []
+    for t, cols in _PROFILED.items():
+        for c, kind in cols.items():
+            for to in _TARGETS:
+                if kind == to:
+                    continue
+                if kind == "double":
+                    bad = f"{c} IS NOT NULL AND NOT (trunc({c}) >= {low[to]} AND trunc({c}) < {-low[to]})"
+                    back = f"trunc({c})"
+                else:
+                    bad = f"{c} IS NOT NULL AND TRY_CAST({c} AS {duck[to]}) IS NULL"
+                    back = f"CAST(TRY_CAST({c} AS {duck[to]}) AS {duck[kind]})"
+                out.append(f"SELECT '{t}' AS table_name, '{c}' AS column_name, '{kind}' AS data_type, '{to}' AS target_type, "
+                           f"count({c}) AS n_values, count(*) FILTER (WHERE {bad}) AS failed, "
+                           f"count(*) FILTER (WHERE {c} IS NOT NULL AND NOT ({bad}) AND {back} IS DISTINCT FROM {c}) AS changed FROM {t}")
+    return " UNION ALL ".join(out)
+
+
+@query("cast_profile", _profile_sql())
+def cast_profile(c: Ctx):
+    """What each integer type would do to the values of each column."""
+    return C.cast_profile({t: c.t(t).select(*cols) for t, cols in _PROFILED.items()}, _TARGETS)
+
+
+@query("type_mismatch", f"""SELECT table_name, column_name, target_type, CASE WHEN failed > 0 THEN 'type_mismatch' END AS conflict_type,
+  failed, changed FROM ({_profile_sql()})""")
+def type_mismatch(c: Ctx):
+    """The verdict on an ALTER TYPE of every column to every integer type, by what is stored."""
+    from ..functions.changes import with_objects
+    tables = {t: c.t(t).select(*cols) for t, cols in _PROFILED.items()}
+    texts = [(f"ALTER TABLE {t} ALTER COLUMN {col} TYPE {to}",) for t, cols in _PROFILED.items() for col, kind in cols.items()
+             for to in _TARGETS if kind != to]
+    actions = (with_objects(c.spark.createDataFrame(texts, "sql_text string"))
+               .select("table_name", "column_name", F.col("detail").alias("target_type")))
+    return C.type_verdicts(actions, C.cast_profile(tables, _TARGETS)).select(
+        "table_name", "column_name", "target_type", "conflict_type", "failed", "changed")

@@ -175,7 +175,7 @@ def changes_at_tag(c: Ctx):
 @query("clone_history", hist("""
 SELECT b.name || '-copy' AS new_branch,
   CAST(row_number() OVER (PARTITION BY m.branch_id ORDER BY m.sequence) AS INT) AS sequence,
-  m.sql_text, m.type, 'cloned from ' || b.name AS description, lower(substr(hex(m.sql_text), 1, 16)) AS checksum,
+  m.sql_text, m.type, 'cloned from ' || b.name AS description, m.checksum,
   CAST(count(*) OVER (PARTITION BY m.branch_id) AS INT) AS branched_at_seq
 FROM v_changes m JOIN v_branches b ON b.branch_id = m.branch_id WHERE b.status = 'merged'"""))
 def clone_history(c: Ctx):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as FT
+from ..operators import history as HI
 from ..operators import reports as R
 from ..sources import history as H
 from ..sources.store import BranchStore
@@ -235,3 +236,30 @@ def purge_branches(c: Ctx):
     anti-join each table with the purge list; rows before / purged."""
     return R.purge(c.branches, {"branches": c.branches, "migrations": c.changes,
                                 "snapshots": c.snapshots, "stashes": c.stashes})
+
+
+@query("branch_json", hist("""
+SELECT b.branch_id, coalesce(m.part, 0) AS part,
+  CAST(to_json({name: b.name, parent_branch: b.parent_branch, status: b.status, migrations: coalesce(m.items, [])}) AS VARCHAR) AS document
+FROM v_branches b LEFT JOIN (
+  SELECT branch_id, CAST((sequence - 1) // 1000 AS INT) AS part,
+    list({sequence: sequence, type: type, description: description, checksum: checksum} ORDER BY sequence) AS items
+  FROM v_changes GROUP BY 1, 2) m ON m.branch_id = b.branch_id
+WHERE b.status != 'deleted'"""))
+def branch_json(c: Ctx):
+    """The branch documents themselves, in parts."""
+    return R.branch_json(c.branches, c.recorded)
+
+
+@query("purged_history", hist("""
+SELECT table_name, branch_id, count(*) AS rows_left FROM (
+  SELECT 'migrations' AS table_name, branch_id FROM v_migrations
+  UNION ALL SELECT 'snapshots', branch_id FROM v_snapshots
+  UNION ALL SELECT 'stashes', branch_id FROM v_stashes
+  UNION ALL SELECT 'tags', branch_id FROM v_branches
+  UNION ALL SELECT 'tags', branch_id FROM v_branches)
+WHERE branch_id NOT IN (SELECT branch_id FROM purge) GROUP BY 1, 2""", _PURGE))
+def purged_history(c: Ctx):
+    """What every history table, tags included, keeps once deleted branches are purged."""
+    return R.without_purged({"migrations": c.changes, "snapshots": c.snapshots, "stashes": c.stashes,
+                             "tags": HI.tags(c.branches, c.changes)}, c.branches)

@@ -30,6 +30,7 @@ EVENT_SCHEMA = T.StructType([
     T.StructField("at", T.TimestampType()),
     T.StructField("seq", T.LongType()),
     T.StructField("error", T.StringType()),
+    T.StructField("path", T.StringType()),       # of a version kept by another branch
 ])
 
 
@@ -60,14 +61,14 @@ class BranchStore:
         return path, rows
 
     def publish(self, branch: str, table: str, version: str | None, status: str,
-                rows: int = 0, error: str | None = None) -> None:
+                rows: int = 0, error: str | None = None, path: str | None = None) -> None:
         """Append one event to the branch's commit log: one small JSON file
         per event, written by the driver and renamed into place (like a
         table-format transaction log), so concurrent loads never share a
         file and readers never see a partial entry."""
         event = {"branch": branch, "table_name": table, "version": version, "status": status,
                  "rows_loaded": int(rows), "at": datetime.now(timezone.utc).isoformat(),
-                 "seq": time.time_ns(), "error": error}
+                 "seq": time.time_ns(), "error": error, "path": path}
         name = f"{event['seq']:020d}-{uuid.uuid4().hex[:8]}.json"
         fs.write_text_atomically(self.spark, fs.join(self.events_path(), name), json.dumps(event) + "\n")
 
@@ -87,21 +88,23 @@ class BranchStore:
         """Latest *ready* version per (branch, table): what readers see.  A
         reload that runs or has failed leaves the version before it in place."""
         return (self.events().filter(F.col("status") == "ready").groupBy("branch", "table_name")
-                .agg(F.max_by("version", "seq").alias("version")))
+                .agg(F.max_by(F.struct("version", "path", "rows_loaded"), "seq").alias("s"))
+                .select("branch", "table_name", "s.*"))
+
+    def version_path(self, ready) -> str:
+        """Where a row of ``ready`` keeps its files."""
+        return ready.path or fs.join(self.table_dir(ready.branch, ready.table_name), f"v={ready.version}")
 
     def ready_versions(self, branch: str) -> dict[str, str]:
         """table -> path of its latest ready version (one small job; one row
         per table of the branch)."""
-        rows = (self.ready().filter(F.col("branch") == branch)
-                .select("table_name", "version").collect())
-        return {r.table_name: fs.join(self.table_dir(branch, r.table_name), f"v={r.version}") for r in rows}
+        return {r.table_name: self.version_path(r) for r in self.ready().filter(F.col("branch") == branch).collect()}
 
     def read(self, branch: str, table: str) -> DataFrame:
-        st = (self.ready().filter((F.col("branch") == branch) & (F.col("table_name") == table))
-              .select("version").collect())
+        st = self.ready().filter((F.col("branch") == branch) & (F.col("table_name") == table)).collect()
         if not st:
             raise FileNotFoundError(f"no ready version of {branch}/{table}")
-        return self.open(fs.join(self.table_dir(branch, table), f"v={st[0][0]}"))
+        return self.open(self.version_path(st[0]))
 
     def open(self, path: str) -> DataFrame:
         """The rows of a version, whose files may lie in folders of batches."""
