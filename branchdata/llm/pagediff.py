@@ -64,6 +64,11 @@ dialog form""".split())
 HARD = frozenset("""nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer contentinfo sidebar aside
 complementary related recommended comment comments commentlist respond disqus replies""".split())
 
+# Words that say that a token names a block of its kind ("comment-list", "newsletter-box").
+BLOCKS = frozenset("""list body area thread user users section box wrapper wrap container block panel inner holder unit
+item items entry""".split())
+MOST = 0.8                       # of a page's text: such a wrapper is the page's layout
+
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*|[^>]*)>""", re.S)
 _MARK = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
@@ -79,7 +84,7 @@ def _marks(attributes: str, article: bool) -> tuple[int, bool]:
         for name in (m[1] or m[2] or m[3] or "").split():
             words = {w.lower() for w in _WORD.findall(name)}
             known = words & WORDS - ({"header"} if article else set())
-            if known and known == words:
+            if known and words <= known | BLOCKS:
                 out = max(out, FIRM if words & HARD else SOFT)
             elif known:
                 doubt = True
@@ -88,17 +93,26 @@ def _marks(attributes: str, article: bool) -> tuple[int, bool]:
 
 def lines(page: str) -> list[tuple[str, str]]:
     """(kind, text) of a page's lines: ``out`` (left out), ``main`` (in an
-    article), ``doubt`` (in a doubtful block of one) or ``open``."""
-    found: list[tuple[str, str]] = []
+    article), ``doubt`` (in a doubtful block of one) or ``open``.
+
+    Where no line is in an article, a form or marked block that holds ``MOST``
+    of the page's text is the page's layout and leaves nothing out."""
+    found: list[tuple[str, str, tuple[int, ...]]] = []
     parts: list[str] = []
-    stack: list[tuple[str, int, bool, bool]] = []     # open elements: name, left out, in an article, in doubt
+    # open elements: name, the reasons they are left out for (their numbers), how far, in an article, in doubt
+    stack: list[tuple[str, tuple[int, ...], int, bool, bool]] = []
+    layouts: dict[int, int] = {}                      # reasons that may be the layout: their text so far
+    reasons = 0
 
     def close() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            _, out, article, doubt = stack[-1] if stack else ("", KEPT, False, False)
-            found.append(("out" if out else "open" if not article else "doubt" if doubt else "main", text))
+            _, why, _, article, doubt = stack[-1] if stack else ("", (), KEPT, False, False)
+            found.append(("open" if not article else "doubt" if doubt else "main", text, why))
+            for r in why:
+                if r in layouts:
+                    layouts[r] += len(text)
 
     at, n = 0, len(page)
     while at < n:
@@ -131,21 +145,32 @@ def lines(page: str) -> list[tuple[str, str]]:
                 continue
         if name in ("p", "li", "tr", "td", "th", "dt", "dd") and stack and stack[-1][0] == name:
             stack.pop()                               # these close their like
-        _, out, article, doubt = stack[-1] if stack else ("", KEPT, False, False)
+        _, why, out, article, doubt = stack[-1] if stack else ("", (), KEPT, False, False)
         if name in ("article", "main"):
             if not article:
                 doubt = False                         # a page's layout puts no article in doubt
             if out == SOFT:
-                out, doubt = KEPT, True
+                why, out, doubt = (), KEPT, True
         title = name == "header" and article          # an article's own header holds its title
         if name in LEFT_OUT and not title:
-            out = max(out, FIRM if name in HARD else SOFT)
+            reasons += 1
+            why, out = (*why, reasons), max(out, FIRM if name in HARD else SOFT)
+            if name not in HARD:
+                layouts[reasons] = 0
         if name not in ("html", "body", "main"):
             marked, doubtful = _marks(m[3], article)
-            out, doubt = max(out, marked), doubt or doubtful
-        stack.append((name, out, article or name in ("article", "main"), doubt))
+            doubt = doubt or doubtful
+            if marked:
+                reasons += 1
+                why, out = (*why, reasons), max(out, marked)
+                layouts[reasons] = 0
+        stack.append((name, why, out, article or name in ("article", "main"), doubt))
     close()
-    return found
+    layout: set[int] = set()
+    if not any(kind != "open" and not why for kind, _, why in found):
+        total = sum(len(text) for _, text, _ in found)
+        layout = {r for r, size in layouts.items() if size >= MOST * total}
+    return [("out" if any(r not in layout for r in why) else kind, text) for kind, text, why in found]
 
 
 def place(url: str | None) -> tuple[str, str]:

@@ -330,3 +330,35 @@ def test_simhash_stage_keeps_a_row_of_each_group(spark):
     for parts in (1, 7):
         docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(parts)
         assert rows_of(cp.simhash_dedup(spark, docs, SF001)) == sorted(least.values(), key=repr)
+
+
+# -- wrappers, comments, map columns ---------------------------------------
+@pytest.mark.parametrize("page,want", [
+    ('<body><form id="aspnetForm"><div><h1>T</h1><p>Body of it</p></div></form></body>', "T\n\nBody of it"),
+    ('<body><div class="widget"><h1>T</h1><p>Body of it</p></div></body>', "T\n\nBody of it"),
+    ('<body><div class="widget"><h1>T</h1><p>Body of it, rather long</p><nav>Menu</nav></div><footer>F</footer></body>',
+     "T\n\nBody of it, rather long"),
+    ('<article><h1>T</h1><p>Body</p><ul class="comment-list"><li>me too</li></ul><div class="user-comments">so</div>'
+     '<div class="newsletter-box">Mail us</div></article>', "T\n\nBody"),
+    ('<div class="comments-area"><p>one</p></div><article><p>Body</p></article>', "Body"),
+    ('<form class="search-box"><p>Search it</p></form><div><p>Body text of the page, longer than the box</p></div>',
+     "Body text of the page, longer than the box"),
+    ('<div class="layout with-sidebar"><article><p>Body</p></article><div class="sidebar">Side</div></div>', "Body"),
+])
+def test_wrappers_and_comments(spark, page, want):
+    df = spark.createDataFrame([(1, "http://a.example.com/x", page)], "page_id long, url string, html string")
+    assert pagediff.main_text(df).first()["text"] == want
+
+
+def test_pipeline_stages_keep_maps_and_structs(spark):
+    from pyspark.sql import functions as F
+    import corpus_pipeline
+    docs = edge_docs(spark, extra=False).withColumns({
+        "m": F.create_map(F.lit("a"), F.col("doc_id")), "s": F.struct(F.array(F.col("doc_id")).alias("x"))})
+    docs = docs.unionByName(docs.where("doc_id = 9").withColumn("m", F.create_map(F.lit("b"), F.lit(1).cast("long"))))
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, SF001)
+        assert out.schema.simpleString() == docs.schema.simpleString(), name
+        assert out.count() > 0
+    kept = corpus_pipeline.simhash_dedup(spark, docs, SF001).collect()
+    assert len({(r.doc_id, r.text or "") for r in kept}) == len(kept)
