@@ -9,8 +9,8 @@ into words and white space at once, and each distinct word is looked at once:
 a plain one is the sum of its letter, digit and sign stretches, whose merges
 are asked of the library's model, and bounded tables keep the counts.  A text
 with other characters (other white space, special strings) goes the plain way,
-part by part through the library, and so do all texts where the file's
-pre-tokenizer isn't the one that this cut stands for.
+part by part through the library; where the file's pre-tokenizer isn't the
+one that this cut stands for, the library encodes every text whole.
 
 Huge texts (over ``chunk`` code points).  Overlapping chunks are encoded by
 the library with offsets and word numbers.  A chunk's encoding is trusted up
@@ -115,7 +115,8 @@ class Counter:
     def batch(self, texts: pa.Array) -> np.ndarray:
         """Token counts of ordinary texts (nulls count as empty)."""
         if not self.known:
-            return np.array([self.ordinary(t or "") for t in texts.to_pylist()], np.int64)
+            whole = self.tokenizer.encode
+            return np.array([len(whole(t or "", add_special_tokens=False).ids) for t in texts.to_pylist()], np.int64)
         if len(self.spaces) > self.kept:
             self.spaces = {}
         spread, inserted = detach_stops(texts)

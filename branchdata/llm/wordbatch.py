@@ -6,6 +6,7 @@ Python sees each distinct word of a batch once.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from itertools import repeat
 from typing import Any
@@ -97,12 +98,24 @@ def detach_stops(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
             stop + np.arange(len(stop)))
 
 
+# The settings of the vocabulary file that words stand for (fixed).
+NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+     "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
 class BatchIds(WordIds):
     """Token ids of a batch of texts by the lower-casing word BPE, equal to
-    encoding every whole text with the library (see ``wordids``)."""
+    encoding every whole text with the library (see ``wordids``).  With a file
+    of other settings every text goes to the library as it is."""
 
     def __init__(self, path: str, kept: int = KEPT) -> None:
         super().__init__(path, kept)
+        settings = json.loads(self.tokenizer.to_str())
+        self.by_words = settings["normalizer"] == NORMALIZER and settings["pre_tokenizer"] == PRE_TOKENIZER
         self.known = Memo(self._key, kept)
 
     def _key(self, key: str) -> bytes | None:
@@ -127,6 +140,9 @@ class BatchIds(WordIds):
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(bounds, ids): the ids of text i are ids[bounds[i]:bounds[i + 1]]."""
         texts = pc.fill_null(texts, "")
+        if not self.by_words:
+            own = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts.to_pylist()]
+            return np.cumsum([0, *map(len, own)]), np.array(sum(own, []), "<u4")
         bounds, words = split_words(detach_stops(texts)[0])
         table = words.dictionary_encode()
         codes = table.indices.to_numpy(zero_copy_only=False)

@@ -266,6 +266,20 @@ def test_batch_ids_equal_the_library():
         assert ids[bounds[i]:bounds[i + 1]].tolist() == library.encode(t or "", add_special_tokens=False).ids
 
 
+def test_other_tokenizers_go_to_the_library():
+    """Words and stops are cut only for the file that they stand for."""
+    from tokenizers import Tokenizer
+    from branchdata.llm import tokencount
+    texts = ["One, two.  three\n\nfour's", "", "a b", "x\ty."]
+    word, byte = (queries.tokenizer_path(f) for f in (queries.WORD_TOKENIZER, queries.BYTE_TOKENIZER))
+    assert wordbatch.BatchIds(word).by_words and tokencount.Counter(byte).known
+    library = Tokenizer.from_file(byte)
+    bounds, ids = wordbatch.BatchIds(byte).batch(pa.array(texts))
+    assert [ids[a:z].tolist() for a, z in zip(bounds, bounds[1:])] == [library.encode(t).ids for t in texts]
+    other = Tokenizer.from_file(word)
+    assert tokencount.Counter(word).batch(pa.array(texts)).tolist() == [len(other.encode(t).ids) for t in texts]
+
+
 @pytest.mark.parametrize("block", [1 << 20, 1000, 64])
 def test_token_files(spark, block):
     from tokenizers import Tokenizer
