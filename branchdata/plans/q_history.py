@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import changes as FC
 from ..functions import text as FT
 from ..operators import history as HI
+from ..sources.history_store import HistoryStore
 from . import settings as S
 from .registry import Ctx, query
 from .sqlparts import cdesc, checksum, ctype, hist, trim
@@ -277,3 +281,26 @@ WHERE NOT EXISTS (SELECT 1 FROM v_migrations pm WHERE pm.branch_id = p.branch_id
 def change_diff(c: Ctx):
     """Changes a branch has and its parent lacks, compared on trimmed text."""
     return HI.diff_vs_parent(c.recorded, c.branches).select("branch_id", "sequence", "type", "description")
+
+
+@query("history_sinks", hist("""
+SELECT 'branches' AS table_name, branch_id, count(*) AS n, max(status) AS detail FROM v_branches GROUP BY branch_id
+UNION ALL SELECT 'changes', branch_id, count(*), max(checksum) FROM v_changes GROUP BY branch_id
+UNION ALL SELECT 'tags', branch_id, count(*), max(tag) FROM v_tags GROUP BY branch_id
+UNION ALL SELECT 'stashes', branch_id, count(*), max(message) FROM v_stashes GROUP BY branch_id""", _TAGS))
+def history_sinks(c: Ctx):
+    """Branches, changes, tags and stashes appended to the history store: every
+    table in two batches, the second sent twice; branches and tags first with
+    what they were before, then as they are.  Read back per branch."""
+    store = HistoryStore(c.spark, c.scratch())
+    tags = HI.tags(c.branches, c.changes).select("tag", "branch_id", "tag_sequence")
+    early = {"branches": c.branches.withColumn("status", F.lit("active")), "tags": tags.withColumn("tag_sequence", F.lit(0)),
+             "changes": c.recorded.where("sequence <= 5"), "stashes": c.stashes.where("migration_count > 1")}
+    late = {"branches": c.branches, "tags": tags, "changes": c.recorded.where("sequence > 5"), "stashes": c.stashes}
+    for batch, tables in (("first", early), ("second", late), ("second", late)):
+        for name, rows in tables.items():
+            store.append(name, rows, batch)
+    detail = {"branches": "status", "changes": "checksum", "tags": "tag", "stashes": "message"}
+    return reduce(DataFrame.unionByName, [
+        store.current(t).groupBy("branch_id").agg(F.count(F.lit(1)).alias("n"), F.max(d).alias("detail"))
+        .select(F.lit(t).alias("table_name"), "branch_id", "n", "detail") for t, d in detail.items()])
