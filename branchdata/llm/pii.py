@@ -1,10 +1,13 @@
 """Personal data by weak-supervision aggregation, with DataFrame functions only.
 
 Base spans come from strict patterns and checks, and always stay.  Further
-candidates come from looser patterns of the same four kinds.  Labelers vote
-on all of them (1: personal data, -1: not, 0: no opinion): the strict pattern,
-format checks, gazetteers (top-level domains, card issuers, dialling codes),
-cue words before the span, counter-cues, and the characters at its ends.
+candidates come from looser patterns of the same four kinds, from strict
+matches that fail their check (look-alikes: most are none, which gives the
+estimate its negatives), and from long runs with digits that may be secrets.
+Labelers vote on all of them (1: personal data, -1: not, 0: no opinion): the
+strict pattern and its check, the form, gazetteers (top-level domains, card
+issuers, dialling codes, key prefixes), cue words before the span,
+counter-cues, and the characters at its ends.
 
 Expectation-maximisation over the counts of vote patterns (a few hundred rows
 at any corpus size) estimates each labeler's reliability and each pattern's
@@ -31,7 +34,8 @@ from pyspark.sql import functions as F
 from branchdata.llm.common import stored
 
 # Kinds in their order, patterns, word lists.
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone")          # of base spans
+ALL_KINDS = (*KINDS, "secret")
 # Strict patterns.  Possessive repeats and the look-behind only keep long runs linear:
 # a match can't start inside a run whose start failed, except right after a match.
 STRICT = {
@@ -46,13 +50,17 @@ LOOSE = {
     "ip": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
     "card": r"(?<![0-9])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])",
     "phone": r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9])",
+    "secret": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{20,128}+(?![A-Za-z0-9_+/=-])",
 }
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}$"
 TOP_LEVEL = "com net org edu gov io info biz co uk de fr es it nl eu us ca au ch at be pl se no dk fi pt".split()
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|35|6011|65)"
 DIALLING = r"^\+?\(?(?:1|7|20|27|30|31|32|33|34|39|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 CUES = {"email": "e-?mail|mail|contact|write|address", "ip": "ip|host|server|address|login",
-        "card": "card|visa|mastercard|amex|credit|debit|payment", "phone": "phone|tel|call|mobile|fax|contact"}
+        "card": "card|visa|mastercard|amex|credit|debit|payment", "phone": "phone|tel|call|mobile|fax|contact",
+        "secret": "token|secret|password|passwd|pwd|api[_-]?key|key|auth|bearer|credentials?"}
+KEY_FORMS = r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64})$"
+KEY_STARTS = r"^(?:gh[opsu]_|sk-|pk-|AKIA|xox[abp]-|eyJ)"
 COUNTER = "id|no|nr|number|order|ref|version|isbn|sku|serial|ticket"
 CONTEXT = 30          # code points before a span that cue words may stand in
 RUN = 64              # matches per block of running sums
@@ -111,42 +119,54 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0)
 
 
-def _judged(kind: str, strict: bool, x: Column) -> Column:
+LOOSER, SOUND, FAILED = range(3)      # a candidate: of a looser pattern, strict, strict but for its check
+
+
+def _judged(kind: str, how: int, x: Column) -> Column:
     """A candidate with its votes and features."""
     m, before, after = x["m"], F.lower(x["before"]), x["after"]
     digits = _digits(m)
     form = {"email": _vote(m.rlike(r"[A-Za-z]{2,24}$"), m.rlike(r"[0-9-]$")),
             "ip": _vote(m.rlike(OCTETS) | m.contains(":"), F.lit(False)),
-            "card": _vote(_luhn(m), ~_luhn(m)),
-            "phone": _vote(F.length(digits).between(8, 15), F.length(digits) < 7)}[kind]
+            "card": _vote(_luhn(m) & F.length(digits).between(13, 19), F.lit(True)),
+            "phone": _vote(F.length(digits).between(8, 15), F.length(digits) < 7),
+            "secret": _vote(m.rlike(KEY_FORMS) | (m.rlike("[a-z]") & m.rlike("[A-Z]") & m.rlike("[0-9].*[0-9]")),
+                            m.rlike("^[0-9_+/=-]+$"))}[kind]
     known = {"email": _vote(F.lower(F.regexp_extract(m, "([A-Za-z]+)$", 1)).isin(TOP_LEVEL), F.lit(False)),
              "ip": _vote(F.lit(False), m.rlike(r"^(?:0+\.|255\.255)")),
              "card": _vote(digits.rlike(ISSUERS), ~digits.rlike(ISSUERS)),
-             "phone": _vote(m.rlike(DIALLING), digits.rlike(r"^(?:0{3}|1{5})"))}[kind]
+             "phone": _vote(m.rlike(DIALLING), digits.rlike(r"^(?:0{3}|1{5})")),
+             "secret": _vote(m.rlike(KEY_STARTS), m.rlike(r"(.)\1{7}"))}[kind]
     cue = before.rlike(rf"\b(?:{CUES[kind]})\b")
     counter = before.rlike(rf"\b(?:{COUNTER})\b[ .:#=]*$")
     left = F.right(before, F.lit(1))
     glued = left.rlike("[a-z0-9_]") | after.rlike("[A-Za-z0-9_]")
     side = lambda c: (F.when(c == "", 0).when(c.rlike(r"\s"), 1).when(c.rlike("[A-Za-z]"), 2)     # noqa: E731
                       .when(c.rlike("[0-9]"), 3).otherwise(4))
-    votes = F.array(F.lit(1 if strict else 0), form, known, F.when(cue, 1).otherwise(0),
+    votes = F.array(F.lit({SOUND: 1, FAILED: -1}.get(how, 0)), form, known, F.when(cue, 1).otherwise(0),
                     F.when(counter, -1).otherwise(0), F.when(glued, -1).otherwise(1))
     features = F.array(F.least(F.floor(F.length(m) / 4), F.lit(12)).cast("int"), side(left), side(after),
                        cue.cast("int"), counter.cast("int"),
                        F.least(F.floor(10 * F.length(digits) / F.length(m)), F.lit(10)).cast("int"),
-                       F.lit(int(strict)))
-    return F.struct(F.lit(KINDS.index(kind)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"),
-                    F.lit(strict).alias("strict"), votes.alias("votes"), features.alias("features"))
+                       F.lit(how))
+    return F.struct(F.lit(ALL_KINDS.index(kind)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"),
+                    F.lit(how == SOUND).alias("strict"), votes.alias("votes"), features.alias("features"))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, found): per row, strict spans and looser candidates that
-    overlap none of them."""
-    def sound(kind: str) -> Callable[[Column], Column]:
-        return lambda x: _sound(kind, x["m"])
+    """(doc_id, found): per row, strict spans, looser candidates that overlap
+    none of them, and strict matches that failed and overlap neither."""
+    def sound(kind: str, wanted: bool = True) -> Callable[[Column], Column]:
+        return lambda x: _sound(kind, x["m"]) == wanted
+
+    def judged(kind: str, how: int) -> Callable[[Column], Column]:
+        return lambda x: _judged(kind, how, x)
+
+    def bare(names: list[str]) -> Column:
+        return F.concat(*[F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for c in names])
 
-    def judged(kind: str, strict: bool) -> Callable[[Column], Column]:
-        return lambda x: _judged(kind, strict, x)
+    def apart(spans: str) -> Callable[[Column], Column]:
+        return lambda x: ~F.exists(spans, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"]))
 
     text = F.col("text")
     out = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -154,16 +174,17 @@ def candidates(docs: DataFrame) -> DataFrame:
     number = F.col("number")
     needs = {"email": F.contains(text, F.lit("@")), "ip": number, "card": number, "phone": number & F.contains(text, F.lit("+"))}
     maybe = {"email": F.contains(text, F.lit("at)")) | F.contains(text, F.lit("at]")), "ip": number & F.contains(text, F.lit(":")),
-             "card": number, "phone": number}
-    out = _matches(out, {f"s_{k}": (STRICT[k], needs[k]) for k in KINDS} | {f"l_{k}": (LOOSE[k], maybe[k]) for k in KINDS})
-    out = out.select("doc_id", *[f"l_{k}" for k in KINDS],
-                     *[F.filter(f"s_{k}", sound(k)).alias(f"s_{k}") for k in KINDS])
-    bare = F.concat(*[F.transform(f"s_{k}", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-                      for k in KINDS])
-    out = out.withColumn("strict", bare)
-    apart = lambda x: ~F.exists("strict", lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"]))     # noqa: E731
-    found = [F.transform(f"s_{k}", judged(k, True)) for k in KINDS]
-    found += [F.transform(F.filter(f"l_{k}", apart), judged(k, False)) for k in KINDS]
+             "card": number, "phone": number, "secret": number & text.rlike("[A-Za-z0-9_+/=-]{20}")}
+    out = _matches(out, {f"s_{k}": (STRICT[k], needs[k]) for k in KINDS} | {f"l_{k}": (LOOSE[k], maybe[k]) for k in ALL_KINDS})
+    out = out.select("doc_id", *[f"l_{k}" for k in ALL_KINDS],
+                     *[F.filter(f"s_{k}", sound(k)).alias(f"s_{k}") for k in KINDS],
+                     *[F.filter(f"s_{k}", sound(k, False)).alias(f"f_{k}") for k in KINDS])
+    out = out.withColumn("strict", bare([f"s_{k}" for k in KINDS]))
+    out = out.withColumns({f"l_{k}": F.filter(f"l_{k}", apart("strict")) for k in ALL_KINDS})
+    out = out.withColumn("taken", F.concat("strict", bare([f"l_{k}" for k in ALL_KINDS])))
+    found = [F.transform(f"s_{k}", judged(k, SOUND)) for k in KINDS]
+    found += [F.transform(f"l_{k}", judged(k, LOOSER)) for k in ALL_KINDS]
+    found += [F.transform(F.filter(f"f_{k}", apart("taken")), judged(k, FAILED)) for k in KINDS]
     return out.select("doc_id", F.concat(*found).alias("found"))
 
 
@@ -197,7 +218,7 @@ def train(found: DataFrame) -> Column | None:
     """The classifier's log odds for a candidate ``x`` (as a function of one),
     or None where there are no candidates."""
     each = found.select(F.explode("found").alias("x"))
-    counts = each.groupBy("x.kind", "x.votes").count().collect()      # at most 4 * 3 ** 6 rows
+    counts = each.groupBy("x.kind", "x.votes").count().collect()      # at most 5 * 3 ** 6 rows
     if not counts:
         return None
     _, p = estimate({(r["kind"], tuple(r["votes"])): r["count"] for r in counts})
@@ -250,6 +271,6 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 def written(spans: str) -> Column:
     """``kind:start:end`` of each span, comma-joined."""
-    kinds = F.array(*[F.lit(k) for k in KINDS])
+    kinds = F.array(*[F.lit(k) for k in ALL_KINDS])
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(
         ":", F.element_at(kinds, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")

@@ -354,3 +354,23 @@ def test_language_edges(spark):
     pred = langid.identify(one, langid.fit(one)).select("row.text", "lang_pred", "score").collect()
     assert all((r[1], r[2]) == (("xx", 1.0) if langid.has_letter(r[0]) else ("und", 0.0)) for r in pred)
     assert rows_of(langid.identify(empty(spark), langid.fit(docs))) == []
+
+
+def test_pii_added_spans(spark):
+    """On the given documents: every planted secret is a span, and of the
+    numbers that only look like cards or addresses next to none is."""
+    import re
+    from pyspark.sql import functions as F
+    rows = given(spark, "documents", "/root/testdata/sf0.01").select("doc_id", "text")
+    got = {r["doc_id"]: {(pii.ALL_KINDS[k], s, e) for k, s, e in r["spans"]} - {(pii.ALL_KINDS[k], s, e) for k, s, e in r["base"]}
+           for r in pii.find_pii(rows).collect()}
+    planted, likeness = set(), set()
+    for doc, text in rows.where(F.col("text").isNotNull()).collect():
+        planted |= {(doc, "secret", m.start(1), m.end(1)) for m in re.finditer(r'token = "([0-9a-f]{40})"', text)}
+        base = set(brute_pii(text))
+        likeness |= {(doc, "card", m.start(), m.end()) for m in re.finditer(r"(?<![0-9])[0-9]{16}(?![0-9])", text)
+                     if ("card", m.start(), m.end()) not in base}
+    added = {(d, *x) for d, spans in got.items() for x in spans}
+    assert planted and len(planted & added) >= .9 * len(planted)
+    assert likeness and len(likeness & added) <= .1 * len(likeness)
+    assert len(added & planted) >= .9 * len(added)
