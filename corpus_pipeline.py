@@ -39,9 +39,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _same(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """``rows`` with (left_semi) or without (left_anti) those of ``keys``, a
-    stored list of (id, text_digest): its size is known when the join is
-    planned, so a short one is broadcast and the texts stay where they are."""
+    """``rows`` with (left_semi) or without (left_anti) those of ``keys`` (id,
+    text_digest).  The size of a stored list is known when the join is planned,
+    so a short one is broadcast and the texts stay where they are."""
     return rows.join(keys, F.col("k").eqNullSafe(F.col("id")) & (F.col("t") == F.col("text_digest")), how)
 
 
@@ -68,7 +68,8 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     groups = rows.groupBy("k", "t").agg(F.count(F.lit(1)).alias("n"))
     lists = stored(_same(groups, keep, "left").where("stays IS NULL OR n > 1")
                    .select(F.col("k").alias("id"), F.col("t").alias("text_digest"), "stays"), "not-once")
-    once = _same(rows, lists, "left_anti").select("row.*")
+    # About a tenth of the rows go, at any size: the texts are shuffled once.
+    once = _same(rows, lists.hint("shuffle_hash"), "left_anti").select("row.*")
     several = (_same(rows, lists.where("stays"), "left_semi").groupBy("k", "t")
                .agg(F.min_by("row", _by_other_columns(docs)).alias("row")))
     return once.unionByName(several.select("row.*"))
