@@ -8,7 +8,8 @@ from conftest import SF01
 from tools.compare import compare, duck
 
 HOT_KEYS = ["assign_sequence", "record_changes", "clone_history", "conflict_check", "merge_theirs",
-            "parent_ahead", "branch_divergence", "chunk_plan", "change_log"]
+            "parent_ahead", "branch_divergence", "chunk_plan", "change_log", "conflict_check_parent", "column_lineage",
+            "merge_outcomes"]
 
 
 @pytest.fixture(scope="module")
