@@ -130,7 +130,8 @@ def parent_catalogs(changes: DataFrame, links: DataFrame, touched: DataFrame, ca
     see ``touched_objects``.  The questions stand on the parent's own time
     line, behind its changes up to ``at``, and ride through the same replay as
     these, so no branch is joined with its parent's changes.  Returns the
-    catalog and the indexes per branch."""
+    catalog and the indexes per branch.  The time line is written once
+    (checkpoint): it is numbered, searched for hot parents and replayed."""
     ends = F.lit("9999-12-31").cast("timestamp_ntz")
     asked = (touched.join(links, "branch_id")
              .select(F.col("parent_id").alias("branch_id"), F.coalesce(F.col("at").cast("timestamp_ntz"), ends).alias("at"),
@@ -144,7 +145,7 @@ def parent_catalogs(changes: DataFrame, links: DataFrame, touched: DataFrame, ca
              .withColumnRenamed("sequence", "position")
              .withColumns({"at": F.col("at").cast("timestamp_ntz"), "asks": F.lit(0)}))
     line = number_rows(known.unionByName(asked), ["branch_id"],
-                       ["at", "asks", "position", "table_name", "column_name", "detail"], out="sequence")
+                       ["at", "asks", "position", "table_name", "column_name", "detail"], out="sequence").checkpoint()
     hot = collect_hot(line, ["branch_id"])
     cats = _catalogs(catalog, indexes)
     if hot is None:

@@ -47,6 +47,8 @@ def _judged(own: DataFrame, incoming: DataFrame, catalog: DataFrame, indexes: Da
     line = (own.select("branch_id", "sequence", "sql_text")
             .unionByName(incoming.select("branch_id", "sequence", "sql_text")))
     actions = with_actions(line)
+    if hot is not None:          # read several times where branches are scanned in pieces
+        actions = actions.checkpoint()
     checked = check(actions.select("branch_id", F.col("position").alias("sequence"), "sql_text"), catalog, indexes, hot=hot)
     found = (checked.where("conflict_type IS NOT NULL")
              .groupBy("branch_id", F.shiftright("sequence", ACTION_BITS).alias("sequence"))

@@ -8,8 +8,7 @@ from conftest import SF01
 from tools.compare import compare, duck
 
 HOT_KEYS = ["assign_sequence", "record_changes", "clone_history", "conflict_check", "merge_theirs",
-            "parent_ahead", "branch_divergence", "chunk_plan", "change_log", "conflict_check_parent", "column_lineage",
-            "merge_outcomes"]
+            "parent_ahead", "branch_divergence", "chunk_plan", "change_log", "conflict_check_parent", "column_lineage"]
 
 
 @pytest.fixture(scope="module")
