@@ -7,12 +7,20 @@ Files declare no constraints, so they are looked for:
    only if no subset of it is a key, none of its columns holds NULLs, the
    product of its columns' sketches reaches the number of rows, and a sketch
    of the set itself does.  What is left is counted exactly, all tables and
-   sets in one shuffle (hashes of 128 bits, so that long texts stay put);
-3. inclusions by an inverted index: each value of a column that could refer
-   or be referred to is shuffled once, as a bit in the value's column set
-   (combined before the shuffle, so a value of a third of all rows is one row a
-   task).  A column is included in those that every one of its values' sets
-   holds: the bitwise AND of the sets.  No pair of columns is joined.
+   sets in one shuffle;
+3. inclusions by an inverted index: the values of the columns that could refer
+   or be referred to are shuffled once (combined before the shuffle, so a value
+   of a third of all rows is one row a task), to a word of bits per column.  A
+   column is included in those whose words hold all bits of its own, block by
+   block.  No pair of columns is joined.
+
+What is shuffled are blocks: numbers and dates (a set of them as the number
+of the combination) stand as bits of words of ``BITS`` consecutive ones, so
+that dense keys take a fraction of a byte a row; texts, and sets whose ranges
+don't fit a bigint, as hashes of 128 bits.  Both searches look at one in
+``SLICES`` of the blocks first, with all their rows: a repeated or lacking
+value there settles a set or pair, and only the others, the keys and
+inclusions nearly all, are searched whole.
 
 Sketches only leave out sets that are short of the rows by more than
 ``SLACK``, seven times their standard error.  The driver holds one row per
@@ -35,7 +43,9 @@ SKETCH_ERROR = 0.02
 SLACK = 0.15
 MAX_COLUMNS = 2          # widest key looked for
 SETS_PER_PASS = 100      # sketches in one aggregate
-BITS = 62                # columns per word of a value's column set
+SLICES = 64              # one in so many places refutes most sets and pairs
+BITS = 64                # numbers per word of a block
+PAIRS = 16               # pairs of columns per aggregate
 TEXT_RANGE = 64          # characters of a text's range that are compared
 
 Key = tuple[str, tuple[str, ...]]
@@ -143,21 +153,62 @@ def set_sketches(tables: Mapping[str, DataFrame], sets: Iterable[Key]) -> dict[K
 
 
 def _hashes(cols: Sequence[Column]) -> list[Column]:
-    return [F.xxhash64(*cols).alias("h1"), F.xxhash64(F.lit("second"), *cols).alias("h2")]
+    return [F.xxhash64(*cols).alias("k1"), F.xxhash64(F.lit("second"), *cols).alias("k2")]
 
 
-def repeated_sets(tables: Mapping[str, DataFrame], sets: Sequence[Key]) -> set[Key]:
-    """Which of the column sets hold some combination of values twice: one
-    shuffle of the hashes of all sets of all tables."""
+def _place(number: Column) -> list[Column]:
+    """A number as the block of ``BITS`` consecutive ones that it lies in, and its bit there."""
+    at = F.pmod(number, F.lit(BITS).cast("bigint"))
+    return [(number - at).alias("k1"), F.lit(0).cast("bigint").alias("k2"),
+            F.call_function("shiftleft", F.lit(1).cast("bigint"), at.cast("int")).alias("w")]
+
+
+def _hashed(cols: Sequence[Column]) -> list[Column]:
+    return [*_hashes(cols), F.lit(1).cast("bigint").alias("w")]
+
+
+def _set_place(cols: Sequence[str], own: Mapping[str, ColumnProfile]) -> list[Column]:
+    """Where a combination of values stands: its number among all that the
+    columns' ranges allow, if these fit a bigint, else its hash."""
+    number, size = F.lit(0).cast("bigint"), 1
+    for c in cols:
+        p = own[c]
+        if p.kind == "text":
+            return _hashed([_name(c) for c in cols])
+        span = p.high - p.low + 1
+        size *= span
+        if size >= 1 << 62:
+            return _hashed([_name(c) for c in cols])
+        number = number * F.lit(span).cast("bigint") + (_number(c, p.kind) - F.lit(p.low).cast("bigint"))
+    return _place(number)
+
+
+def _slice(rows: DataFrame, slices: int) -> DataFrame:
+    """All rows of one in ``slices`` of the places (blocks or hashes)."""
+    return rows.where(F.pmod(F.xxhash64("k1", "k2"), F.lit(slices).cast("bigint")) == 0) if slices > 1 else rows
+
+
+def set_blocks(tables: Mapping[str, DataFrame], sets: Sequence[Key], columns: Sequence[ColumnProfile],
+               slices: int = 1) -> DataFrame:
+    """(s, k1, k2, n, w) per column set (its index) and place: the rows there
+    and the bits that they set, of one in ``slices`` of the places."""
     parts = []
     for t in dict.fromkeys(t for t, _ in sets):
-        own = [(i, cols) for i, (u, cols) in enumerate(sets) if u == t]
-        hashed = F.array(*[F.struct(F.lit(i).alias("s"), *_hashes([_name(c) for c in cols])) for i, cols in own])
-        parts.append(tables[t].select(F.explode(hashed).alias("v")).select("v.*"))
-    if not parts:
+        own = {p.column: p for p in columns if p.table == t}
+        placed = F.array(*[F.struct(F.lit(i).alias("s"), *_set_place(cols, own)) for i, (u, cols) in enumerate(sets) if u == t])
+        parts.append(_slice(tables[t].select(F.explode(placed).alias("v")).select("v.*"), slices))
+    return (reduce(DataFrame.unionByName, parts).groupBy("s", "k1", "k2")
+            .agg(F.count(F.lit(1)).alias("n"), F.bit_or("w").alias("w")))
+
+
+def repeated_sets(tables: Mapping[str, DataFrame], sets: Sequence[Key], columns: Sequence[ColumnProfile],
+                  slices: int = 1) -> set[Key]:
+    """Which of the column sets (of columns without NULLs) hold some
+    combination of values twice, within one in ``slices`` of the places: one
+    shuffle for all sets of all tables, of a row per block that a task met."""
+    if not sets:
         return set()
-    twice = (reduce(DataFrame.unionByName, parts).groupBy("s", "h1", "h2").agg(F.count(F.lit(1)).alias("n"))
-             .where("n > 1").select("s").distinct())
+    twice = set_blocks(tables, sets, columns, slices).where(F.col("n") > F.bit_count("w")).select("s").distinct()
     return {sets[r.s] for r in twice.collect()}
 
 
@@ -181,8 +232,10 @@ def find_keys(tables: Mapping[str, DataFrame], columns: Sequence[ColumnProfile],
         if width > 1:
             sketched = set_sketches(tables, tries)
             tries = [k for k in tries if sketched[k] >= (1 - SLACK) * whole[k[0], k[1][0]].n_rows]
-        twice = repeated_sets(tables, tries)
-        found += [k for k in tries if k not in twice]
+        for slices in (SLICES, 1):
+            twice = repeated_sets(tables, tries, columns, slices)
+            tries = [k for k in tries if k not in twice]
+        found += tries
     return found
 
 
@@ -203,33 +256,40 @@ def inclusions(tables: Mapping[str, DataFrame], columns: Sequence[ColumnProfile]
                   and p.n_distinct * (1 - SLACK) <= q.n_distinct]
         if inside:
             possible[p.table, p.column] = inside
+    for slices in (SLICES, 1):
+        broken = broken_inclusions(tables, by_name, possible, slices)
+        possible = {c: left for c, refs in possible.items() if (left := [r for r in refs if (c, r) not in broken])}
+    return sorted((Inclusion(*c, *r) for c, refs in possible.items() for r in refs),
+                  key=lambda x: (x.table, x.column, x.ref_table, x.ref_column))
+
+
+def broken_inclusions(tables: Mapping[str, DataFrame], by_name: Mapping[tuple[str, str], ColumnProfile],
+                      possible: Mapping[tuple[str, str], Sequence[tuple[str, str]]],
+                      slices: int = 1) -> set[tuple[tuple[str, str], tuple[str, str]]]:
+    """Pairs of a column and one of its ``possible`` targets that lacks some of
+    its values, within one in ``slices`` of the places."""
     taking_part = sorted({*possible, *(r for rs in possible.values() for r in rs)})
     if not taking_part:
-        return []
-    bit = {c: divmod(i, BITS) for i, c in enumerate(taking_part)}
-    words = [f"w{i}" for i in range(-(-len(taking_part) // BITS))]
+        return set()
+    at = {c: i for i, c in enumerate(taking_part)}
+    kinds = sorted({by_name[c].kind for c in taking_part})
     parts = []
     for t in dict.fromkeys(t for t, _ in taking_part):
         values = F.array(*[
-            F.struct(*_hashes([F.lit(by_name[t, c].kind), _name(c).cast("bigint") if by_name[t, c].kind == "integer" else _name(c)]),
-                     _name(c).isNotNull().alias("present"),
-                     *[F.lit(1 << bit[t, c][1] if bit[t, c][0] == i else 0).cast("bigint").alias(w) for i, w in enumerate(words)])
-            for u, c in taking_part if u == t])
-        parts.append(tables[t].select(F.explode(values).alias("v")).select("v.*").where("present").drop("present"))
-    sets = (reduce(DataFrame.unionByName, parts).groupBy("h1", "h2").agg(*[F.bit_or(w).alias(w) for w in words])
-            .select(*words).distinct())
-    holders = F.array(*[F.struct(F.lit(i).alias("c"), F.col(words[bit[c][0]]).bitwiseAND(1 << bit[c][1]).alias("there"))
-                        for i, c in enumerate(taking_part) if c in possible])
-    common = (sets.select(F.explode(holders).alias("h"), *words).where("h.there <> 0")
-              .groupBy("h.c").agg(*[F.bit_and(w).alias(w) for w in words])).collect()
-    found = []
-    for row in common:
-        child = taking_part[row.c]
-        for ref in possible[child]:
-            word, place = bit[ref]
-            if row[words[word]] >> place & 1:
-                found.append(Inclusion(*child, *ref))
-    return sorted(found, key=lambda x: (x.table, x.column, x.ref_table, x.ref_column))
+            F.struct(F.lit(at[u, c]).alias("c"), F.lit(kinds.index(k)).alias("kind"),
+                     *(_hashed([_name(c)]) if k == "text" else _place(_number(c, k))), _name(c).isNotNull().alias("present"))
+            for u, c in taking_part if u == t for k in (by_name[u, c].kind,)])
+        rows = tables[t].select(F.explode(values).alias("v")).select("v.*").where("present").drop("present")
+        parts.append(_slice(rows, slices))
+    held = (reduce(DataFrame.unionByName, parts).groupBy("kind", "k1", "k2")
+            .agg(*[F.bit_or(F.when(F.col("c") == i, F.col("w")).otherwise(0)).alias(f"w{i}") for i in at.values()]))
+    pairs = [(c, r) for c, refs in possible.items() for r in refs]
+    lacking = held.agg(*[
+        F.bit_or(reduce(Column.bitwiseOR, [
+            F.when(F.col(f"w{at[c]}").bitwiseAND(F.bitwise_not(f"w{at[r]}")) != 0, F.lit(1 << i).cast("bigint")).otherwise(0)
+            for i, (c, r) in enumerate(pairs[first:first + PAIRS])])).alias(f"p{first}")
+        for first in range(0, len(pairs), PAIRS)]).first()
+    return {pair for i, pair in enumerate(pairs) if (lacking[f"p{i - i % PAIRS}"] or 0) >> i % PAIRS & 1}
 
 
 def alike(column: str, ref_column: str) -> bool:

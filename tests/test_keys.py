@@ -74,3 +74,28 @@ def test_circle_of_references(spark):
                                      ("c", "foreign", "z", None, "d", "z")], K.CATALOG)
     got = {r.table_name: r.level for r in K.dependency_order(["a", "b", "c", "d"], catalog).collect()}
     assert got == {"d": 0, "c": 1, "a": 2, "b": 2}
+
+
+def test_dense_keys_are_shuffled_as_blocks(spark):
+    """A single key and a pair take a few rows a block, not one a table row."""
+    n = 64_000
+    tables = {"line": spark.range(0, n, 1, 2).selectExpr("id AS l_id", "id div 4 AS l_order", "cast(id % 4 AS int) AS l_no")}
+    sets = [("line", ("l_id",)), ("line", ("l_order", "l_no")), ("line", ("l_order",))]
+    columns = K.profiles(tables)
+    assert K.set_blocks(tables, sets, columns).count() <= n / 16
+    assert K.repeated_sets(tables, sets, columns) == {sets[2]}
+
+
+def test_values_at_the_ends_of_their_types(spark):
+    """Negative and extreme numbers, dates and times, one value apart."""
+    ends = [-(1 << 63), -(1 << 63) + 1, -65, -64, -1, 0, 63, 64, (1 << 63) - 2, (1 << 63) - 1]
+    one = spark.createDataFrame([(x, i % 2) for i, x in enumerate(ends)], "a long, b int")
+    two = spark.createDataFrame([(x, 0) for x in ends[1:]], "a long, b int")
+    lacks = spark.createDataFrame([(x,) for x in ends if x != -64] + [(7,)], "z long")
+    days = spark.sql("""SELECT date'1969-12-31' + cast(id div 3 AS int) AS d,
+      timestamp_ntz'1969-12-31 23:59:59.999999' + make_interval(0, 0, 0, 0, 0, 0, id % 3) AS t FROM range(300)""")
+    got = K.key_catalog({"one": one, "two": two, "lacks": lacks, "days": days}).collect()
+    assert {(r.table_name, r["columns"]) for r in got if r.kind == "key"} == {
+        ("one", "a"), ("two", "a"), ("lacks", "z"), ("days", "d,t")}
+    assert {(r.table_name, r["columns"], r.ref_table, r.ref_column) for r in got if r.kind != "key"} == {
+        ("two", "a", "one", "a"), ("two", "b", "one", "a"), ("two", "b", "lacks", "z")}
