@@ -10,7 +10,7 @@ from ..streaming import keyed as KL
 from ..streaming import loads as SL
 from .registry import Ctx, query
 
-FILE_ROWS = 4_000
+FILE_ROWS = 4_000        # of the smallest staged files
 FILES_PER_BATCH = 4
 _EVENT_MASKS = {"events.props": "{}"}
 
@@ -24,7 +24,7 @@ def resumable_load(c: Ctx):
     second run must add nothing.  Returns the stored rows."""
     root = c.scratch()
     ev = c.t("events")
-    src = SL.split_into_files(ev, join(root, "in"), FILE_ROWS)
+    src = SL.stage(ev, join(root, "in"), FILE_ROWS)
     target, ckpt = join(root, "out"), join(root, "ckpt")
     SL.resumable_load(c.spark, src, ev.schema, target, ckpt, "events", _EVENT_MASKS,
                       files_per_batch=FILES_PER_BATCH)
@@ -43,7 +43,7 @@ def stream_progress(c: Ctx):
     micro-batches as its files ask for."""
     root = c.scratch()
     ev = c.t("events")
-    src = SL.split_into_files(ev, join(root, "in"), FILE_ROWS)
+    src = SL.stage(ev, join(root, "in"), FILE_ROWS)
     files = sum(n.endswith(".parquet") for n in list_names(c.spark, src))
     SL.resumable_load(c.spark, src, ev.schema, join(root, "out"), join(root, "ckpt"), "events", _EVENT_MASKS,
                       files_per_batch=FILES_PER_BATCH)
@@ -59,7 +59,7 @@ def activity_stream(c: Ctx):
     The watermark spans the data (30 days) so nothing counts as late."""
     root = c.scratch()
     ev = c.t("events")
-    src = SL.split_into_files(ev, join(root, "in"), FILE_ROWS)
+    src = SL.stage(ev, join(root, "in"), FILE_ROWS)
     SL.activity_counts(c.spark, src, ev.schema, join(root, "view"), join(root, "ckpt"),
                        watermark="30 days", files_per_batch=4)
     return SL.live_counts(c.spark, join(root, "view")).select(

@@ -24,6 +24,25 @@ def split_into_files(df: DataFrame, path: str, rows_per_file: int) -> str:
     return path
 
 
+STAGED_FILES = 64             # files that a table is staged as, if they stay within:
+MOST_FILE_ROWS = 1_000_000
+
+
+def staged_file_rows(rows: int, least: int) -> int:
+    """Rows per staged file.  A micro-batch takes a number of files and has a
+    fixed cost, so the files grow with the table, up to a bound, and the
+    batches don't become more and more."""
+    return max(least, min(MOST_FILE_ROWS, -(-rows // STAGED_FILES)))
+
+
+def stage(df: DataFrame, path: str, least_rows: int) -> str:
+    """Stage a table as files of at least ``least_rows`` rows, but for the
+    last one of each writing task; there are no more tasks than files."""
+    rows = df.count()
+    per_file = staged_file_rows(rows, least_rows)
+    return split_into_files(df.coalesce(max(1, -(-rows // per_file))), path, per_file)
+
+
 def resumable_load(spark: SparkSession, source_path: str, schema, target: str, checkpoint: str,
                    table: str, masks: dict | None = None, id_col: str | None = None,
                    files_per_batch: int = 2) -> list[int]:

@@ -47,3 +47,14 @@ def test_progress_keeps_every_batch(spark, tmp_path):
         spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
     rows = SL.progress_rows(spark, out).orderBy("batch").collect()
     assert len(rows) == 8 and rows[-1]["cumulative_rows"] == 40
+
+
+def test_batches_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    """A table of many times the smallest file is staged as some larger files,
+    whole, however many tasks read it."""
+    monkeypatch.setattr(SL, "STAGED_FILES", 8)
+    ev = spark.range(0, 4_000, 1, 40).selectExpr("id AS event_id")
+    src = SL.stage(ev, str(tmp_path / "in"), 10)
+    files = list((tmp_path / "in").glob("*.parquet"))
+    assert len(files) <= 16 and spark.read.parquet(src).distinct().count() == 4_000
+    assert [SL.staged_file_rows(n, 4_000) for n in (0, 32_000, 800_000, 10**9)] == [4_000, 4_000, 100_000, 1_000_000]
