@@ -63,7 +63,11 @@ def replayed(changes: DataFrame, catalog: DataFrame, indexes: DataFrame, hot=DET
 
 def _states(changes: DataFrame, catalog: DataFrame, indexes: DataFrame, hot_rows: int | None = None,
             max_hot: int | None = None, hot=DETECT) -> DataFrame:
-    objs = _objects(changes)
+    return _object_states(_objects(changes), catalog, indexes, hot_rows, max_hot, hot)
+
+
+def _object_states(objs: DataFrame, catalog: DataFrame, indexes: DataFrame, hot_rows: int | None = None,
+                   max_hot: int | None = None, hot=DETECT) -> DataFrame:
     cats = _catalogs(catalog, indexes)
 
     # Branches with very many changes take the pieced (parallel) scan path;
@@ -130,8 +134,9 @@ def parent_catalogs(changes: DataFrame, links: DataFrame, touched: DataFrame, ca
     see ``touched_objects``.  The questions stand on the parent's own time
     line, behind its changes up to ``at``, and ride through the same replay as
     these, so no branch is joined with its parent's changes.  Returns the
-    catalog and the indexes per branch.  The time line is written once
-    (checkpoint): it is numbered, searched for hot parents and replayed."""
+    catalog and the indexes per branch.  The time line's rows are parsed and
+    written once (checkpoint), then searched for hot parents, numbered and
+    replayed; the answers are written too, as a check reads them three times."""
     ends = F.lit("9999-12-31").cast("timestamp_ntz")
     asked = (touched.join(links, "branch_id")
              .select(F.col("parent_id").alias("branch_id"), F.coalesce(F.col("at").cast("timestamp_ntz"), ends).alias("at"),
@@ -144,20 +149,24 @@ def parent_catalogs(changes: DataFrame, links: DataFrame, touched: DataFrame, ca
     known = (_objects(own.select("branch_id", F.col("position").alias("sequence"), "sql_text", "at"), "at")
              .withColumnRenamed("sequence", "position")
              .withColumns({"at": F.col("at").cast("timestamp_ntz"), "asks": F.lit(0)}))
-    line = number_rows(known.unionByName(asked), ["branch_id"],
-                       ["at", "asks", "position", "table_name", "column_name", "detail"], out="sequence").checkpoint()
-    hot = collect_hot(line, ["branch_id"])
+    rows = known.unionByName(asked).checkpoint()
+    hot = collect_hot(rows, ["branch_id"])
+    line = number_rows(rows, ["branch_id"], ["at", "asks", "position", "table_name", "column_name", "detail"], out="sequence", hot=hot)
     cats = _catalogs(catalog, indexes)
     if hot is None:
         t = _replay(line, *cats, _plain_step)
     else:
+        line = line.checkpoint()
         t = (_replay(line.join(hot, "branch_id", "left_anti"), *cats, _plain_step)
              .unionByName(_replay(line.join(hot, "branch_id", "left_semi"), *cats, _pieced_step)))
-    found = t.where("op = 'probe'").select(F.col("position").alias("branch_id"), "table_name", "column_name",
-                                           F.col("detail").alias("index_name"), "table_before", "col_before", "index_before")
-    there = found.where("table_name IS NOT NULL AND table_before").select(
+    held = ((F.col("table_name").isNotNull() & F.col("table_before")).alias("has_table"),
+            (F.col("detail").isNotNull() & F.col("index_before")).alias("has_index"))
+    found = (t.where("op = 'probe'").select(F.col("position").alias("branch_id"), "table_name", "column_name",
+                                            F.col("detail").alias("index_name"), "col_before", *held)
+             .where("has_table OR has_index").checkpoint())
+    there = found.where("has_table").select(
         "branch_id", "table_name", F.when(F.col("col_before"), F.col("column_name")).alias("column_name"))
-    return there, found.where("index_name IS NOT NULL AND index_before").select("branch_id", "index_name", "table_name")
+    return there, found.where("has_index").select("branch_id", "index_name", "table_name")
 
 
 def check_against_parents(branches: DataFrame, changes: DataFrame, histories: DataFrame, catalog: DataFrame,
@@ -170,8 +179,9 @@ def check_against_parents(branches: DataFrame, changes: DataFrame, histories: Da
     actions = with_actions(changes.select("branch_id", "sequence", "sql_text"))
     mine = actions.select("branch_id", F.col("position").alias("sequence"), "sql_text")
     past = with_actions(histories.select("branch_id", "sequence", "sql_text", F.col("applied_at").alias("at")))
-    there, there_idx = parent_catalogs(past, branches, touched_objects(_objects(mine)), catalog, indexes)
-    checked = check(mine, there, there_idx, hot=hot)
+    objs = _objects(mine).checkpoint()         # parsed once: what is touched, then checked
+    there, there_idx = parent_catalogs(past, branches, touched_objects(objs), catalog, indexes)
+    checked = _classify(_object_states(objs, there, there_idx, hot=hot))
     place = F.col("sequence")
     return checked.select("branch_id", F.shiftright(place, ACTION_BITS).cast("int").alias("sequence"),
                           (place % (1 << ACTION_BITS) + 1).cast("int").alias("action"), place.alias("position"), "op",

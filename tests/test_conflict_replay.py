@@ -142,3 +142,20 @@ def test_replay_matches_step_by_step(spark, batches, hot_rows):
         want = _step_by_step(sqls)
         have = [by_branch[b][i] for i in range(1, len(sqls) + 1)]
         assert have == want, (b, list(zip(sqls, want, have)))
+
+
+def test_parents_are_replayed_once(spark):
+    """What the parents held is written, so that no reader replays their time lines again."""
+    at = datetime(2024, 1, 1)
+    changes = spark.createDataFrame([(1, 1, at, "CREATE TABLE t1 (id INT)"), (1, 2, at + timedelta(days=2), "DROP TABLE t1")],
+                                    "branch_id long, position long, at timestamp_ntz, sql_text string")
+    links = spark.createDataFrame([(2, 1, at + timedelta(days=1)), (3, 1, None)], "branch_id long, parent_id long, at timestamp_ntz")
+    touched = spark.createDataFrame([(b, "t1", "id", None) for b in (2, 3)] + [(2, None, None, "users_pkey")],
+                                    "branch_id long, table_name string, column_name string, detail string")
+    base = spark.createDataFrame([("users", "id")], "table_name string, column_name string")
+    idx = spark.createDataFrame([("users_pkey", "users")], "index_name string, table_name string")
+    there, there_idx = CF.parent_catalogs(changes, links, touched, base, idx)
+    for found in (there, there_idx):
+        assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in there.collect()] == [(2, "t1", "id")]
+    assert [r.index_name for r in there_idx.collect()] == ["users_pkey"]
